@@ -76,10 +76,11 @@ def number_lives(changes: DataFrame) -> DataFrame:
 def fold_changes(changes: DataFrame) -> DataFrame:
     """One row per (id, life): when it starts and ends, and what it sets.
 
-    start   seq of the insert that begins it, null if only the stored row can
-    ended   seq of the deletion that ends it, null if it survives the batch
-    born    fields of that insert
-    set     per column the latest update that names it: struct(seq, value)
+    start      seq of the insert that begins it, null if only a stored row can
+    ended      seq of the deletion that ends it, null if it survives the batch
+    n_inserts  number of inserts, of which all but the first are refused
+    born       fields of the first insert
+    set        per column the latest update that names it: struct(seq, value)
 
     Every output is a maximum or minimum, so a hot id is reduced before the shuffle.
     """
@@ -97,10 +98,11 @@ def fold_changes(changes: DataFrame) -> DataFrame:
         .agg(
             F.min(F.when(inserted, F.col("seq"))).alias("start"),
             F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("ended"),
+            F.count_if(inserted).alias("n_inserts"),
             F.min_by(F.when(inserted, fields), F.when(inserted, F.col("seq"))).alias("born"),
             *latest,
         )
-        .select("id", "life", "start", "ended", "born", F.struct(*WRITABLE).alias("set"))
+        .select("id", "life", "start", "ended", "n_inserts", "born", F.struct(*WRITABLE).alias("set"))
     )
 
 
@@ -139,8 +141,9 @@ def apply_changes(
     )
     lives = stored.unionByName(fresh)
 
-    # Inserts that met an existing row.
-    inserts = number_lives(accepted(checked)).where(F.col("op") == "insert")
+    # Inserts that met an existing row, sought only among the ids where that happened.
+    suspects = begun.where(F.col("n_inserts") > 1).select("id").unionByName(taken.select("id"))
+    inserts = number_lives(accepted(checked).join(suspects, "id", "left_semi")).where(F.col("op") == "insert")
     clash = (
         inserts.join(begun.select("id", "life", "start"), ["id", "life"])
         .join(taken.withColumn("_stored", F.lit(True)), ["id", "life"], "left")

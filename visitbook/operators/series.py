@@ -37,9 +37,10 @@ def gap_fill(counts: DataFrame, date: str, value: str, step: str) -> DataFrame:
     day, whatever the size of the facts.
     """
     following = F.lead(date).over(Window.orderBy(date))
-    last = F.date_sub(following, 1) if step == "day" else F.add_months(following, -1)
-    span = F.sequence(F.col(date), F.coalesce(last, F.col(date)), F.expr(f"interval 1 {step}"))
-    filled = counts.select(F.col(date).alias("_at"), value, F.explode(span).alias(date))
+    last = F.date_sub("_next", 1) if step == "day" else F.add_months("_next", -1)
+    span = F.sequence(F.col("_at"), F.coalesce(last, F.col("_at")), F.expr(f"interval 1 {step}"))
+    known = counts.select(F.col(date).alias("_at"), value, following.alias("_next"))
+    filled = known.select("_at", value, F.explode(span).alias(date))
     return filled.select(
         date, F.when(F.col(date) == F.col("_at"), F.col(value)).otherwise(F.lit(0)).alias(value)
     )
