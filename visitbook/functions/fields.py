@@ -20,19 +20,21 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def _parse(c: Column, pattern: str, as_type: str) -> Column:
+def _parse(c: Column, plain: str, pattern: str, as_type: str) -> Column:
+    """Values in plain notation are read directly; others are checked against the full pattern."""
     text = strip_ws(c)
-    return F.when(text.rlike(pattern), F.replace(text, F.lit("_"), F.lit("")).try_cast(as_type))
+    careful = F.when(text.rlike(pattern), F.replace(text, F.lit("_"), F.lit("")).try_cast(as_type))
+    return F.when(c.rlike(plain), c.try_cast(as_type)).otherwise(careful)
 
 
 def parse_float(c: Column) -> Column:
     """Number in text; null when blank or not a number (see `not_parsed`)."""
-    return _parse(c, NUMBER_PATTERN, "double")
+    return _parse(c, r"^-?\d+(?:\.\d+)?$", NUMBER_PATTERN, "double")
 
 
 def parse_int(c: Column) -> Column:
     """Integer in text; '12.5' is not one."""
-    return _parse(c, INTEGER_PATTERN, "int")
+    return _parse(c, r"^-?\d+$", INTEGER_PATTERN, "int")
 
 
 def not_parsed(c: Column, parsed: Column) -> Column:

@@ -52,7 +52,7 @@ def number_lives(changes: DataFrame) -> DataFrame:
     window: deletions are summed per stretch of seq, the few sums are accumulated per
     id, and within a stretch the changes are counted in order.
     """
-    stretch = F.floor(F.col("seq") / STRETCH)
+    stretch = F.col("seq") - F.pmod(F.col("seq"), F.lit(STRETCH))
     is_delete = F.when(F.col("op") == "delete", 1).otherwise(0)
     marked = changes.withColumns({"_stretch": stretch, "_delete": is_delete})
     before = Window.partitionBy("id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, IntegerType
 
+from visitbook.columns import compute_once
 from visitbook.functions.fields import (
     age_in_years,
     age_part,
@@ -28,10 +29,6 @@ from visitbook.schemas import (
 DATE_PATTERN = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T].*)?$"
 
 
-def supplied(fields: Column, name: str) -> Column:
-    return F.map_contains_key(fields, name)
-
-
 def typed(text: Column, name: str) -> Column:
     """A submitted text as the type of the stored column; null if it cannot be read."""
     dtype = WRITABLE[name]
@@ -106,9 +103,8 @@ def check_inserts(
         "created_at": clinic_day(F.current_timestamp() if received_at is None else received_at, tz),
     }
     cleaned = _stamp(_clear_blanks(raw, INSERT_BLANK_TO_NULL + numeric), stamps)
-    return requests.withColumns(
-        {"errors": F.array_compact(F.array(*errors)), "fields": _sign(cleaned, F.col("role"), F.col("username"))}
-    )
+    signed = _sign(cleaned, F.col("role"), F.col("username"))
+    return compute_once(requests, {"fields": signed, "errors": F.array_compact(F.array(*errors))})
 
 
 def check_updates(requests: DataFrame) -> DataFrame:
@@ -116,7 +112,7 @@ def check_updates(requests: DataFrame) -> DataFrame:
     raw = F.coalesce(F.col("fields"), F.create_map().cast("map<string,string>"))
     errors = _common_errors(raw) + _type_errors(raw, list(WRITABLE))
     cleaned = _clear_blanks(_sign(raw, F.col("role"), F.col("username")), UPDATE_BLANK_TO_NULL)
-    return requests.withColumns({"errors": F.array_compact(F.array(*errors)), "fields": cleaned})
+    return compute_once(requests, {"fields": cleaned, "errors": F.array_compact(F.array(*errors))})
 
 
 def accepted(checked: DataFrame) -> DataFrame:

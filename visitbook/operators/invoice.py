@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitbook.functions.fields import not_parsed, parse_float, round_half_even, spaced_int
+from visitbook.columns import compute_once
+from visitbook.functions.fields import parse_float, round_half_even, spaced_int
 from visitbook.functions.text import browser_trim
 from visitbook.schemas import INSURER_SHARE
 
@@ -14,66 +15,82 @@ DEFAULT_TITLE, DEFAULT_LABEL, DEFAULT_QUANTITY, DEFAULT_AMOUNT = "Section", "",
 
 
 def check_invoices(invoices: DataFrame) -> DataFrame:
-    """Adds `errors`: what keeps a document from being priced."""
-    percent = F.col("meta.pourcentage")
-
-    def bad_article(a: Column) -> Column:
-        return F.coalesce(
-            (a["quantite"].isNotNull() & parse_float(a["quantite"]).isNull())
-            | (a["montant"].isNotNull() & parse_float(a["montant"]).isNull()),
-            F.lit(False),
+    """Numbers for the text of a document, and `errors`: what keeps it from being priced.
+
+    Adds patient_percent and turns quantities and amounts into numbers. A document
+    without errors can be priced.
+    """
+    percent = parse_float(F.col("meta.pourcentage"))
+
+    def read_numbers(a: Column) -> Column:
+        return F.struct(
+            a.alias("raw"), parse_float(a["quantite"]).alias("quantite"), parse_float(a["montant"]).alias("montant")
+        )
+
+    def article(a: Column) -> Column:
+        raw, quantity, amount = a["raw"], a["quantite"], a["montant"]
+        bad = (raw["quantite"].isNotNull() & quantity.isNull()) | (raw["montant"].isNotNull() & amount.isNull())
+        return F.struct(
+            raw["libelle"].alias("libelle"), quantity.alias("quantite"), amount.alias("montant"), bad.alias("bad")
         )
 
-    bad_number = F.exists("sections", lambda s: F.exists(s["articles"], bad_article))
-    return invoices.withColumn(
+    def section(s: Column) -> Column:
+        articles = F.transform(F.transform(s["articles"], read_numbers), article)
+        return F.struct(s["titre"].alias("titre"), articles.alias("articles"))
+
+    # An absent percentage counts as 0, a blank one is an error.
+    share = F.when(F.col("meta.pourcentage").isNull(), F.lit(100.0)).otherwise(100 - percent)
+    read = compute_once(invoices, {"patient_percent": share, "sections": F.transform("sections", section)})
+    bad_number = F.exists("sections", lambda s: F.exists(s["articles"], lambda a: a["bad"]))
+    return read.withColumn(
         "errors",
         F.array_compact(
             F.array(
                 F.when(F.col("meta").isNull(), F.lit("meta is required")),
                 F.when(F.col("sections").isNull(), F.lit("sections are required")),
-                F.when((percent == "") | not_parsed(percent, parse_float(percent)), F.lit("pourcentage must be a number")),
+                F.when(F.col("patient_percent").isNull(), F.lit("pourcentage must be a number")),
                 F.when(bad_number, F.lit("quantite and montant must be numbers")),
             )
         ),
     )
 
 
-def keep_valid_articles(invoices: DataFrame) -> DataFrame:
+def accepted_invoices(checked: DataFrame) -> DataFrame:
+    return checked.where(F.size("errors") == 0).drop("errors")
+
+
+def rejected_invoices(checked: DataFrame) -> DataFrame:
+    return checked.where(F.size("errors") > 0)
+
+
+def keep_valid_articles(accepted: DataFrame) -> DataFrame:
     """What a form may submit: labelled articles with quantity > 0 and amount >= 0, in titled,
     non-empty sections. An invoice left without sections is dropped.
     """
 
     def valid(a: Column) -> Column:
-        return F.coalesce(
-            (a["libelle"] != "") & (parse_float(a["quantite"]) > 0) & (parse_float(a["montant"]) >= 0),
-            F.lit(False),
-        )
+        return F.coalesce((a["libelle"] != "") & (a["quantite"] > 0) & (a["montant"] >= 0), F.lit(False))
 
-    def trimmed_article(a: Column) -> Column:
-        return F.struct(browser_trim(a["libelle"]).alias("libelle"), a["quantite"].alias("quantite"), a["montant"].alias("montant"))
-
-    def trimmed_section(s: Column) -> Column:
-        articles = F.filter(F.transform(s["articles"], trimmed_article), valid)
-        return F.struct(browser_trim(s["titre"]).alias("titre"), articles.alias("articles"))
+    def section(s: Column) -> Column:
+        trimmed = F.transform(s["articles"], lambda a: a.withField("libelle", browser_trim(a["libelle"])))
+        return F.struct(browser_trim(s["titre"]).alias("titre"), F.filter(trimmed, valid).alias("articles"))
 
     kept = F.filter(
-        F.transform("sections", trimmed_section),
+        F.transform("sections", section),
         lambda s: F.coalesce((s["titre"] != "") & (F.size(s["articles"]) > 0), F.lit(False)),
     )
-    return invoices.withColumn("sections", kept).where(F.size("sections") > 0)
+    return compute_once(accepted, {"sections": kept}).where(F.size("sections") > 0)
 
 
-def price(invoices: DataFrame) -> DataFrame:
-    """Adds patient_percent and turns the sections' text into numbers with their net amount.
+def price(accepted: DataFrame) -> DataFrame:
+    """Defaults for what is missing, and the net amount of every article.
 
-    The net of an article is rounded on its own, half to even.
+    A net amount is rounded on its own, half to even.
     """
-    share = F.lit(100.0) - F.coalesce(parse_float(F.col("meta.pourcentage")), F.lit(0.0))
-    priced = invoices.withColumn("patient_percent", share)
 
     def article(a: Column) -> Column:
-        quantity = F.coalesce(parse_float(a["quantite"]), F.lit(DEFAULT_QUANTITY))
-        amount = F.coalesce(parse_float(a["montant"]), F.lit(DEFAULT_AMOUNT))
+        quantity = F.coalesce(a["quantite"], F.lit(DEFAULT_QUANTITY))
+        amount = F.coalesce(a["montant"], F.lit(DEFAULT_AMOUNT))
         return F.struct(
             F.coalesce(a["libelle"], F.lit(DEFAULT_LABEL)).alias("libelle"),
             quantity.alias("quantite"),
@@ -85,7 +102,7 @@ def price(invoices: DataFrame) -> DataFrame:
         articles = F.coalesce(F.transform(s["articles"], article), F.array())
         return F.struct(F.coalesce(s["titre"], F.lit(DEFAULT_TITLE)).alias("titre"), articles.alias("articles"))
 
-    return priced.withColumn("sections", F.transform("sections", section))
+    return accepted.withColumn("sections", F.transform("sections", section))
 
 
 def net_amount(amount: Column, quantity: Column, patient_percent: Column) -> Column:

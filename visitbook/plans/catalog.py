@@ -229,7 +229,7 @@ def coverage_split(spark, sf_dir):
 
 def _priced(spark, sf_dir):
     checked = invoice.check_invoices(stand_ins.invoices(spark, sf_dir))
-    return invoice.price(invoice.keep_valid_articles(checked.where(F.size("errors") == 0)))
+    return invoice.price(invoice.keep_valid_articles(invoice.accepted_invoices(checked)))
 
 
 @query
@@ -255,14 +255,14 @@ def nested_invoice_totals(spark, sf_dir):
 def raw_invoice_totals(spark, sf_dir):
     """Totals of the documents as sent, where missing parts take their defaults."""
     checked = invoice.check_invoices(stand_ins.invoices(spark, sf_dir))
-    priced = invoice.price(checked.where(F.size("errors") == 0))
+    priced = invoice.price(invoice.accepted_invoices(checked))
     return invoice.with_totals(priced).select("invoice_id", "l_linenumber", "total")
 
 
 @query
 def rejected_invoices(spark, sf_dir):
     checked = invoice.check_invoices(stand_ins.invoices(spark, sf_dir))
-    return checked.where(F.size("errors") > 0).select(
+    return invoice.rejected_invoices(checked).select(
         "invoice_id", "l_linenumber", F.array_join("errors", "; ").alias("errors")
     )
 

@@ -11,7 +11,15 @@ from visitbook.functions.text import ellipsis
 from visitbook.operators.access import display_labels, project_for_role, visible_columns
 from visitbook.operators.distribution import top_names
 from visitbook.operators.ingest import accepted, check_inserts, rejected, to_rows
-from visitbook.operators.invoice import check_invoices, invoice_lines, keep_valid_articles, price, with_totals
+from visitbook.operators.invoice import (
+    accepted_invoices,
+    check_invoices,
+    invoice_lines,
+    keep_valid_articles,
+    price,
+    rejected_invoices,
+    with_totals,
+)
 from visitbook.operators.search import latest, search
 from visitbook.operators.series import daily_visits, monthly_visits, with_revenue
 from visitbook.schemas import PAGE_SIZE, PATIENTS, UNITS
@@ -54,11 +62,11 @@ def listing(visits: DataFrame, query: str, role: str, size: object = PAGE_SIZE)
 def billing(invoices: DataFrame) -> dict[str, DataFrame]:
     """Priced lines, totals and refused documents."""
     checked = check_invoices(invoices)
-    priced = price(keep_valid_articles(checked.where(F.size("errors") == 0)))
+    priced = price(keep_valid_articles(accepted_invoices(checked)))
     return {
         "lines": invoice_lines(priced, "invoice_id"),
         "totals": with_totals(priced).select("invoice_id", "meta", "patient_percent", "subtotals", "total"),
-        "rejected": checked.where(F.size("errors") > 0),
+        "rejected": rejected_invoices(checked),
     }
 
 

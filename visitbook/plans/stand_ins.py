@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitbook.columns import compute_once
 from visitbook.schemas import NURSES, PHYSICIANS, RECEPTIONISTS
 from visitbook.session import configure
 from visitbook.sources.invoices import parse_invoices
@@ -77,13 +78,14 @@ def requests(events: DataFrame) -> DataFrame:
         entry("phone_number", F.lit(""), kind == "click"),
         entry("surname", F.lit("x"), value > 200),
     ]
-    return events.select(
+    fields = F.map_from_entries(F.array_compact(F.array(*entries)))
+    return compute_once(events, {"fields": fields}).select(
         F.col("event_id").alias("seq"),
         F.when(kind == "signup", "insert").when(kind == "error", "delete").otherwise("update").alias("op"),
         F.col("user_id").alias("id"),
         F.when(value < 5, F.lit(PHYSICIANS)).when(value < 15, F.lit(NURSES)).otherwise(F.lit(RECEPTIONISTS)).alias("role"),
         F.concat(F.lit("Dr_User_"), F.col("user_id").cast("string")).alias("username"),
-        F.map_from_entries(F.array_compact(F.array(*entries))).alias("fields"),
+        "fields",
         F.col("ts").alias("received_at"),
     )
 
