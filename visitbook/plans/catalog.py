@@ -261,7 +261,7 @@ def raw_invoice_totals(spark, sf_dir):
 
 @query
 def rejected_invoices(spark, sf_dir):
-    checked = invoice.check_invoices(stand_ins.invoices(spark, sf_dir))
+    checked = invoice.check_invoices(stand_ins.invoice_texts(spark, sf_dir))
     return invoice.rejected_invoices(checked).select(
         "invoice_id", "l_linenumber", F.array_join("errors", "; ").alias("errors")
     )

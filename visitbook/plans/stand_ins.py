@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitbook.columns import compute_once
-from visitbook.schemas import NURSES, PHYSICIANS, RECEPTIONISTS
+from visitbook.schemas import INVOICE_META, NURSES, PHYSICIANS, RECEPTIONISTS
 from visitbook.session import configure
 from visitbook.sources.invoices import parse_invoices
 
@@ -91,32 +91,42 @@ def requests(events: DataFrame) -> DataFrame:
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line item as a JSON invoice: valid and invalid articles, a blank section, a
+    """Every line item as a nested invoice: valid and invalid articles, a blank section, a
     repeated title, documents without sections or with a blank percentage.
     """
-    lines = table(spark, sf_dir, "lineitem")
     status = F.col("l_linestatus")
 
-    def article(label: Column | str, quantity: Column, amount: Column) -> Column:
-        text = F.lit(label) if isinstance(label, str) else label
-        return F.struct(text.alias("libelle"), quantity.cast("double").alias("quantite"), amount.cast("double").alias("montant"))
+    def article(label: str, quantity: Column, amount: Column) -> Column:
+        number = [quantity.cast("double").cast("string"), amount.cast("double").cast("string")]
+        return F.struct(F.lit(label).alias("libelle"), number[0].alias("quantite"), number[1].alias("montant"))
 
     def section(title: Column, *articles: Column) -> Column:
         return F.struct(title.alias("titre"), F.array(*articles).alias("articles"))
 
     goods = article(" goods ", F.col("l_quantity"), F.col("l_extendedprice"))
+    tax = article("tax", F.when(F.col("l_tax") > 0, F.lit(1)), F.col("l_tax") * 1000)
     sections = F.array(
-        section(status, goods, article("", F.lit(1), F.lit(5)),
-                article("tax", F.when(F.col("l_tax") > 0, F.lit(1)), F.col("l_tax") * 1000)),
+        section(status, goods, article("", F.lit(1), F.lit(5)), tax),
         section(F.lit("  "), goods),
         section(status, article("rebate", F.col("l_discount") * 100, F.lit(10.5))),
     )
     percent = F.when(F.col("l_returnflag") == "R", F.floor(F.col("l_discount") * 100).cast("string")).when(
         (F.col("l_returnflag") == "N") & (status == "F"), F.lit("")
     )
-    document = F.struct(
+    meta = F.struct(*[
+        {"nom": F.lit("Client"), "pourcentage": percent}.get(f.name, F.lit(None).cast("string")).alias(f.name)
+        for f in INVOICE_META
+    ])
+    return table(spark, sf_dir, "lineitem").select(
+        "l_linenumber",
         F.col("l_orderkey").alias("invoice_id"),
-        F.struct(F.lit("Client").alias("nom"), percent.alias("pourcentage")).alias("meta"),
+        meta.alias("meta"),
         F.when(F.col("l_linenumber") < 7, sections).alias("sections"),
     )
-    return parse_invoices(lines, F.to_json(document), "l_linenumber")
+
+
+def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same invoices as JSON text, parsed."""
+    nested = invoices(spark, sf_dir)
+    text = F.to_json(F.struct("invoice_id", "meta", "sections"))
+    return parse_invoices(nested.select("l_linenumber", text.alias("text")), F.col("text"), "l_linenumber")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from visitbook.schemas import INVOICE
 
 
 def read_invoices(spark: SparkSession, path: str) -> DataFrame:
     """JSON documents, one per line, with the text of those that do not parse."""
-    schema = StructType(INVOICE.fields).add("_corrupt_record", StringType())
+    schema = StructType([*INVOICE.fields, StructField("_corrupt_record", StringType())])
     return spark.read.schema(schema).json(path)
 
 
