@@ -71,7 +71,7 @@ def test_history(spark, people):
     wanted = spark.createDataFrame([(1,), (4,), (3,)], "id long")
     found = history.visit_history(people, wanted)
     assert ids(found) == [1, 3, 4]
-    assert {r.id: r.n_visits for r in history.with_history_count(found).collect()} == {1: 2, 4: 2, 3: 1}
+    assert {r.id: r.n_visits for r in found.collect()} == {1: 2, 4: 2, 3: 1}
 
 
 def test_history_equals_brute_force(spark):

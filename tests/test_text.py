@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from hypothesis import HealthCheck, given, settings
@@ -31,6 +32,20 @@ def test_strip_accents_every_character(spark):
     assert apply(spark, lines, text.strip_accents) == [bare(v) for v in lines]
 
 
+def test_tables_cover_unicode():
+    """The generated tables name every character they must, wherever it is."""
+    changed, spaces = set(), set()
+    for cp in range(sys.maxunicode + 1):
+        c = chr(cp)
+        if c.isspace():
+            spaces.add(c)
+        if not 0xD800 <= cp < 0xE000 and cp not in text._HANGUL and bare(c) != c:
+            changed.add(c)
+    source, _, several = text._accent_tables()
+    assert changed == set(source) | set(several)
+    assert spaces == set(text._python_whitespace())
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(values=st.lists(st.text(alphabet=st.characters(max_codepoint=0x2FFF, exclude_categories=["Cs", "Cn"])), max_size=40))
 def test_text_functions_match_python(spark, values):

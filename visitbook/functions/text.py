@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from visitbook.schemas import NURSES, RECEPTIONISTS
 
 _HANGUL = range(0xAC00, 0xD7A4)
+# Planes that hold characters which decompose or are marks; the rest is unassigned or private.
+_CODE_POINTS = (*range(0x80, 0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE0200))
 _CASED = r"\p{IsUppercase}\p{IsLowercase}\p{IsTitlecase}"
 
 # What a browser's trim() removes.
@@ -25,7 +26,7 @@ BROWSER_WHITESPACE = (
 
 @lru_cache(maxsize=None)
 def _python_whitespace() -> str:
-    return "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
+    return "".join(c for c in map(chr, range(0x10000)) if c.isspace())
 
 
 def strip_ws(c: Column) -> Column:
@@ -46,8 +47,8 @@ def _bare(text: str) -> str:
 def _accent_tables() -> tuple[str, str, dict[str, str]]:
     """Source and target strings for translate(), and the characters that become several."""
     single, removed, several = {}, [], {}
-    for cp in range(sys.maxunicode + 1):
-        if 0xD800 <= cp < 0xE000 or cp in _HANGUL:
+    for cp in _CODE_POINTS:
+        if cp in _HANGUL:
             continue
         c = chr(cp)
         bare = _bare(c)

@@ -60,19 +60,21 @@ def histogram(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """(bin, label, n) for equal-width bins from the minimum to the maximum.
 
     Every bin is returned, also an empty one; the maximum falls in the last bin, and a
-    constant column falls in the first. The bounds are a scalar subquery.
+    constant column falls in the first. The bounds reach the rows as a scalar subquery.
     """
     v = F.col(value)
     numbers = df.where(v.isNotNull() & ~F.isnan(v.cast("double"))).select(v.cast("double").alias(value))
-    ends = numbers.select(F.struct(F.min(v).alias("low"), F.max(v).alias("high"))).scalar()
-    low, width = ends["low"], (ends["high"] - ends["low"]) / bins
-    at = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((v - low) / width), F.lit(bins - 1)))
+    ends = numbers.agg(F.min(v).alias("low"), F.max(v).alias("high"))
+    at_ends = ends.select(F.struct("low", "high")).scalar()
+    width = (at_ends["high"] - at_ends["low"]) / bins
+    at = F.when(width == 0, F.lit(0)).otherwise(F.least(F.floor((v - at_ends["low"]) / width), F.lit(bins - 1)))
     counts = numbers.groupBy(at.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    start = low + F.col("bin") * width
-    return (
-        df.sparkSession.range(bins)
-        .withColumnRenamed("id", "bin")
-        .where(low.isNotNull())
-        .join(counts, "bin", "left")
-        .select("bin", bin_label(start, start + width).alias("label"), F.coalesce("n", F.lit(0)).alias("n"))
+    edges = ends.where(F.col("low").isNotNull()).select(
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"),
+        "low",
+        ((F.col("high") - F.col("low")) / bins).alias("width"),
+    )
+    start = F.col("low") + F.col("bin") * F.col("width")
+    return edges.join(counts, "bin", "left").select(
+        "bin", bin_label(start, start + F.col("width")).alias("label"), F.coalesce("n", F.lit(0)).alias("n")
     )

@@ -13,24 +13,17 @@ def history_of(visits: DataFrame, key: int, id: str = "id", name: str = "name")
 
 
 def visit_history(visits: DataFrame, ids: DataFrame, id: str = "id", name: str = "name") -> DataFrame:
-    """Every visit of every person behind the listed visits, once.
+    """Every visit of every person behind the listed visits, once, with n_visits of the person.
 
-    Names are made distinct first and the rows are found by semi-join, so persons
-    that are asked for many times or have very many visits multiply nothing.
+    Names are made distinct and counted first, so the join has one row per name and a
+    person who is asked for many times, or has very many visits, multiplies nothing. The
+    visits are the side adaptive execution may split when a name is very frequent.
     """
     persons = visits.join(ids.select(id), id, "left_semi").select(name).distinct()
-    return visits.join(persons, name, "left_semi")
+    counts = history_counts(visits.join(persons, name, "left_semi"), name)
+    return visits.join(counts, name)
 
 
 def history_counts(visits: DataFrame, name: str = "name") -> DataFrame:
-    """(name, n_visits)."""
+    """(name, n_visits), summed per task before the shuffle."""
     return visits.groupBy(name).agg(F.count(F.lit(1)).alias("n_visits"))
-
-
-def with_history_count(visits: DataFrame, name: str = "name") -> DataFrame:
-    """Each visit with the number of visits under its name.
-
-    Counts are aggregated per task before they are shuffled; in the join the visits
-    are the side adaptive execution may split when a name is very frequent.
-    """
-    return visits.join(history_counts(visits, name), name, "left")

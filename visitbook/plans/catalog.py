@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitbook.columns import compute_once
 from visitbook.functions import fields, labels, text
 from visitbook.operators import access, audit, changes, distribution, history, ingest, invoice, quality, search, series
 from visitbook.plans import requests as plans
@@ -128,8 +129,7 @@ def nurse_columns(spark, sf_dir):
 def visit_history(spark, sf_dir):
     visits = stand_ins.visits(spark, sf_dir)
     viewed = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"))
-    found = history.visit_history(visits, viewed)
-    return history.with_history_count(found).select("name", "id", "created_at", "n_visits")
+    return history.visit_history(visits, viewed).select("name", "id", "created_at", "n_visits")
 
 
 @query
@@ -334,8 +334,9 @@ def required_fields(spark, sf_dir):
 
 @query
 def accent_fold(spark, sf_dir):
-    folded = text.strip_accents(text.strip_ws(F.col("text")))
-    return table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folded = F.col("folded")
+    return compute_once(documents, {"folded": text.strip_accents(text.strip_ws(F.col("text")))}).select(
         "doc_id",
         F.char_length(folded).cast("bigint").alias("n_chars_folded"),
         F.md5(folded).alias("folded_md5"),

@@ -36,10 +36,13 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
     A line that is neither keeps its text and has no timestamp, so nothing is lost.
     One header row per file is joined back, which stays small next to the lines.
     """
+    # Dates and numbers aggregate by hashing, where the lines' text would be sorted.
+    day = F.when(F.col("line").rlike(HEADER_PATTERN), F.rtrim("line").try_cast("date"))
     headers = (
         lines.where(F.col("line_no").isNotNull())
+        .select("file", "line_no", day.alias("day"))
         .groupBy("file")
-        .agg(F.min("line_no").alias("header_no"), F.min_by("line", "line_no").alias("day"))
+        .agg(F.min("line_no").alias("header_no"), F.min_by("day", "line_no").alias("day"))
     )
     is_header = F.col("line").rlike(HEADER_PATTERN) & (F.col("line_no") == F.col("header_no"))
     part = [F.regexp_extract("line", EVENT_PATTERN, i) for i in range(1, 5)]
@@ -50,7 +53,7 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
         .where(F.col("line") != "")
         .select(
             "file",
-            F.when(is_event, F.concat(F.rtrim("day"), F.lit(" "), part[0]).try_cast("timestamp")).alias("ts"),
+            F.when(is_event, F.concat(F.col("day").cast("string"), F.lit(" "), part[0]).try_cast("timestamp")).alias("ts"),
             F.when(is_event, part[1]).alias("user_type"),
             F.when(is_event, part[2]).alias("action"),
             F.when(is_event, part[3]).alias("details"),
