@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import duckdb
 import pytest
-from conftest import SF
+from conftest import SF, plan
 
 import __spark_entry__ as contract
 from check_oracle import TABLES, rows
@@ -27,6 +27,8 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query_equals_sql(spark, db, name):
     df = contract.queries()[name](spark, SF)
+    text = plan(df, "simple")
+    assert "CartesianProduct" not in text and "NestedLoop" not in text and "Python" not in text
     cursor = db.execute(contract.oracle_sql()[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(columns) == sorted(df.columns)

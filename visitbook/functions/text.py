@@ -90,11 +90,15 @@ def strip_accents(c: Column) -> Column:
     """
     source, target, several = _accent_tables()
     translated = F.translate(c, source, target)
-    rare = f"[{chr(_HANGUL.start)}-{chr(_HANGUL.stop - 1)}{''.join(several)}]"
     split = F.array_join(F.transform(F.split(translated, ""), _decompose_char), "")
+    hangul = f"{chr(_HANGUL.start)}-{chr(_HANGUL.stop - 1)}"
+    low, high = [[x for x in several if (ord(x) > 0xFFFF) == astral] for astral in (False, True)]
+    # Few ranges are quick to search for; the exact set is tried where they match.
+    coarse = f"[{hangul}{min(low)}-{max(low)}{min(high)}-{max(high)}]"
+    exact = f"[{hangul}{''.join(several)}]"
     return (
         F.when(F.octet_length(c) == F.char_length(c), c)
-        .when(c.rlike(rare), split)
+        .when(c.rlike(coarse) & c.rlike(exact), split)
         .otherwise(translated)
     )
 

@@ -12,7 +12,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitbook.operators.ingest import accepted, check_inserts, check_updates, rejected, typed
+from visitbook.columns import compute_once
+from visitbook.operators.ingest import accepted, insert_columns, rejected, typed, update_columns
 from visitbook.schemas import CLINIC_TIME_ZONE, NURSES, PHYSICIANS, WRITABLE
 from visitbook.session import settle
 
@@ -33,16 +34,18 @@ class Applied(NamedTuple):
 def check_changes(
     changes: DataFrame, received_at: Column | None = None, tz: str = CLINIC_TIME_ZONE
 ) -> DataFrame:
-    """Cleaned fields and errors for every change, by its kind."""
-    inserts = check_inserts(changes.where(F.col("op") == "insert"), received_at, tz)
-    updates = check_updates(changes.where(F.col("op") == "update"))
-    others = changes.where(~F.coalesce(F.col("op").isin("insert", "update"), F.lit(False))).withColumn(
-        "errors",
-        F.when(F.col("op") == "delete", F.array().cast("array<string>")).otherwise(
-            F.array(F.lit("unknown operation"))
-        ),
+    """Cleaned fields and errors for every change, by its kind, in one pass."""
+    new_fields, new_errors = insert_columns(received_at, tz)
+    set_fields, set_errors = update_columns()
+    op = F.col("op")
+    errors = (
+        F.when(op == "insert", new_errors)
+        .when(op == "update", set_errors)
+        .when(op == "delete", F.array().cast("array<string>"))
+        .otherwise(F.array(F.lit("unknown operation")))
     )
-    return inserts.unionByName(updates).unionByName(others)
+    fields = F.when(op == "insert", new_fields).when(op == "update", set_fields)
+    return compute_once(changes, {"fields": fields, "errors": errors})
 
 
 def number_lives(changes: DataFrame) -> DataFrame:

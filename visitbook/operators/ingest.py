@@ -81,20 +81,17 @@ def _sign(fields: Column, role: Column, username: Column) -> Column:
     return F.when(role == PHYSICIANS, signed).otherwise(fields)
 
 
-def check_inserts(
-    requests: DataFrame, received_at: Column | None = None, tz: str = CLINIC_TIME_ZONE
-) -> DataFrame:
-    """Cleaned `fields` and an `errors` array for new visits; a request without errors is accepted.
+def _raw_fields() -> Column:
+    return F.coalesce(F.col("fields"), F.create_map().cast("map<string,string>"))
 
-    Requests carry role, username and fields, a map from column to submitted text.
-    `received_at` is the instant of the request, by default the time of the query.
-    """
-    raw = F.coalesce(F.col("fields"), F.create_map().cast("map<string,string>"))
+
+def insert_columns(received_at: Column | None = None, tz: str = CLINIC_TIME_ZONE) -> tuple[Column, Column]:
+    """(cleaned fields, errors) of a request for a new visit."""
+    raw = _raw_fields()
     parts = {p: age_part(raw[p]) for p in AGE_PARTS}
     errors = _common_errors(raw)
     errors += [F.when(v.isNull(), F.lit(f"{p} must be an integer")) for p, v in parts.items()]
-    others = [c for c in WRITABLE if c not in AGE_PARTS and c not in ("age", "created_at")]
-    errors += _type_errors(raw, others)
+    errors += _type_errors(raw, [c for c in WRITABLE if c not in AGE_PARTS and c not in ("age", "created_at")])
 
     numeric = [c for c in INSERT_NUMERIC if c not in AGE_PARTS]
     stamps = {
@@ -103,16 +100,27 @@ def check_inserts(
         "created_at": clinic_day(F.current_timestamp() if received_at is None else received_at, tz),
     }
     cleaned = _stamp(_clear_blanks(raw, INSERT_BLANK_TO_NULL + numeric), stamps)
-    signed = _sign(cleaned, F.col("role"), F.col("username"))
-    return compute_once(requests, {"fields": signed, "errors": F.array_compact(F.array(*errors))})
+    return _sign(cleaned, F.col("role"), F.col("username")), F.array_compact(F.array(*errors))
 
 
-def check_updates(requests: DataFrame) -> DataFrame:
-    """Cleaned `fields` and an `errors` array for partial updates."""
-    raw = F.coalesce(F.col("fields"), F.create_map().cast("map<string,string>"))
+def update_columns() -> tuple[Column, Column]:
+    """(cleaned fields, errors) of a request for a partial update."""
+    raw = _raw_fields()
     errors = _common_errors(raw) + _type_errors(raw, list(WRITABLE))
     cleaned = _clear_blanks(_sign(raw, F.col("role"), F.col("username")), UPDATE_BLANK_TO_NULL)
-    return compute_once(requests, {"fields": cleaned, "errors": F.array_compact(F.array(*errors))})
+    return cleaned, F.array_compact(F.array(*errors))
+
+
+def check_inserts(
+    requests: DataFrame, received_at: Column | None = None, tz: str = CLINIC_TIME_ZONE
+) -> DataFrame:
+    """Cleaned `fields` and an `errors` array for new visits; a request without errors is accepted.
+
+    Requests carry role, username and fields, a map from column to submitted text.
+    `received_at` is the instant of the request, by default the time of the query.
+    """
+    fields, errors = insert_columns(received_at, tz)
+    return compute_once(requests, {"fields": fields, "errors": errors})
 
 
 def accepted(checked: DataFrame) -> DataFrame:
