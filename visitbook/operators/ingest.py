@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, IntegerType
 
-from visitbook.columns import compute_once
+from visitbook.columns import compute_once, present
 from visitbook.functions.fields import (
     age_in_years,
     age_part,
@@ -53,8 +53,7 @@ def _type_errors(fields: Column, columns: list[str]) -> list[Column]:
 
 
 def _common_errors(fields: Column) -> list[Column]:
-    known = F.array(*[F.lit(c) for c in WRITABLE])
-    unknown = F.exists(F.map_keys(fields), lambda k: ~F.array_contains(known, k))
+    unknown = F.exists(F.map_keys(fields), lambda k: ~k.isin(*WRITABLE))
     return [
         F.when(F.nullif(fields["name"], F.lit("")).isNull(), F.lit("name is required")),
         F.when(unknown, F.lit("unknown column")),
@@ -62,17 +61,14 @@ def _common_errors(fields: Column) -> list[Column]:
 
 
 def _clear_blanks(fields: Column, columns: list[str]) -> Column:
-    listed = F.array(*[F.lit(c) for c in columns])
-    return F.transform_values(
-        fields, lambda k, v: F.when(F.array_contains(listed, k) & (v == ""), F.lit(None)).otherwise(v)
-    )
+    return F.transform_values(fields, lambda k, v: F.when((v == "") & k.isin(*columns), F.lit(None)).otherwise(v))
 
 
 def _stamp(fields: Column, values: dict[str, Column]) -> Column:
     """Set keys that the system supplies, whatever the request says about them."""
     keys = F.array(*[F.lit(k) for k in values])
     stamps = F.map_from_arrays(keys, F.array(*[v.cast("string") for v in values.values()]))
-    return F.map_concat(F.map_filter(fields, lambda k, _: ~F.array_contains(keys, k)), stamps)
+    return F.map_concat(F.map_filter(fields, lambda k, _: ~k.isin(*values)), stamps)
 
 
 def _sign(fields: Column, role: Column, username: Column) -> Column:
@@ -100,7 +96,7 @@ def insert_columns(received_at: Column | None = None, tz: str = CLINIC_TIME_ZONE
         "created_at": clinic_day(F.current_timestamp() if received_at is None else received_at, tz),
     }
     cleaned = _stamp(_clear_blanks(raw, INSERT_BLANK_TO_NULL + numeric), stamps)
-    return _sign(cleaned, F.col("role"), F.col("username")), F.array_compact(F.array(*errors))
+    return _sign(cleaned, F.col("role"), F.col("username")), present(errors)
 
 
 def update_columns() -> tuple[Column, Column]:
@@ -108,7 +104,7 @@ def update_columns() -> tuple[Column, Column]:
     raw = _raw_fields()
     errors = _common_errors(raw) + _type_errors(raw, list(WRITABLE))
     cleaned = _clear_blanks(_sign(raw, F.col("role"), F.col("username")), UPDATE_BLANK_TO_NULL)
-    return cleaned, F.array_compact(F.array(*errors))
+    return cleaned, present(errors)
 
 
 def check_inserts(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitbook.columns import compute_once
+from visitbook.columns import compute_once, present
 from visitbook.functions.fields import parse_float, round_half_even, spaced_int
 from visitbook.functions.text import browser_trim
 from visitbook.schemas import INSURER_SHARE
@@ -42,17 +42,13 @@ def check_invoices(invoices: DataFrame) -> DataFrame:
     share = F.when(F.col("meta.pourcentage").isNull(), F.lit(100.0)).otherwise(100 - percent)
     read = compute_once(invoices, {"patient_percent": share, "sections": F.transform("sections", section)})
     bad_number = F.exists("sections", lambda s: F.exists(s["articles"], lambda a: a["bad"]))
-    return read.withColumn(
-        "errors",
-        F.array_compact(
-            F.array(
-                F.when(F.col("meta").isNull(), F.lit("meta is required")),
-                F.when(F.col("sections").isNull(), F.lit("sections are required")),
-                F.when(F.col("patient_percent").isNull(), F.lit("pourcentage must be a number")),
-                F.when(bad_number, F.lit("quantite and montant must be numbers")),
-            )
-        ),
-    )
+    errors = present([
+        F.when(F.col("meta").isNull(), F.lit("meta is required")),
+        F.when(F.col("sections").isNull(), F.lit("sections are required")),
+        F.when(F.col("patient_percent").isNull(), F.lit("pourcentage must be a number")),
+        F.when(bad_number, F.lit("quantite and montant must be numbers")),
+    ])
+    return read.withColumn("errors", errors)
 
 
 def accepted_invoices(checked: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visitbook.columns import present
 from visitbook.schemas import PAGE_SIZE
 
 
@@ -31,12 +32,12 @@ def search(df: DataFrame, query: str, columns: tuple[str, ...] = ("name", "adres
 def search_many(
     df: DataFrame, queries: list[str], columns: tuple[str, ...] = ("name", "adresse")
 ) -> DataFrame:
-    """Answer several queries in one scan: one output row per row and matching query (column q).
+    """Answer several queries in one scan: one output row per row and distinct matching query (column q).
 
     The patterns are constants compiled once per task; there is no join.
     """
-    hits = F.array(*[F.when(matches(q, list(columns)), F.lit(q)) for q in queries])
-    return df.withColumn("q", F.explode(F.array_compact(hits)))
+    hits = present([F.when(matches(q, list(columns)), F.lit(q)) for q in queries])
+    return df.withColumn("q", F.explode(hits))
 
 
 def by_id(df: DataFrame, key: int, id: str = "id") -> DataFrame:

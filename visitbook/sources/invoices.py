@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from visitbook.columns import unpack_once
 from visitbook.schemas import INVOICE
 
 
@@ -18,7 +19,6 @@ def read_invoices(spark: SparkSession, path: str) -> DataFrame:
 def parse_invoices(df: DataFrame, json: Column, *keep: str) -> DataFrame:
     """Documents held as JSON text in a column, next to the columns in `keep`.
 
-    Inlined as a generated row, so that each text is parsed once however many fields
-    are used afterwards.
+    Each text is parsed once, however many of its fields are used.
     """
-    return df.select(*keep, F.inline(F.array(F.from_json(json, INVOICE))))
+    return unpack_once(df, F.from_json(json, INVOICE), list(keep))
