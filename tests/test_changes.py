@@ -138,6 +138,13 @@ def test_order_of_changes(spark):
     assert rejected == {9: ["id exists"], 13: ["id exists"]}
 
 
+def test_other_columns_are_kept(spark):
+    table = base(spark, (1, {"name": "Ana"}), (2, {"name": "Bob"})).select("id", "name").withColumn("origin", F.lit("x"))
+    rows, deleted, _ = applied(spark, table, update(1, 1, name="A"), delete(2, 2), insert(3, 3))
+    assert {k: (r.name, r.origin) for k, r in rows.items()} == {1: ("A", "x"), 3: ("Ana", None)}
+    assert deleted[(2, 2)].origin == "x"
+
+
 def simulate(stored, rows):
     """One change after the other, on name and adresse."""
     table, images, refused = {i: dict(v) for i, v in stored.items()}, {}, set()

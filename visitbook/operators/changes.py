@@ -116,12 +116,13 @@ def apply_changes(
 
     The folded batch is written once to the shared scratch folder: the results use it
     several times, and the size of the written table lets Spark join the stored table
-    without shuffling it when the batch is small.
+    without shuffling it when the batch is small. Columns that changes cannot write are
+    kept for stored rows and are null in new ones.
     """
     spark = base.sparkSession
     checked = settle(check_changes(changes, received_at, tz), spark, "checked")
     folded = settle(fold_changes(accepted(checked)), spark, "folded")
-    columns = [c for c in WRITABLE if c in base.columns]
+    others = [c for c in base.columns if c != "id"]
 
     def value(c: str, stored: Column | None) -> Column:
         update = F.col(f"set.{c}")
@@ -133,16 +134,16 @@ def apply_changes(
     # Stored rows with the changes of their first life.
     first = folded.where(F.col("life") == 0).select("id", "ended", "set")
     stored = base.join(first, "id", "left").select(
-        "id", F.col("ended"), *[value(c, F.col(c)) for c in columns]
+        "id", F.col("ended"), *[value(c, F.col(c)) if c in WRITABLE else F.col(c) for c in others]
     )
     # Lives that begin with an insert; a first life cannot if the id is stored already.
     begun = folded.where(F.col("start").isNotNull())
     taken = base.select("id").join(begun.where(F.col("life") == 0).select("id"), "id", "left_semi")
     taken = taken.withColumn("life", F.lit(0).cast(folded.schema["life"].dataType))
     fresh = begun.join(taken, ["id", "life"], "left_anti").select(
-        "id", "ended", *[value(c, None) for c in columns]
+        "id", "ended", *[value(c, None) for c in others if c in WRITABLE]
     )
-    lives = stored.unionByName(fresh)
+    lives = stored.unionByName(fresh, allowMissingColumns=True)
 
     # Inserts that met an existing row, sought only among the ids where that happened.
     suspects = begun.where(F.col("n_inserts") > 1).select("id").unionByName(taken.select("id"))

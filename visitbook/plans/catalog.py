@@ -106,6 +106,7 @@ def visits_by_id(spark, sf_dir):
 
 @query
 def visit_by_id(spark, sf_dir):
+    """Looking up one visit is the feature."""
     return search.by_id(stand_ins.visits(spark, sf_dir), 7).select("id", "name", "created_at")
 
 
@@ -134,6 +135,7 @@ def visit_history(spark, sf_dir):
 
 @query
 def history_of_one(spark, sf_dir):
+    """The history page of one visit."""
     return history.history_of(stand_ins.visits(spark, sf_dir), 7).select("id", "name", "created_at")
 
 

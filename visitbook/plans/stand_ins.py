@@ -66,15 +66,23 @@ def requests(events: DataFrame) -> DataFrame:
         return pair if when is None else F.when(when, pair)
 
     day = F.date_format("ts", "yyyy-MM-dd")
+    user = F.col("user_id").cast("string")
+    name = F.when(between(1, 2), F.lit("")).otherwise(F.concat(F.lit("Name "), user))
+    adresse = F.when(kind == "view", F.lit("")).otherwise(F.col("props"))
+    birth = F.when(value < 8, F.lit("")).when(value < 9, F.lit("31/12/1990")).otherwise(day)
+    years = F.when((kind == "click") & (value < 3), F.lit("")).otherwise(user)
+    months = F.when(value < 1, F.lit("")).when(between(4, 5), F.lit("12.5")).otherwise(F.lit("6"))
+    weight = F.when(between(5, 6), F.lit("abc")).when(between(6, 7), F.lit("")).otherwise(value.cast("string"))
+    temperature = F.when(value < 3, F.lit("")).when(value < 4, F.lit("hot")).otherwise(F.lit("38.5"))
     entries = [
-        entry("name", F.when(between(1, 2), F.lit("")).otherwise(F.concat(F.lit("Name "), F.col("user_id").cast("string")))),
-        entry("adresse", F.when(kind == "view", F.lit("")).otherwise(F.col("props")), kind != "purchase"),
-        entry("date_of_birth", F.when(value < 8, F.lit("")).when(value < 9, F.lit("31/12/1990")).otherwise(day), kind == "signup"),
-        entry("age_years", F.when((kind == "click") & (value < 3), F.lit("")).otherwise(F.col("user_id").cast("string"))),
-        entry("age_months", F.when(value < 1, F.lit("")).when(between(4, 5), F.lit("12.5")).otherwise(F.lit("6"))),
+        entry("name", name),
+        entry("adresse", adresse, kind != "purchase"),
+        entry("date_of_birth", birth, kind == "signup"),
+        entry("age_years", years),
+        entry("age_months", months),
         entry("age_days", F.lit("10"), value <= 150),
-        entry("poids", F.when(between(5, 6), F.lit("abc")).when(between(6, 7), F.lit("")).otherwise(value.cast("string")), kind != "error"),
-        entry("temperature", F.when(value < 3, F.lit("")).when(value < 4, F.lit("hot")).otherwise(F.lit("38.5")), kind != "purchase"),
+        entry("poids", weight, kind != "error"),
+        entry("temperature", temperature, kind != "purchase"),
         entry("phone_number", F.lit(""), kind == "click"),
         entry("surname", F.lit("x"), value > 200),
     ]
@@ -83,8 +91,8 @@ def requests(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("seq"),
         F.when(kind == "signup", "insert").when(kind == "error", "delete").otherwise("update").alias("op"),
         F.col("user_id").alias("id"),
-        F.when(value < 5, F.lit(PHYSICIANS)).when(value < 15, F.lit(NURSES)).otherwise(F.lit(RECEPTIONISTS)).alias("role"),
-        F.concat(F.lit("Dr_User_"), F.col("user_id").cast("string")).alias("username"),
+        F.when(value < 5, PHYSICIANS).when(value < 15, NURSES).otherwise(RECEPTIONISTS).alias("role"),
+        F.concat(F.lit("Dr_User_"), user).alias("username"),
         "fields",
         F.col("ts").alias("received_at"),
     )
