@@ -83,6 +83,19 @@ def test_history_equals_brute_force(spark):
     assert ids(history.visit_history(visits, viewed)) == sorted(r.id for r in rows if r.name in names)
 
 
+def test_history_of_a_very_frequent_name(spark):
+    """Half of the rows share one name, and that name is asked for many times."""
+    visits = spark.range(4000).select(
+        "id", F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("n"), F.col("id") % 7)).alias("name")
+    )
+    wanted = spark.range(0, 4000, 2).unionByName(spark.createDataFrame([(1,)], "id long"))
+    found = history.visit_history(visits, wanted)
+    got = {r.name: (r.n, r.least, r.most) for r in found.groupBy("name").agg(
+        F.count("*").alias("n"), F.min("n_visits").alias("least"), F.max("n_visits").alias("most")).collect()}
+    one = sum(1 for i in range(1, 4000, 2) if i % 7 == 1)
+    assert got == {"hot": (2000, 2000, 2000), "n1": (one, one, one)}
+
+
 def test_roles():
     assert {role: len(columns) for role, columns in ROLE_COLUMNS.items()} == {
         "medecins": 17, "infirmiers": 6, "receptionistes": 7
