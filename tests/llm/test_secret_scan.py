@@ -1,0 +1,90 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pytest
+from cases import awkward, documents, empty
+
+from visitbook.llm import secret_scan as ss
+from visitbook.llm.queries import QUERIES
+
+
+def brute_force(text):
+    """The base kinds, as the patterns are stated: match, then drop what is too short."""
+    text = text or ""
+    found = []
+    for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(?-i:([A-Za-z0-9+/_.=-]+))""", text):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, m.end()))
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+KINDS = ["assign", "access", "hex"]
+SF = "/root/testdata/sf0.01"  # the smallest tables that hold secrets
+
+
+def row(text):
+    spans = brute_force(text)
+    n = [sum(k == i for _, k, _ in spans) for i in range(3)]
+    listed = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return (*n, hashlib.sha256(listed.encode()).hexdigest()), listed
+
+
+def test_query_equals_brute_force(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op1_secret_scan"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        counts, listed = row(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == counts
+        assert [s for s in r.spans.split(",") if s and not s.startswith("novel")] == [s for s in listed.split(",") if s]
+    assert any(r.spans for r in rows)
+
+
+TEXTS = [
+    "secret=token:abcdefgh", "PassWord : 'hunter22' x", "ſecret=abcdefg toKen=abcdefg toKen=abcdefg", "apikey=12345",
+    "api_key=\"123456\" token=abc=def", "AKIA" + "A" * 15 + " AKIA" + "B" * 16, "é" * 9 + "a" * 23 + "g" + "0f" * 12,
+    "AKIAAKIA" + "Z9" * 8, "token = = x", "passwd   =   ====== ", "İ password=abcdef",
+]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_base_kinds(text):
+    found = ss.find_secrets(text, ss.Novelty(b""))
+    base = [(s.start, KINDS.index(s.kind), s.end) for s in found if s.kind != "novel"]
+    assert base == brute_force(text)
+
+
+def test_novelty_prefers_random_strings(spark):
+    # Separated from the sensitive word by other text, so that no fixed pattern sees them.
+    random = "Authorization header carries Zq8xLw2Vn5TbYr7KcMd4 for the call"
+    placeholder = "Authorization header carries your_access_token_value1 for the call"
+    dictionary = b"access_token_value1\nyour_access_token_value1\nthe call"
+    novelty = ss.Novelty(dictionary)
+    assert [s.kind for s in ss.find_secrets(random, novelty)] == ["novel"]
+    assert ss.find_secrets(placeholder, novelty) == []
+    assert ss.find_secrets(random.replace("Authorization", "Some other"), novelty) == []
+    a = random.index("Zq8")
+    assert novelty.bytes_added(random, a, a + 20) > novelty.bytes_added(placeholder, a, a + 24)
+
+
+def test_dictionary_holds_what_recurs(spark):
+    texts = [f"bearer credential config_loader Xy{i}AbZ" for i in range(6)] + ["nothing here"] * 9
+    assert ss.identifier_dictionary(documents(spark, texts)).split()[-1] in (b"bearer", b"config_loader", b"credential")
+    assert b"nothing" not in ss.identifier_dictionary(documents(spark, texts))
+
+
+def test_redaction(spark):
+    texts = ["x password=abcdefg1 y", "clean", None, "", "token=" + "0a" * 15]
+    rows = {r.doc_id: r for r in ss.redact(documents(spark, texts)).collect()}
+    assert [rows[i].text for i in range(5)] == ["x [secret] y", "clean", None, "", "[secret]"]
+    assert rows[0].n_chars == len("x [secret] y") and rows[1].n_chars == 5
+
+
+def test_awkward_rows(spark):
+    assert ss.scan_secrets(awkward(spark).withColumnRenamed("lang", "secrets")).count() == 11
+    assert ss.redact(awkward(spark)).count() == 11
+    assert ss.redact(empty(spark)).count() == 0
