@@ -8,9 +8,20 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitbook.llm import decontamination, jaccard_join, language_id, packing, secret_scan
+from visitbook.llm import (
+    decontamination,
+    jaccard_join,
+    language_id,
+    license_scan,
+    lm_scoring,
+    neighbours,
+    packing,
+    secret_scan,
+    suffix_dedup,
+    url_filter,
+)
 from visitbook.llm.sql import ORACLE  # noqa: F401 - registered with the queries
-from visitbook.session import configure, settle
+from visitbook.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,3 +89,33 @@ def op10_language_id(spark, sf_dir):
     model = language_id.train(docs.where(~held_out))
     found = language_id.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_url_filter(spark, sf_dir):
+    found = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op7_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(spark, table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_neighbours(spark, sf_dir):
+    return neighbours.nearest(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op8_lm_scoring(spark, sf_dir):
+    held_out = language_id.fold(F.col("doc_id"), 5) == 1
+    scored = lm_scoring.score_documents(spark, table(spark, sf_dir, "documents"), held_out)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+@query
+def op3_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents")).drop("text")

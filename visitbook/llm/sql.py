@@ -2,4 +2,107 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from visitbook.llm import license_scan as lic
+from visitbook.llm import url_filter as url
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def lowered(column: str) -> str:
+    return f"translate(coalesce({column}, ''), '{UPPER}', '{LOWER}')"
+
+
+def values(rows) -> str:
+    return ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in rows)
+
+
+DECONTAMINATION = f"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all({lowered("text")}, '{WORDS}') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(10, len(w)) AS n,
+    array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS gram
+  FROM item_words, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+doc_words AS (
+  SELECT doc_id, regexp_extract_all({lowered("text")}, '{WORDS}') AS w FROM documents),
+places AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS gram
+  FROM doc_words, (SELECT DISTINCT n FROM windows) AS s, unnest(range(1, len(w) - n + 2)) AS t(i)),
+hits AS (SELECT doc_id, i, p.n, item FROM places AS p JOIN windows AS v ON p.n = v.n AND p.gram = v.gram),
+hit_words AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, n)) AS t(k) GROUP BY doc_id),
+hit_items AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items
+  FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+URL_FILTER = f"""
+WITH split AS (
+  SELECT page_id, url, contains(coalesce(url, ''), '://') AS whole,
+    substr(url, strpos(url, '://') + 3) AS rest FROM pages),
+parts AS (
+  SELECT page_id, CASE WHEN whole THEN {lowered("regexp_extract(rest, '^[^/?#]*')")} ELSE '' END AS host,
+    CASE WHEN whole THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
+    {lowered("url")} AS low FROM split),
+rules AS (SELECT * FROM (VALUES {values(url.HOST_RULES)}) AS r(kind, rule_host, rule_path)),
+fits AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+    arg_max(kind, length(rule_host || rule_path)) AS kind
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(kind, {url.sql_verdict("low")}) AS verdict
+FROM parts LEFT JOIN fits USING (page_id)
+"""
+
+LICENSE_SCAN = f"""
+WITH notices AS (
+  SELECT *, string_split(notice, ' ') AS tw, len(string_split(notice, ' ')) - {lic.K - 1} AS runs
+  FROM (VALUES {values((i, a, t, i < len(lic.PHRASES)) for i, (a, t) in enumerate([*lic.PHRASES, *lic.TEMPLATES]))})
+    AS v(template, label, notice, is_phrase)),
+positions AS (
+  SELECT template, label, is_phrase, runs, t_at, array_to_string(tw[t_at + 1 : t_at + {lic.K}], ' ') AS gram
+  FROM notices, unnest(range(0, runs)) AS t(t_at)),
+doc_words AS (
+  SELECT doc_id, regexp_extract_all({lowered("text")}, '{WORDS}') AS w FROM documents),
+grams AS (
+  SELECT doc_id, place, array_to_string(w[place + 1 : place + {lic.K}], ' ') AS gram
+  FROM doc_words, unnest(range(0, len(w) - {lic.K - 1})) AS t(place)),
+diagonals AS (
+  SELECT doc_id, template, label, is_phrase, runs, place - t_at AS diagonal, count(*) AS hits,
+    min(place) AS first_place, max(place) + {lic.K} AS last_place
+  FROM grams JOIN positions USING (gram) GROUP BY ALL),
+jumps AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER o <= {lic.DRIFT} THEN 0 ELSE 1 END AS jump
+  FROM diagonals WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+marked AS (
+  SELECT *, sum(jump) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS merged,
+    is_phrase AND hits = runs AS whole FROM jumps),
+grouped AS (
+  SELECT doc_id, label, sum(hits) / runs AS ratio, max(last_place) - min(first_place) AS span,
+    runs + {lic.K - 1} AS words, count(*) FILTER (whole) AS n_base,
+    min(diagonal) FILTER (whole) AS first_word, max(diagonal) FILTER (whole) AS last_word
+  FROM marked GROUP BY doc_id, template, label, runs, merged),
+judged AS (
+  SELECT *, CASE WHEN span <= {lic.STRETCH} * words * greatest(1.0, ratio) THEN least(1.0, ratio)
+    ELSE least(1.0, ratio, {lic.COVERAGE / 2}) END AS share FROM grouped),
+per_doc AS (
+  SELECT doc_id, sum(n_base) AS n_base, min(first_word) AS first_word, max(last_word) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (n_base > 0) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (n_base > 0 OR share >= {lic.COVERAGE}) AS labels,
+    max(CASE WHEN n_base > 0 THEN 1.0 ELSE share END) AS score
+  FROM judged GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM doc_words LEFT JOIN per_doc USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {
+    "op4_url_filter": URL_FILTER,
+    "op5_decontamination": DECONTAMINATION,
+    "op7_license_scan": LICENSE_SCAN,
+}
