@@ -11,7 +11,7 @@ from visitbook.operators import audit, quality, series
 from visitbook.plans import stand_ins
 from visitbook.plans.catalog import QUERIES
 from visitbook.schemas import ACTION_LOGS, PATIENTS, VISITS
-from visitbook.session import scratch_dir
+from visitbook.session import finished_batches, remove_folder, scratch_dir
 from visitbook.sources import logs
 from visitbook.sources.results import write_result
 from visitbook.sources.visits import read_visits
@@ -164,12 +164,64 @@ def test_daily_stream_over_several_runs(spark, tmp_path):
     assert arrive(T(2024, 5, 4)) == {1: 1, 2: 0, 3: 3, 4: 1}
 
 
+def test_daily_series_before_the_first_trigger(spark, tmp_path):
+    assert jobs.read_daily_series(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_old_versions_of_the_daily_series_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "KEPT_VERSIONS", 2)
+    source, out = tmp_path / "in", tmp_path / "out"
+    for i in range(4):
+        spark.createDataFrame([(T(2024, 5, 1, i),)], "created_at timestamp_ntz").write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("created_at timestamp_ntz").parquet(str(source))
+        jobs.stream_daily_visits(stream, f"{out}/t", f"{out}/c").awaitTermination()
+    assert finished_batches(spark, f"{out}/t") == [2, 3]
+    (out / "t" / "batch_id=9").mkdir()  # a version that is still being written
+    assert [r.n for r in jobs.read_daily_series(spark, f"{out}/t").collect()] == [4]
+
+
+def test_stream_log_writes_few_files(spark, tmp_path):
+    events = stand_ins.log(stand_ins.stream(spark, SF, "events"))
+    jobs.stream_log(events, f"{tmp_path}/t", f"{tmp_path}/c").awaitTermination()
+    days = list((tmp_path / "t").glob("batch_id=*/log_date=*"))
+    assert len(days) == 30 and all(len(list(d.glob("part-*"))) == 1 for d in days)
+    assert logs.read_log(spark, f"{tmp_path}/t").columns[-1] == "log_date"
+
+
+def test_lines_of_a_hot_file_are_split(spark):
+    """One file holds nearly all lines; without a broadcast its lines still go to several tasks."""
+    options = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+    }
+    before = {k: spark.conf.get(k, None) for k in options}
+    hot = F.when(F.col("id") % 10 < 8, "hot").otherwise(F.col("id").cast("string"))
+    no, text = F.when(F.col("id") < 10, F.col("id")), F.concat(F.lit("noise "), F.sha2(F.col("id").cast("string"), 512))
+    lines = spark.range(0, 20000, 1, 8).select(hot.alias("file"), no.alias("line_no"), text.alias("line"))
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        df = logs.parse_log_lines(lines)
+        assert len(df.collect()) == 20000
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_daily_stream_equals_batch(spark):
     events = stand_ins.table(spark, SF, "events")
     want = series.with_revenue(series.daily_visits(events, "ts")).collect()
     assert sorted(QUERIES["stream_daily"](spark, SF).collect()) == sorted(want)
 
 
+def test_folders_can_be_removed(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/x")
+    remove_folder(spark, f"{tmp_path}/x")
+    assert not (tmp_path / "x").exists()
+
+
 def test_scratch_dir_is_shared_and_fresh(spark):
     a, b = scratch_dir(spark, "x"), scratch_dir(spark, "x")
     assert a != b

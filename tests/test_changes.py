@@ -162,14 +162,30 @@ def simulate(stored, rows):
     return table, images, refused
 
 
-@pytest.mark.parametrize("seed,stretch", [(1, 100_000), (2, 7), (3, 3)])
-def test_changes_equal_one_by_one(spark, monkeypatch, seed, stretch):
-    """Random batches with one very busy id; short stretches exercise the two-level count."""
-    monkeypatch.setattr(changes, "STRETCH", stretch)
+@pytest.fixture
+def settings(spark):
+    """Set Spark options for one test."""
+    before = {}
+
+    def put(**options):
+        for key, value in options.items():
+            key = key.replace("__", ".")
+            before.setdefault(key, spark.conf.get(key))
+            spark.conf.set(key, value)
+
+    yield put
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+@pytest.mark.parametrize("seed,spread", [(1, 1), (2, 10**9), (3, 7)])
+def test_changes_equal_one_by_one(spark, settings, seed, spread):
+    """Random batches with one very busy id, whose changes span many stretches, dense or sparse."""
+    settings(spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="20")
     rng = random.Random(seed)
     stored = {i: {"name": f"n{i}", "adresse": "s"} for i in range(6)}
     rows = []
-    for seq in rng.sample(range(-200, 1000), 150):
+    for seq in [s * spread + rng.randrange(spread) for s in rng.sample(range(-200, 1000), 150)]:
         id = 1 if rng.random() < 0.4 else rng.randrange(9)
         fields = {"name": f"v{seq}"} | ({"adresse": rng.choice(["", f"a{seq}"])} if rng.random() < 0.5 else {})
         kind = rng.choice(["insert", "update", "update", "delete"])
@@ -182,12 +198,36 @@ def test_changes_equal_one_by_one(spark, monkeypatch, seed, stretch):
     assert set(rejected) == refused
 
 
+def test_busy_id_is_no_single_window(spark, settings):
+    """With sparse seq values one id's changes lie in several stretches, each a window of its own."""
+    settings(spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions="8")
+    rows = batch(spark, *[delete(i * 10**12, 1) for i in range(200)])
+    stretches = changes.in_stretches(changes.check_changes(rows, F.col("received_at")))
+    sizes = [r["count"] for r in stretches.groupBy("stretch").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 100
+    lives = {r.seq: r.life for r in changes.number_lives(stretches).collect()}
+    assert lives == {i * 10**12: i for i in range(200)}
+
+
+def test_seq_must_be_unique(spark):
+    table = base(spark, (1, {"name": "Ana"}), (2, {"name": "Bob"}))
+    submitted = batch(
+        spark, update(1, 1, name="A"), update(1, 2, name="B"), update(2, 2, name="C"), delete(4, 1), update(3, 1, name="")
+    ).withColumn("seq", F.nullif("seq", F.lit(4)))
+    out = changes.apply_changes(table, submitted, F.col("received_at"))
+    assert {r.id: r.name for r in out.rows.collect()} == {1: "Ana", 2: "C"} and out.deleted.isEmpty()
+    errors = sorted((r.seq or 0, list(r.errors)) for r in out.rejected.collect())
+    assert errors == [(0, ["seq is required"]), (1, ["seq is not unique"]), (1, ["seq is not unique"]), (3, ["name is required"])]
+
+
 def test_notifications(spark):
     rows = batch(
         spark, insert(1, 1), update(2, 1, name="A"), update(3, 1, name="B", temperature=""),
         update(4, 1, name="C", temperature="38"), delete(5, 1), update(6, 1, name="D", temperature=None),
+        update(7, 1, name=""), insert(8, 2, name=""), insert(9, 3, poids="abc"), update(10, 1, temperature="38"),
     )
-    got = {r.seq: (r.recipient_group, r.patient_name) for r in changes.notifications(rows).collect()}
+    checked = changes.check_changes(rows, F.col("received_at"))
+    got = {r.seq: (r.recipient_group, r.patient_name) for r in changes.notifications(checked).collect()}
     assert got == {1: ("infirmiers", "Ana"), 2: ("medecins", "A"), 4: ("medecins", "C"), 6: ("medecins", "D")}
 
 
@@ -199,7 +239,19 @@ def test_audit_events(spark):
     assert event.action == "Suppression d'un patient" and '"name":"Ana"' in event.details
     assert '"poids":50.0' in event.details
     written = changes.change_log(batch(spark, insert(1, 1), update(2, 7, name="B"), delete(3, 1)), at).collect()
-    assert [(r.action, r.details) for r in written] == [("Ajout d'un patient", "Ana"), ("modification patient", "7")]
+    assert [(r.action, r.details) for r in written] == [
+        ("Ajout d'un patient", "Le patient 'Ana' a été ajouté"), ("modification patient", "Patient avec ID 7 a été modifié"),
+    ]
+    people = spark.createDataFrame([(7, "Ba", None)], "id long, nom string, prenom string")
+    texts = [
+        changes.event_log(people, kind, at, F.lit("infirmiers"), *map(F.col, names)).first()
+        for kind, names in (("invoice", ["nom", "prenom"]), ("details", ["id"]), ("select", ["id"]))
+    ]
+    assert [(r.action, r.details) for r in texts] == [
+        ("Facture généré", "Facture généré pour le patient Ba None"),
+        ("Détails des patients", "Les détails du patient avec l'identifiant 7 ont été consulté."),
+        ("Patient sélectionné", "Patient avec ID 7 selectionné."),
+    ]
 
 
 def test_updates_of_a_stored_table_do_not_shuffle_it(spark):

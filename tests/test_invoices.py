@@ -133,7 +133,50 @@ def test_nested_lines_sum_to_totals(spark):
 
 
 def test_coverage_split(spark):
-    items = [(1, "1", "10 000"), (2, "1", "10 001"), (3, "2", "5"), (3, "1 0", "1")]
-    df = spark.createDataFrame(items, "i int, q string, p string")
-    got = {r.i: (r.total, r.insurer, r.patient) for r in invoice.coverage_split(df, "i", "q", "p").collect()}
-    assert got == {1: (10000, 8000, 2000), 2: (10001, 8000, 2001), 3: (20, 16, 4)}
+    items = [
+        (1, "1", "10 000"), (2, "1", "10 001"), (3, "2", "5"), (3, "1 0", "1"), (4, "2", "10 000"), (4, "3", "abc"),
+        (5, None, "1"), (6, "1", ""), (7, "4000000000", "4000000000"), (8, "9223372036854775807", "1"), (8, "1", "1"),
+        (9, "-1", "9223372036854775807"), (10, "99999999999999999999", "1"), (10, "1", None),
+    ]
+    checked = invoice.check_items(spark.createDataFrame(items, "i int, q string, p string"), "i", "q", "p")
+    got = {r.i: (r.total, r.insurer, r.patient) for r in invoice.coverage_split(checked).collect()}
+    assert {k: got[k] for k in (1, 2, 3)} == {1: (10000, 8000, 2000), 2: (10001, 8000, 2001), 3: (20, 16, 4)}
+    assert got.keys() == {1, 2, 3, 9} and all(total == a + b for total, a, b in got.values())
+    number, needed = "quantity and price must be whole numbers", "quantity and price are required"
+    assert {r.i: list(r.errors) for r in invoice.rejected_invoices(checked).collect()} == {
+        4: [number], 5: [needed], 6: [number], 7: ["total is too large"], 8: ["total is too large"], 10: [needed, number],
+    }
+
+
+def test_every_bill_is_split_or_refused(spark):
+    checked = invoice.check_items(stand_ins.items(spark, SF), "l_orderkey", "quantity", "price")
+    split, refused = invoice.coverage_split(checked), invoice.rejected_invoices(checked)
+    assert split.where("insurer + patient <> total").isEmpty()
+    orders = stand_ins.table(spark, SF, "lineitem").select("l_orderkey").distinct().count()
+    assert split.count() + refused.count() == orders and not refused.isEmpty()
+
+
+ODD = ["nan", "inf", "-Infinity", "1e300", "1e20"]
+
+
+@pytest.mark.parametrize("odd", ODD)
+@pytest.mark.parametrize("field", ["percent", "quantity", "amount"])
+def test_what_cannot_be_priced_is_refused_alone(read, odd, field):
+    values = {"percent": "20", "quantity": "3", "amount": "1000"} | {field: odd}
+    df = read(
+        doc(1, [section("A", ("x", values["quantity"], values["amount"]), ("y", 1, 2))], values["percent"]),
+        doc(2, [section("A", ("x", 1, 5))]),
+    )
+    got = {r.invoice_id: r.total for r in invoice.with_totals(priced(df)).collect()}
+    assert got == {2: 5}
+    checked = invoice.check_invoices(df, form=True)
+    formed = invoice.price(invoice.keep_valid_articles(invoice.accepted_invoices(checked)))
+    dropped = odd == "nan" and field != "percent"  # a form leaves such an article out
+    assert {r.invoice_id: r.total for r in invoice.with_totals(formed).collect()} == ({1: 2, 2: 5} if dropped else {2: 5})
+
+
+def test_labels_of_odd_numbers(one):
+    from visitbook.functions import labels
+
+    c = F.col("x")
+    assert list(one("x double", (float("nan"),), labels.money_label(c), labels.insurer_label(c))) == [None, None]

@@ -83,6 +83,28 @@ def test_history_equals_brute_force(spark):
     assert ids(history.visit_history(visits, viewed)) == sorted(r.id for r in rows if r.name in names)
 
 
+def test_visits_of_a_hot_name_are_split(spark):
+    """Most visits carry one name; without a broadcast they still go to several tasks."""
+    options = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+    }
+    before = {k: spark.conf.get(k, None) for k in options}
+    name = F.when(F.col("id") % 10 < 8, "hot").otherwise(F.col("id").cast("string"))
+    visits = spark.range(0, 20000, 1, 8).select("id", name.alias("name"), F.sha2(F.col("id").cast("string"), 512).alias("notes"))
+    try:
+        for k, v in options.items():
+            spark.conf.set(k, v)
+        df = history.visit_history(visits, spark.createDataFrame([(1,), (1,), (8,)], "id long"))
+        rows = df.collect()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert len(rows) == 16001 and {(r.name, r.n_visits) for r in rows} == {("hot", 16000), ("8", 1)}
+
+
 def test_history_of_a_very_frequent_name(spark):
     """Half of the rows share one name, and that name is asked for many times."""
     visits = spark.range(4000).select(

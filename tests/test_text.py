@@ -85,9 +85,3 @@ def test_display_user(one):
         text.default_text(F.lit(None).cast("string"), "Aucune"),
     )
     assert tuple(row) == ("infirmier", "receptioniste", "Dr A B", "N/A", "Aucune")
-
-
-def test_registered_sql_functions(spark):
-    text.register_functions(spark)
-    row = spark.sql("SELECT strip_accents('Été 각'), title_case(\"jean-paul o'neil\"), strip_accents(NULL)").first()
-    assert tuple(row) == (bare("Été 각"), "Jean-Paul O'Neil", None)

@@ -64,9 +64,14 @@ def spaced_int(c: Column) -> Column:
     return F.replace(c, F.lit(" "), F.lit("")).try_cast("bigint")
 
 
+def is_finite(c: Column) -> Column:
+    """Neither NaN nor infinite; null for null."""
+    return F.abs(c) < F.lit(float("inf"))
+
+
 def round_half_even(c: Column) -> Column:
-    """Nearest integer, ties to the even neighbour."""
-    return F.rint(c).cast("bigint")
+    """Nearest integer, ties to the even neighbour; null where no bigint is near."""
+    return F.rint(c).try_cast("bigint")
 
 
 def to_day(c: Column) -> Column:

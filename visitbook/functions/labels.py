@@ -75,12 +75,12 @@ def bin_label(low: Column, high: Column) -> Column:
 
 
 def money_label(c: Column) -> Column:
-    """Whole units, truncated."""
-    return F.concat(c.cast("bigint").cast("string"), F.lit(" Fcfa"))
+    """Whole units, truncated; null for what no bigint can hold."""
+    return F.concat(c.try_cast("bigint").cast("string"), F.lit(" Fcfa"))
 
 
 def insurer_label(patient_percent: Column) -> Column:
-    return F.concat((100 - patient_percent).cast("bigint").cast("string"), F.lit("%"))
+    return F.concat((100 - patient_percent).try_cast("bigint").cast("string"), F.lit("%"))
 
 
 def invoice_name(nom: Column, prenom: Column, at: Column) -> Column:

@@ -1,8 +1,8 @@
 """Applying a batch of inserts, updates and deletes, in the order of `seq`.
 
-`seq` is unique within a batch. The outcome equals running the changes one by one:
-an update of an unknown id does nothing, an insert of an existing id is refused, and
-a deleted id may be inserted again.
+Changes without a `seq`, or that share one, are refused. The outcome equals running the
+others one by one: an update of an unknown id does nothing, an insert of an existing id is
+refused, and a deleted id may be inserted again.
 """
 
 from __future__ import annotations
@@ -17,12 +17,22 @@ from visitbook.operators.ingest import accepted, insert_columns, rejected, typed
 from visitbook.schemas import CLINIC_TIME_ZONE, NURSES, PHYSICIANS, WRITABLE
 from visitbook.session import settle
 
-# Action names in the audit log.
-ACTIONS = {"insert": "Ajout d'un patient", "update": "modification patient", "delete": "Suppression d'un patient"}
-
-# Changes of one id are numbered in stretches of this many seq values, which bounds
-# the rows a single task has to order for one id.
-STRETCH = 100_000
+# Action names and event texts of the audit log.
+ACTIONS = {
+    "insert": "Ajout d'un patient",
+    "update": "modification patient",
+    "delete": "Suppression d'un patient",
+    "invoice": "Facture généré",
+    "details": "Détails des patients",
+    "select": "Patient sélectionné",
+}
+EVENT_TEXTS = {
+    "insert": "Le patient '%s' a été ajouté",
+    "update": "Patient avec ID %s a été modifié",
+    "invoice": "Facture généré pour le patient %s %s",
+    "details": "Les détails du patient avec l'identifiant %s ont été consulté.",
+    "select": "Patient avec ID %s selectionné.",
+}
 
 
 class Applied(NamedTuple):
@@ -34,7 +44,11 @@ class Applied(NamedTuple):
 def check_changes(
     changes: DataFrame, received_at: Column | None = None, tz: str = CLINIC_TIME_ZONE
 ) -> DataFrame:
-    """Cleaned fields and errors for every change, by its kind, in one pass."""
+    """Cleaned fields and errors for every change, by its kind, in one pass.
+
+    `ready` tells whether an update leaves the temperature filled in, as it was submitted:
+    a blank is not, and not mentioning it is. The cleaned fields no longer show that.
+    """
     new_fields, new_errors = insert_columns(received_at, tz)
     set_fields, set_errors = update_columns()
     op = F.col("op")
@@ -45,37 +59,65 @@ def check_changes(
         .otherwise(F.array(F.lit("unknown operation")))
     )
     fields = F.when(op == "insert", new_fields).when(op == "update", set_fields)
-    return compute_once(changes, {"fields": fields, "errors": errors})
+    ready = F.coalesce(F.col("fields")["temperature"], F.lit("-")) != ""
+    return compute_once(changes, {"fields": fields, "errors": errors, "ready": ready})
+
+
+def in_stretches(changes: DataFrame) -> DataFrame:
+    """The changes with `stretch`, written to the shared folder.
+
+    Stretches are the partitions of a range partitioning by id and seq, so they follow each
+    other in the order of the changes of an id, whatever values seq has, and an id with very
+    many changes spans many of them. The numbers are read from the files from then on.
+    """
+    ordered = changes.repartitionByRange("id", "seq")
+    return settle(ordered.withColumn("stretch", F.spark_partition_id()), changes.sparkSession, "checked")
 
 
 def number_lives(changes: DataFrame) -> DataFrame:
-    """Adds `life`: how many deletions of the same id come before a change.
+    """Adds `life`: how many deletions of the same id come before a change; see `in_stretches`.
 
     A running count in two levels, so that an id with very many changes is never one
-    window: deletions are summed per stretch of seq, the few sums are accumulated per
-    id, and within a stretch the changes are counted in order.
+    window: deletions are summed per stretch, the few sums are accumulated per id, and
+    within a stretch the changes are counted in order.
     """
-    stretch = F.col("seq") - F.pmod(F.col("seq"), F.lit(STRETCH))
     is_delete = F.when(F.col("op") == "delete", 1).otherwise(0)
-    marked = changes.withColumns({"_stretch": stretch, "_delete": is_delete})
-    before = Window.partitionBy("id").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    marked = changes.withColumn("_delete", is_delete)
+    before = Window.partitionBy("id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     earlier = (
-        marked.groupBy("id", "_stretch")
+        marked.groupBy("id", "stretch")
         .agg(F.sum("_delete").alias("_n"))
-        .select("id", "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"))
+        .select("id", "stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"))
         .where(F.col("_earlier") > 0)
     )
-    within = Window.partitionBy("id", "_stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("id", "stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        marked.join(earlier, ["id", "_stretch"], "left")
+        marked.join(earlier, ["id", "stretch"], "left")
         .withColumn(
             "life",
             F.coalesce("_earlier", F.lit(0)) + F.coalesce(F.sum("_delete").over(within), F.lit(0)),
         )
-        .drop("_stretch", "_delete", "_earlier")
+        .drop("_delete", "_earlier")
     )
 
 
+def check_order(checked: DataFrame) -> DataFrame:
+    """Adds an error to changes that have no seq or share it with another.
+
+    The shared ones are counted apart and written out; few as they are, Spark sends them to
+    the changes instead of shuffling these.
+    """
+    shared = checked.groupBy("seq").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1 OR seq IS NULL")
+    shared = settle(shared, checked.sparkSession, "shared")
+    marked = checked.alias("c").join(shared.alias("s"), F.expr("c.seq <=> s.seq"), "left")
+    problem = F.when(
+        F.col("_times").isNotNull(), F.when(F.col("c.seq").isNull(), "seq is required").otherwise("seq is not unique")
+    )
+    none = F.array().cast("array<string>")
+    errors = F.concat("errors", F.when(problem.isNotNull(), F.array(problem)).otherwise(none))
+    return marked.select(*[errors.alias(c) if c == "errors" else F.col(f"c.{c}") for c in checked.columns])
+
+
 def fold_changes(changes: DataFrame) -> DataFrame:
     """One row per (id, life): when it starts and ends, and what it sets.
 
@@ -120,7 +162,7 @@ def apply_changes(
     kept for stored rows and are null in new ones.
     """
     spark = base.sparkSession
-    checked = settle(check_changes(changes, received_at, tz), spark, "checked")
+    checked = check_order(in_stretches(check_changes(changes, received_at, tz)))
     folded = settle(fold_changes(accepted(checked)), spark, "folded")
     others = [c for c in base.columns if c != "id"]
 
@@ -172,25 +214,39 @@ def deletion_log(deleted: DataFrame, at: Column, role: Column) -> DataFrame:
 def change_log(accepted_changes: DataFrame, at: Column) -> DataFrame:
     """Audit events of accepted inserts and updates."""
     written = accepted_changes.where(F.col("op").isin("insert", "update"))
-    subject = F.when(F.col("op") == "insert", F.col("fields")["name"]).otherwise(F.col("id").cast("string"))
-    action = F.when(F.col("op") == "insert", F.lit(ACTIONS["insert"])).otherwise(F.lit(ACTIONS["update"]))
+    is_insert = F.col("op") == "insert"
+    subject = F.when(is_insert, F.col("fields")["name"]).otherwise(F.col("id").cast("string"))
+    text = F.when(is_insert, F.lit(EVENT_TEXTS["insert"])).otherwise(F.lit(EVENT_TEXTS["update"]))
+    action = F.when(is_insert, F.lit(ACTIONS["insert"])).otherwise(F.lit(ACTIONS["update"]))
     return written.select(
-        at.alias("timestamp"), F.col("role").alias("user_type"), action.alias("action"), subject.alias("details")
+        at.alias("timestamp"), F.col("role").alias("user_type"), action.alias("action"),
+        F.replace(text, F.lit("%s"), subject).alias("details"),
+    )
+
+
+def event_log(rows: DataFrame, kind: str, at: Column, role: Column, *subjects: Column) -> DataFrame:
+    """Audit events of another kind: `invoice` for priced invoices (last and first name of the
+    patient), `details` and `select` for opened records (their id). A null subject reads None.
+    """
+    shown = [F.coalesce(s.cast("string"), F.lit("None")) for s in subjects]
+    details = F.format_string(EVENT_TEXTS[kind], *shown)
+    return rows.select(
+        at.alias("timestamp"), role.alias("user_type"), F.lit(ACTIONS[kind]).alias("action"), details.alias("details")
     )
 
 
-def notifications(changes: DataFrame) -> DataFrame:
+def notifications(checked: DataFrame) -> DataFrame:
     """Who must be told of accepted changes: (seq, recipient_group, patient_name, reason).
 
-    A new visit goes to the nurses. An update goes to the physicians unless it leaves
-    the temperature blank; not mentioning the temperature counts as filled in. Takes the
-    fields as submitted, where a blank is still a blank. Row by row, so it also runs on
-    a stream.
+    Takes the result of `check_changes`; refused changes are announced to nobody. A new visit
+    goes to the nurses. An update goes to the physicians unless it leaves the temperature
+    blank; not mentioning the temperature counts as filled in. Row by row, so it also runs
+    on a stream; that an id is taken or a seq repeated only shows when a batch is applied.
     """
     fields = F.col("fields")
     new = (F.col("op") == "insert") & fields["name"].isNotNull()
-    ready = (F.col("op") == "update") & (F.coalesce(fields["temperature"], F.lit("-")) != "")
-    return changes.where(new | ready).select(
+    ready = (F.col("op") == "update") & F.col("ready")
+    return accepted(checked).where(new | ready).select(
         "seq",
         F.when(F.col("op") == "insert", F.lit(NURSES)).otherwise(F.lit(PHYSICIANS)).alias("recipient_group"),
         fields["name"].alias("patient_name"),

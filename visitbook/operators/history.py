@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visitbook.session import settle
+
 
 def history_of(visits: DataFrame, key: int, id: str = "id", name: str = "name") -> DataFrame:
     """Every visit with exactly the name of visit `key`; empty for an unknown id."""
@@ -15,12 +17,13 @@ def history_of(visits: DataFrame, key: int, id: str = "id", name: str = "name")
 def visit_history(visits: DataFrame, ids: DataFrame, id: str = "id", name: str = "name") -> DataFrame:
     """Every visit of every person behind the listed visits, once, with n_visits of the person.
 
-    Names are made distinct and counted first, so the join has one row per name and a
-    person who is asked for many times, or has very many visits, multiplies nothing. The
-    visits are the side adaptive execution may split when a name is very frequent.
+    Names are counted first, per task before the shuffle, and the wanted ones are written to
+    the shared folder. The join then reads one row per name from there and takes the visits
+    from an exchange of their own, which adaptive execution may split where a name is very
+    frequent.
     """
-    persons = visits.join(ids.select(id), id, "left_semi").select(name).distinct()
-    counts = history_counts(visits.join(persons, name, "left_semi"), name)
+    persons = visits.join(ids.select(id).distinct(), id, "left_semi").select(name).distinct()
+    counts = settle(history_counts(visits, name).join(persons, name, "left_semi"), visits.sparkSession, "persons")
     return visits.join(counts, name)
 
 

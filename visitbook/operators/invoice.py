@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitbook.columns import compute_once, present
-from visitbook.functions.fields import parse_float, round_half_even, spaced_int
+from visitbook.functions.fields import is_finite, parse_float, round_half_even, spaced_int
 from visitbook.functions.text import browser_trim
 from visitbook.schemas import INSURER_SHARE
 
 # What missing parts of an invoice count as.
 DEFAULT_TITLE, DEFAULT_LABEL, DEFAULT_QUANTITY, DEFAULT_AMOUNT = "Section", "", 1.0, 0.0
 
+# What the net amounts of a document may add up to, without regard to signs: a bigint.
+LARGEST_TOTAL = float(1 << 62)
 
-def check_invoices(invoices: DataFrame) -> DataFrame:
+
+def check_invoices(invoices: DataFrame, form: bool = False) -> DataFrame:
     """Numbers for the text of a document, and `errors`: what keeps it from being priced.
 
     Adds patient_percent and turns quantities and amounts into numbers. A document
-    without errors can be priced.
+    without errors can be priced; one that cannot is refused alone. Percentages,
+    quantities and amounts must be finite, and the net amounts must fit a bigint, summed
+    up as well. With `form` the articles are still to pass `keep_valid_articles`, which
+    drops those whose quantity or amount is NaN; without it they refuse the document.
     """
     percent = parse_float(F.col("meta.pourcentage"))
 
@@ -42,11 +48,25 @@ def check_invoices(invoices: DataFrame) -> DataFrame:
     share = F.when(F.col("meta.pourcentage").isNull(), F.lit(100.0)).otherwise(100 - percent)
     read = compute_once(invoices, {"patient_percent": share, "sections": F.transform("sections", section)})
     bad_number = F.exists("sections", lambda s: F.exists(s["articles"], lambda a: a["bad"]))
+
+    def size(a: Column) -> Column:
+        quantity = F.coalesce(a["quantite"], F.lit(DEFAULT_QUANTITY))
+        net = F.abs(F.coalesce(a["montant"], F.lit(DEFAULT_AMOUNT)) * quantity * F.col("patient_percent") / 100)
+        dropped = F.isnan(quantity) | F.isnan(a["montant"])
+        return F.when(F.coalesce(dropped, F.lit(False)), F.lit(0.0)).otherwise(net) if form else net
+
+    total = F.aggregate(
+        F.flatten(F.transform(F.filter("sections", lambda s: s["articles"].isNotNull()), lambda s: s["articles"])),
+        F.lit(0.0), lambda sum, a: sum + size(a),
+    )
+    too_large = is_finite(F.col("patient_percent")) & ~(total < LARGEST_TOTAL)
     errors = present([
         F.when(F.col("meta").isNull(), F.lit("meta is required")),
         F.when(F.col("sections").isNull(), F.lit("sections are required")),
         F.when(F.col("patient_percent").isNull(), F.lit("pourcentage must be a number")),
+        F.when(~is_finite(F.col("patient_percent")), F.lit("pourcentage must be finite")),
         F.when(bad_number, F.lit("quantite and montant must be numbers")),
+        F.when(too_large, F.lit("amounts must be finite and not too large")),
     ])
     return read.withColumn("errors", errors)
 
@@ -61,11 +81,12 @@ def rejected_invoices(checked: DataFrame) -> DataFrame:
 
 def keep_valid_articles(accepted: DataFrame) -> DataFrame:
     """What a form may submit: labelled articles with quantity > 0 and amount >= 0, in titled,
-    non-empty sections. An invoice left without sections is dropped.
+    non-empty sections. NaN is neither. An invoice left without sections is dropped.
     """
 
     def valid(a: Column) -> Column:
-        return F.coalesce((a["libelle"] != "") & (a["quantite"] > 0) & (a["montant"] >= 0), F.lit(False))
+        positive = (a["quantite"] > 0) & ~F.isnan(a["quantite"]) & (a["montant"] >= 0) & ~F.isnan(a["montant"])
+        return F.coalesce((a["libelle"] != "") & positive, F.lit(False))
 
     def section(s: Column) -> Column:
         trimmed = F.transform(s["articles"], lambda a: a.withField("libelle", browser_trim(a["libelle"])))
@@ -133,21 +154,48 @@ def with_totals(priced: DataFrame) -> DataFrame:
 def line_totals(lines: DataFrame, invoice: str, section: str, net: str = "net") -> DataFrame:
     """Subtotals and totals of a flat table of lines: (invoice, section, is_total, amount).
 
-    Both levels come from one aggregation, summed per task before the shuffle.
+    The lines are read and summed once, to subtotals; only those are summed again.
     """
-    return lines.groupingSets(
+    subtotals = lines.groupBy(invoice, section).agg(F.sum(net).alias("_subtotal"))
+    return subtotals.groupingSets(
         [[invoice, section], [invoice]], invoice, section
     ).agg(
         (F.grouping(section) == 1).alias("is_total"),
-        F.sum(net).alias("amount"),
+        F.sum("_subtotal").alias("amount"),
+    )
+
+
+def check_items(items: DataFrame, invoice: str, quantity: str, price: str) -> DataFrame:
+    """(invoice, total, errors): the bill of each invoice, or what keeps it from being split.
+
+    Every item must have a quantity and a price that read as whole numbers, and the total
+    must fit a bigint; else the whole invoice is refused. Nothing is left out of a bill.
+    Amounts are summed as decimals, per task before the shuffle.
+    """
+    q, p = F.col(quantity), F.col(price)
+    missing = q.isNull() | p.isNull()
+    whole = [spaced_int(c).cast("decimal(19,0)") for c in (q, p)]
+    unreadable = ~missing & (whole[0].isNull() | whole[1].isNull())
+    bills = items.groupBy(invoice).agg(
+        F.try_sum(F.try_multiply(*whole)).alias("_amount"),
+        F.bool_or(missing).alias("_missing"),
+        F.bool_or(unreadable).alias("_unreadable"),
     )
+    total = F.col("_amount").try_cast("bigint")
+    readable = ~F.col("_missing") & ~F.col("_unreadable")
+    errors = present([
+        F.when(F.col("_missing"), F.lit("quantity and price are required")),
+        F.when(F.col("_unreadable"), F.lit("quantity and price must be whole numbers")),
+        F.when(readable & total.isNull(), F.lit("total is too large")),
+    ])
+    return bills.select(invoice, F.when(readable, total).alias("total"), errors.alias("errors"))
+
 
+def coverage_split(checked: DataFrame, share: float = INSURER_SHARE) -> DataFrame:
+    """(invoice, total, insurer, patient) of the accepted bills of `check_items`.
 
-def coverage_split(
-    items: DataFrame, invoice: str, quantity: str, price: str, share: float = INSURER_SHARE
-) -> DataFrame:
-    """(invoice, total, insurer, patient): the insurer pays its share truncated, the patient the rest."""
-    amount = spaced_int(F.col(quantity)) * spaced_int(F.col(price))
-    totals = items.groupBy(invoice).agg(F.sum(amount).alias("total"))
+    The insurer pays its share truncated, the patient the rest.
+    """
     insurer = (F.col("total") * F.lit(float(share))).cast("bigint")
-    return totals.withColumn("insurer", insurer).withColumn("patient", F.col("total") - F.col("insurer"))
+    split = accepted_invoices(checked).withColumn("insurer", insurer)
+    return split.withColumn("patient", F.col("total") - F.col("insurer"))

@@ -179,7 +179,9 @@ def daily_digest(spark, sf_dir):
 
 @query
 def daily_digest_counts(spark, sf_dir):
-    return series.daily_counts(_log(spark, sf_dir), "timestamp")
+    """Events of every day's report: its lines without the header."""
+    events = audit.daily_digest(_log(spark, sf_dir)).where(F.col("ts").isNotNull())
+    return events.groupBy(F.col("log_date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -219,18 +221,25 @@ def invoice_totals(spark, sf_dir):
     return invoice.line_totals(invoice_lines(spark, sf_dir), "l_orderkey", "l_returnflag")
 
 
+def _checked_items(spark, sf_dir):
+    return invoice.check_items(stand_ins.items(spark, sf_dir), "l_orderkey", "quantity", "price")
+
+
 @query
 def coverage_split(spark, sf_dir):
-    whole = F.floor("l_extendedprice")
-    spaced = F.concat(F.floor(whole / 1000).cast("string"), F.lit(" "), F.lpad((whole % 1000).cast("string"), 3, "0"))
-    items = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", F.col("l_quantity").cast("int").cast("string").alias("quantity"), spaced.alias("price")
+    return invoice.coverage_split(_checked_items(spark, sf_dir))
+
+
+@query
+def rejected_items(spark, sf_dir):
+    """Bills that cannot be split, with what is wrong with them."""
+    return invoice.rejected_invoices(_checked_items(spark, sf_dir)).select(
+        "l_orderkey", F.array_join("errors", "; ").alias("errors")
     )
-    return invoice.coverage_split(items, "l_orderkey", "quantity", "price")
 
 
 def _priced(spark, sf_dir):
-    checked = invoice.check_invoices(stand_ins.invoices(spark, sf_dir))
+    checked = invoice.check_invoices(stand_ins.invoices(spark, sf_dir), form=True)
     return invoice.price(invoice.keep_valid_articles(invoice.accepted_invoices(checked)))
 
 
@@ -310,7 +319,38 @@ def rejected_changes(spark, sf_dir):
 
 @query
 def notifications(spark, sf_dir):
-    return changes.notifications(_requests(spark, sf_dir))
+    return changes.notifications(changes.check_changes(_requests(spark, sf_dir), F.col("received_at")))
+
+
+@query
+def change_log(spark, sf_dir):
+    checked = changes.check_changes(_requests(spark, sf_dir), F.col("received_at"))
+    return changes.change_log(ingest.accepted(checked), F.col("received_at"))
+
+
+@query
+def deletion_log(spark, sf_dir):
+    """The deleted rows of the applied batch; their images are compared by their digest."""
+    deleted = _applied(spark, sf_dir).deleted.select("seq", "id", "name", "adresse", "phone_number")
+    at = F.timestamp_seconds("seq").cast("timestamp_ntz")
+    events = changes.deletion_log(deleted, at, F.lit(NURSES))
+    return events.select("timestamp", "user_type", "action", F.md5("details").alias("details_md5"))
+
+
+@query
+def opened_records(spark, sf_dir):
+    """Every view in the log as an opened record."""
+    views = table(spark, sf_dir, "events").where(F.col("event_type") == "view")
+    return changes.event_log(views, "details", F.col("ts"), F.lit(NURSES), F.col("user_id"))
+
+
+@query
+def invoice_events(spark, sf_dir):
+    """Every order as a priced invoice; some patients have no first name."""
+    first = F.nullif(F.col("o_orderstatus"), F.lit("P"))
+    return changes.event_log(
+        table(spark, sf_dir, "orders"), "invoice", F.col("o_orderdate"), F.lit(RECEPTIONISTS), F.col("o_custkey"), first
+    )
 
 
 @query

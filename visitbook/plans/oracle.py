@@ -162,15 +162,43 @@ LIFE_COLUMNS = (
 INVOICES = """
 docs AS (
   SELECT *, CASE WHEN l_returnflag = 'R' THEN 100.0::DOUBLE - floor(l_discount * 100) ELSE 100.0::DOUBLE END AS pct,
-    l_returnflag = 'N' AND l_linestatus = 'F' AS blank_percent, l_linenumber >= 7 AS no_sections
+    l_returnflag = 'N' AND l_linestatus = 'F' AND l_partkey % 89 <> 0 AS blank_percent, l_linenumber >= 7 AS no_sections,
+    l_partkey % 89 = 0 AND l_linenumber % 3 < 2 AS endless_percent, l_partkey % 89 = 0 AND l_linenumber % 3 = 2 AS huge_percent,
+    l_partkey % 97 = 0 OR l_partkey % 101 = 0 AS odd_goods, l_linenumber % 3 = 0 AS odd_is_nan
   FROM lineitem
 ),
+-- A form drops articles that are no numbers; other odd numbers refuse the document.
 priced AS (
-  SELECT *, round_even(l_extendedprice * l_quantity * pct / 100, 0)::BIGINT AS goods,
+  SELECT *, CASE WHEN odd_goods THEN 0 ELSE round_even(l_extendedprice * l_quantity * pct / 100, 0)::BIGINT END AS goods,
     round_even(l_tax * 1000 * 1.0::DOUBLE * pct / 100, 0)::BIGINT AS tax,
-    round_even(10.5::DOUBLE * (l_discount * 100) * pct / 100, 0)::BIGINT AS rebate
-  FROM docs WHERE NOT blank_percent AND NOT no_sections
-)"""
+    round_even(10.5::DOUBLE * (l_discount * 100) * pct / 100, 0)::BIGINT AS rebate,
+    NOT odd_goods OR l_tax > 0 AS has_first
+  FROM docs WHERE NOT blank_percent AND NOT no_sections AND NOT endless_percent AND NOT huge_percent
+    AND (NOT odd_goods OR odd_is_nan)
+),
+formed AS (SELECT * FROM priced WHERE has_first OR l_discount > 0)"""
+
+ITEMS = """
+items AS (
+  SELECT l_orderkey,
+    CASE WHEN l_partkey % 97 = 0 THEN 'abc' WHEN l_partkey % 103 = 0 THEN '4 000 000 000'
+      WHEN l_partkey % 107 <> 0 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS quantity,
+    CASE WHEN l_partkey % 101 = 0 THEN '' WHEN l_partkey % 103 = 0 THEN '4000000000'
+      WHEN l_partkey % 109 <> 0 THEN (floor(l_extendedprice)::BIGINT // 1000) || ' '
+        || lpad((floor(l_extendedprice)::BIGINT % 1000)::VARCHAR, 3, '0') END AS price
+  FROM lineitem),
+read_items AS (
+  SELECT *, quantity IS NULL OR price IS NULL AS missing,
+    try_cast(replace(quantity, ' ', '') AS BIGINT) AS q, try_cast(replace(price, ' ', '') AS BIGINT) AS p FROM items),
+sums AS (
+  SELECT l_orderkey, bool_or(missing) AS missing, bool_or(NOT missing AND (q IS NULL OR p IS NULL)) AS unread,
+    sum(CAST(q AS DECIMAL(19, 0)) * CAST(p AS DECIMAL(19, 0))) AS amount FROM read_items GROUP BY 1),
+bills AS (
+  SELECT l_orderkey, CASE WHEN NOT missing AND NOT unread THEN try_cast(amount AS BIGINT) END AS total,
+    concat_ws('; ', CASE WHEN missing THEN 'quantity and price are required' END,
+      CASE WHEN unread THEN 'quantity and price must be whole numbers' END,
+      CASE WHEN NOT missing AND NOT unread AND try_cast(amount AS BIGINT) IS NULL THEN 'total is too large' END) AS errors
+  FROM sums)"""
 
 MONTHS = (
     "['Janvier', 'Février', 'Mars', 'Avril', 'Mai', 'Juin', "
@@ -300,21 +328,19 @@ WITH lines AS (
 SELECT l_orderkey, l_returnflag, false AS is_total, CAST(sum(net) AS BIGINT) AS amount FROM lines GROUP BY 1, 2
 UNION ALL
 SELECT l_orderkey, NULL, true, CAST(sum(net) AS BIGINT) FROM lines GROUP BY 1""",
-    "coverage_split": """
-WITH items AS (
-  SELECT l_orderkey, l_quantity, (floor(l_extendedprice)::BIGINT // 1000) || ' '
-    || lpad((floor(l_extendedprice)::BIGINT % 1000)::VARCHAR, 3, '0') AS price FROM lineitem),
-totals AS (
-  SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT) * CAST(replace(price, ' ', '') AS BIGINT)) AS BIGINT) AS total
-  FROM items GROUP BY 1)
+    "coverage_split": f"""
+WITH {ITEMS}
 SELECT l_orderkey, total, CAST(trunc(total * 0.8::DOUBLE) AS BIGINT) AS insurer,
-  total - CAST(trunc(total * 0.8::DOUBLE) AS BIGINT) AS patient FROM totals""",
+  total - CAST(trunc(total * 0.8::DOUBLE) AS BIGINT) AS patient FROM bills WHERE errors = ''""",
+    "rejected_items": f"WITH {ITEMS} SELECT l_orderkey, errors FROM bills WHERE errors <> ''",
     "nested_invoice_lines": f"""
 WITH {INVOICES}, lines AS (
   SELECT l_orderkey, l_linenumber, l_linestatus, pct, 0 AS section_pos, 0 AS article_pos, 'goods' AS libelle,
-    goods AS net, l_extendedprice AS montant FROM priced WHERE l_quantity > 0
-  UNION ALL SELECT l_orderkey, l_linenumber, l_linestatus, pct, 0, 1, 'tax', tax, l_tax * 1000 FROM priced WHERE l_tax > 0
-  UNION ALL SELECT l_orderkey, l_linenumber, l_linestatus, pct, 1, 0, 'rebate', rebate, 10.5 FROM priced WHERE l_discount > 0)
+    goods AS net, l_extendedprice AS montant FROM priced WHERE l_quantity > 0 AND NOT odd_goods
+  UNION ALL SELECT l_orderkey, l_linenumber, l_linestatus, pct, 0, CASE WHEN odd_goods THEN 0 ELSE 1 END,
+    'tax', tax, l_tax * 1000 FROM priced WHERE l_tax > 0
+  UNION ALL SELECT l_orderkey, l_linenumber, l_linestatus, pct, CASE WHEN has_first THEN 1 ELSE 0 END, 0,
+    'rebate', rebate, 10.5 FROM priced WHERE l_discount > 0)
 SELECT l_orderkey AS invoice_id, l_linenumber, section_pos, l_linestatus AS titre, article_pos, libelle, net,
   CAST(trunc(montant) AS BIGINT) || ' Fcfa' AS amount_label, CAST(100 - pct AS BIGINT) || '%' AS insurer_label
 FROM lines""",
@@ -322,20 +348,23 @@ FROM lines""",
 WITH {INVOICES}
 SELECT l_orderkey AS invoice_id, l_linenumber,
   goods + CASE WHEN l_tax > 0 THEN tax ELSE 0 END + CASE WHEN l_discount > 0 THEN rebate ELSE 0 END AS total,
-  CAST(CASE WHEN l_discount > 0 THEN 2 ELSE 1 END AS BIGINT) AS n_sections,
-  goods + CASE WHEN l_tax > 0 THEN tax ELSE 0 END AS first_subtotal
-FROM priced""",
+  CAST(CASE WHEN l_discount > 0 AND has_first THEN 2 ELSE 1 END AS BIGINT) AS n_sections,
+  CASE WHEN has_first THEN goods + CASE WHEN l_tax > 0 THEN tax ELSE 0 END ELSE rebate END AS first_subtotal
+FROM formed""",
     "raw_invoice_totals": f"""
 WITH {INVOICES}
 SELECT l_orderkey AS invoice_id, l_linenumber,
   2 * goods + CAST(round_even(5.0::DOUBLE * pct / 100, 0) AS BIGINT) + tax + rebate AS total
-FROM priced""",
+FROM priced WHERE NOT odd_goods""",
     "rejected_invoices": f"""
 WITH {INVOICES}
 SELECT l_orderkey AS invoice_id, l_linenumber,
   concat_ws('; ', CASE WHEN no_sections THEN 'sections are required' END,
-    CASE WHEN blank_percent THEN 'pourcentage must be a number' END) AS errors
-FROM docs WHERE no_sections OR blank_percent""",
+    CASE WHEN blank_percent THEN 'pourcentage must be a number' END,
+    CASE WHEN endless_percent THEN 'pourcentage must be finite' END,
+    CASE WHEN too_large THEN 'amounts must be finite and not too large' END) AS errors
+FROM (SELECT *, NOT no_sections AND NOT blank_percent AND NOT endless_percent AND (huge_percent OR odd_goods) AS too_large FROM docs)
+WHERE no_sections OR blank_percent OR endless_percent OR too_large""",
     "validated_rows": f"""
 WITH {REQUESTS} SELECT seq, {BORN} FROM req WHERE {INSERT_ERRORS} = ''""",
     "rejected_rows": f"""
@@ -350,7 +379,29 @@ SELECT seq, op, id, 'id exists' FROM marked WHERE op = 'insert' AND (from_stored
 WITH {REQUESTS}
 SELECT seq, CASE WHEN op = 'insert' THEN 'infirmiers' ELSE 'medecins' END AS recipient_group, name AS patient_name,
   CASE WHEN op = 'insert' THEN 'new visit' ELSE 'visit updated' END AS reason
-FROM req WHERE op = 'insert' OR (op = 'update' AND (NOT has_temperature OR temperature <> ''))"""),
+FROM req WHERE (op = 'insert' AND {INSERT_ERRORS} = '')
+  OR (op = 'update' AND {UPDATE_ERRORS} = '' AND (NOT has_temperature OR temperature <> ''))"""),
+    "change_log": f"""
+WITH {REQUESTS}
+SELECT received_at AS "timestamp", role AS user_type,
+  CASE op WHEN 'insert' THEN 'Ajout d''un patient' ELSE 'modification patient' END AS action,
+  CASE op WHEN 'insert' THEN 'Le patient ''' || name || ''' a été ajouté'
+    ELSE 'Patient avec ID ' || id || ' a été modifié' END AS details
+FROM req WHERE (op = 'insert' AND {INSERT_ERRORS} = '') OR (op = 'update' AND {UPDATE_ERRORS} = '')""",
+    "deletion_log": f"""{LIVES}, images AS (
+  SELECT ended, '{{' || concat_ws(',', '"id":' || id, '"name":"' || name || '"',
+    '"adresse":"' || replace(replace(adresse, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"',
+    '"phone_number":"' || phone_number || '"') || '}}' AS details FROM lives WHERE ended IS NOT NULL)
+SELECT make_timestamp(ended * 1000000) AS "timestamp", 'infirmiers' AS user_type, 'Suppression d''un patient' AS action,
+  md5(details) AS details_md5 FROM images""",
+    "opened_records": """
+SELECT ts AS "timestamp", 'infirmiers' AS user_type, 'Détails des patients' AS action,
+  'Les détails du patient avec l''identifiant ' || user_id || ' ont été consulté.' AS details
+FROM events WHERE event_type = 'view'""",
+    "invoice_events": """
+SELECT o_orderdate AS "timestamp", 'receptionistes' AS user_type, 'Facture généré' AS action,
+  'Facture généré pour le patient ' || o_custkey || ' ' || coalesce(nullif(o_orderstatus, 'P'), 'None') AS details
+FROM orders""",
     "orphan_rows": """
 SELECT l_orderkey AS patient_id, l_partkey, l_linenumber FROM lineitem
 WHERE l_returnflag <> 'N' AND NOT EXISTS (

@@ -61,7 +61,7 @@ def listing(visits: DataFrame, query: str, role: str, size: object = PAGE_SIZE)
 
 def billing(invoices: DataFrame) -> dict[str, DataFrame]:
     """Priced lines, totals and refused documents."""
-    checked = check_invoices(invoices)
+    checked = check_invoices(invoices, form=True)
     priced = price(keep_valid_articles(accepted_invoices(checked)))
     return {
         "lines": invoice_lines(priced, "invoice_id"),

@@ -98,12 +98,32 @@ def requests(events: DataFrame) -> DataFrame:
     )
 
 
+# Texts that read as numbers, but as none that can be priced.
+ODD = ("nan", "inf", "1e300")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as positions of a bill, in grouped digits; some are unreadable, missing or huge."""
+    whole, part = F.floor("l_extendedprice"), F.col("l_partkey")
+    spaced = F.concat(F.floor(whole / 1000).cast("string"), F.lit(" "), F.lpad((whole % 1000).cast("string"), 3, "0"))
+    quantity = F.col("l_quantity").cast("int").cast("string")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        F.when(part % 97 == 0, "abc").when(part % 103 == 0, "4 000 000 000").when(part % 107 != 0, quantity).alias("quantity"),
+        F.when(part % 101 == 0, "").when(part % 103 == 0, "4000000000").when(part % 109 != 0, spaced).alias("price"),
+    )
+
+
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line item as a nested invoice: valid and invalid articles, a blank section, a
     repeated title, documents without sections or with a blank percentage.
     """
     status = F.col("l_linestatus")
 
+    def odd(m: int) -> Column:
+        """Numbers that read but cannot be priced, for every m-th part."""
+        return F.when(F.col("l_partkey") % m == 0, F.element_at(F.array(*map(F.lit, ODD)), F.pmod("l_linenumber", F.lit(3)) + 1))
+
     def article(label: str, quantity: Column, amount: Column) -> Column:
         number = [quantity.cast("double").cast("string"), amount.cast("double").cast("string")]
         return F.struct(F.lit(label).alias("libelle"), number[0].alias("quantite"), number[1].alias("montant"))
@@ -112,6 +132,10 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(title.alias("titre"), F.array(*articles).alias("articles"))
 
     goods = article(" goods ", F.col("l_quantity"), F.col("l_extendedprice"))
+    goods = F.struct(
+        goods["libelle"].alias("libelle"), F.coalesce(odd(97), goods["quantite"]).alias("quantite"),
+        F.coalesce(odd(101), goods["montant"]).alias("montant"),
+    )
     tax = article("tax", F.when(F.col("l_tax") > 0, F.lit(1)), F.col("l_tax") * 1000)
     sections = F.array(
         section(status, goods, article("", F.lit(1), F.lit(5)), tax),
@@ -121,6 +145,7 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     percent = F.when(F.col("l_returnflag") == "R", F.floor(F.col("l_discount") * 100).cast("string")).when(
         (F.col("l_returnflag") == "N") & (status == "F"), F.lit("")
     )
+    percent = F.when(F.col("l_partkey") % 89 == 0, odd(89)).otherwise(percent)
     meta = F.struct(*[
         {"nom": F.lit("Client"), "pourcentage": percent}.get(f.name, F.lit(None).cast("string")).alias(f.name)
         for f in INVOICE_META

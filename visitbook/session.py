@@ -39,6 +39,28 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    """The file system of a path, which may be any that Spark can reach, and the path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def finished_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the folders batch_id=N below `path` whose write is complete, in order."""
+    system, place = _folder(spark, path)
+    if not system.exists(place):
+        return []
+    found = [f.getPath() for f in system.listStatus(place) if f.isDirectory() and f.getPath().getName().startswith("batch_id=")]
+    done = [p for p in found if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds, for instance settled tables that are done with."""
+    system, place = _folder(spark, path)
+    system.delete(place, True)
+
+
 def settle(df: DataFrame, spark: SparkSession, label: str) -> DataFrame:
     """Write an intermediate result to the shared scratch folder and read it back.
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitbook.columns import compute_once
 from visitbook.functions.fields import to_day
+from visitbook.session import settle
 
 # The text log's line format and character set.
 LOG_CHARSET = "ISO-8859-1"
 HEADER_PATTERN = r"^\d{4}-\d{2}-\d{2}\s*$"
+EVENT_START = "Nouvelle evenement: "
 EVENT_PATTERN = r"^Nouvelle evenement: (\d\d:\d\d:\d\d) ([^,]*), ([^,]*), (.*)$"
 
 
@@ -22,7 +25,7 @@ def read_log_files(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         # Rows of one split are read in order, so within the first split of a file
-        # the smallest id belongs to the file's first line.
+        # the smallest number belongs to the file's first line.
         F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("line_no"),
         F.decode(F.col("value").cast("binary"), LOG_CHARSET).alias("line"),
     )
@@ -32,38 +35,41 @@ def read_log_files(spark: SparkSession, path: str) -> DataFrame:
 def parse_log_lines(lines: DataFrame) -> DataFrame:
     """Events from raw lines (file, line_no, line): file, ts, user_type, action, details, line.
 
-    The first line of a file carries its day; every event line carries only a time.
-    A line that is neither keeps its text and has no timestamp, so nothing is lost.
-    One header row per file is joined back, which stays small next to the lines.
+    `line_no` numbers the lines of a file's first block and is null beyond it. The first
+    line of a file carries its day; every event line carries only a time. A line that is
+    neither keeps its text and has no timestamp, so nothing is lost; only a header, and lines
+    of the first block that repeat it, go. The headers, one row per file, are written to the
+    shared folder, so the lines come from an exchange of their own and a very large file may
+    be split.
     """
     # Dates and numbers aggregate by hashing, where the lines' text would be sorted.
-    day = F.when(F.col("line").rlike(HEADER_PATTERN), F.rtrim("line").try_cast("date"))
-    headers = (
+    own_day = F.when(F.col("line").rlike(HEADER_PATTERN), F.rtrim("line").try_cast("date"))
+    headers = settle(
         lines.where(F.col("line_no").isNotNull())
-        .select("file", "line_no", day.alias("day"))
+        .select("file", "line_no", own_day.alias("day"))
         .groupBy("file")
-        .agg(F.min("line_no").alias("header_no"), F.min_by("day", "line_no").alias("day"))
-    )
-    is_header = F.col("line").rlike(HEADER_PATTERN) & (F.col("line_no") == F.col("header_no"))
-    part = [F.regexp_extract("line", EVENT_PATTERN, i) for i in range(1, 5)]
-    is_event = F.col("line").rlike(EVENT_PATTERN)
-    return (
-        lines.join(headers, "file", "left")
-        .where(~F.coalesce(is_header, F.lit(False)))
-        .where(F.col("line") != "")
-        .select(
-            "file",
-            F.when(is_event, F.concat(F.col("day").cast("string"), F.lit(" "), part[0]).try_cast("timestamp")).alias("ts"),
-            F.when(is_event, part[1]).alias("user_type"),
-            F.when(is_event, part[2]).alias("action"),
-            F.when(is_event, part[3]).alias("details"),
-            "line",
-        )
+        .agg(F.min_by("day", "line_no").alias("day")),
+        lines.sparkSession, "headers",
+    )
+    dated = lines.where(F.col("line") != "").join(headers, "file", "left")
+    is_header = F.col("line_no").isNotNull() & (own_day == F.col("day"))
+    # Only the last of an event's parts may hold a comma, so one replacement cuts a line.
+    cut = F.regexp_replace("line", EVENT_PATTERN + "(?s:.*)", "$1,$2,$3,$4")
+    event = F.when(F.col("line").startswith(EVENT_START) & (cut != F.col("line")), F.split(cut, ",", 4))
+    parts = compute_once(dated.where(~F.coalesce(is_header, F.lit(False))), {"_part": event})
+    part = lambda i: F.col("_part")[i]
+    return parts.select(
+        "file",
+        F.concat(F.col("day").cast("string"), F.lit(" "), part(0)).try_cast("timestamp").alias("ts"),
+        part(1).alias("user_type"),
+        part(2).alias("action"),
+        part(3).alias("details"),
+        "line",
     )
 
 
-def write_log(events: DataFrame, path: str, ts: str = "timestamp") -> None:
-    """Append events to the log table, one partition per day.
+def write_log(events: DataFrame, path: str, ts: str = "timestamp", mode: str = "append") -> None:
+    """Write events to the log table, one partition per day.
 
     The rebalance lets adaptive execution merge small days into few files and
     split a day that holds far more events than the others.
@@ -71,14 +77,15 @@ def write_log(events: DataFrame, path: str, ts: str = "timestamp") -> None:
     (
         events.withColumn("log_date", to_day(F.col(ts)))
         .hint("rebalance", "log_date")
-        .write.mode("append")
+        .write.mode(mode)
         .partitionBy("log_date")
         .parquet(path)
     )
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The stored log, written in batch or by a stream, which keeps a folder per batch."""
+    return spark.read.parquet(path).drop("batch_id")
 
 
 def on_day(log: DataFrame, day: str) -> DataFrame:

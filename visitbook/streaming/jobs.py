@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from visitbook.functions.fields import to_day
-from visitbook.operators.changes import notifications
+from visitbook.operators.changes import check_changes, notifications
 from visitbook.operators.series import daily_counts, gap_fill, with_revenue
+from visitbook.session import finished_batches, remove_folder
+from visitbook.sources.logs import write_log
+
+# Published versions of the daily series that stay readable.
+KEPT_VERSIONS = 10
 
 
 def _triggered(writer: DataStreamWriter, trigger: dict | None) -> DataStreamWriter:
@@ -23,15 +27,16 @@ def _triggered(writer: DataStreamWriter, trigger: dict | None) -> DataStreamWrit
 def stream_log(
     events: DataFrame, path: str, checkpoint: str, ts: str = "timestamp", trigger: dict | None = None
 ) -> StreamingQuery:
-    """Append events to the day-partitioned log, each exactly once."""
-    writer = (
-        events.withColumn("log_date", to_day(F.col(ts)))
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .partitionBy("log_date")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-    )
+    """Append events to the day-partitioned log, each exactly once; read it with `read_log`.
+
+    Every trigger is written like a batch, with few files per day, into a folder of its own.
+    A trigger that is repeated after a failure overwrites its folder.
+    """
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        write_log(batch, f"{path}/batch_id={batch_id}", ts, mode="overwrite")
+
+    writer = events.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return _triggered(writer, trigger).start()
 
 
@@ -41,14 +46,16 @@ def stream_daily_visits(
     """Keep the number of visits per day up to date; read it with `read_daily_series`.
 
     The state is one count per calendar day, so no watermark is needed to bound it and
-    a visit that arrives late still counts. Each trigger publishes the whole series into
-    one of two slots in turn, which leaves the previous version readable meanwhile.
+    a visit that arrives late still counts. Each trigger publishes the whole series as a
+    version of its own, and versions older than KEPT_VERSIONS triggers are removed, so a
+    reader that has planned on one keeps it meanwhile.
     """
 
     def publish(series: DataFrame, batch_id: int) -> None:
-        series.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
-            f"{path}/slot={batch_id % 2}"
-        )
+        series.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        for old in finished_batches(series.sparkSession, path):
+            if old <= batch_id - KEPT_VERSIONS:
+                remove_folder(series.sparkSession, f"{path}/batch_id={old}")
 
     writer = (
         daily_counts(visits, ts)
@@ -60,19 +67,24 @@ def stream_daily_visits(
 
 
 def read_daily_series(spark: SparkSession, path: str) -> DataFrame:
-    """(day, n, revenue) of the last published version, gaps filled."""
-    published = spark.read.schema("day date, n bigint, batch_id bigint").parquet(path)
-    newest = published.agg(F.max("batch_id")).scalar()
-    counts = published.where(F.col("batch_id") == newest).select("day", "n")
+    """(day, n, revenue) of the last finished version, gaps filled; no rows before the first."""
+    schema, finished = "day date, n bigint", finished_batches(spark, path)
+    if finished:
+        counts = spark.read.schema(schema).parquet(f"{path}/batch_id={finished[-1]}")
+    else:
+        counts = spark.createDataFrame([], schema)
     return with_revenue(gap_fill(counts, "day", "n", "day"))
 
 
 def stream_notifications(
     changes: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Write the notifications of a change stream, each exactly once. No state is kept."""
+    """Write the notifications of a change stream, each exactly once. No state is kept.
+
+    The submitted changes are checked row by row first; refused ones are not announced.
+    """
     writer = (
-        notifications(changes)
+        notifications(check_changes(changes))
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
