@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from visitbook.llm import jaccard_join as jj
 from visitbook.llm import license_scan as lic
 from visitbook.llm import url_filter as url
 
@@ -101,8 +102,30 @@ SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
 FROM doc_words LEFT JOIN per_doc USING (doc_id)
 """
 
+# All pairs that share a shingle, and what their links connect.
+JACCARD_JOIN = f"""
+WITH RECURSIVE doc_words AS (
+  SELECT doc_id, regexp_extract_all({lowered("text")}, '{WORDS}') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least({jj.SHINGLE}, len(w)) - 1], ' ') AS shingle
+  FROM doc_words, unnest(range(1, len(w) - least({jj.SHINGLE}, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles AS a JOIN shingles AS b USING (shingle)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sizes AS p ON x = p.doc_id JOIN sizes AS q ON y = q.doc_id
+  WHERE c >= {jj.SIMILARITY} * (p.n + q.n - c) - 1e-6),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT doc_id, y FROM reach JOIN links ON other = x),
+classes AS (SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id),
+counts AS (SELECT x AS doc_id, count(*) AS n FROM links GROUP BY x)
+SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM classes LEFT JOIN counts USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op4_url_filter": URL_FILTER,
     "op5_decontamination": DECONTAMINATION,
     "op7_license_scan": LICENSE_SCAN,
+    "op9_jaccard_join": JACCARD_JOIN,
 }
