@@ -14,7 +14,7 @@ from visitbook.plans import requests as plans
 from visitbook.plans import stand_ins
 from visitbook.plans.stand_ins import table
 from visitbook.schemas import NURSES, PHYSICIANS, RECEPTIONISTS
-from visitbook.session import scratch_dir
+from visitbook.session import configure, scratch_dir
 from visitbook.sources import logs
 from visitbook.sources.visits import normalize_visits
 from visitbook.streaming import jobs
@@ -30,7 +30,8 @@ VISIT_COLUMNS = [
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    """Register a query, which sets its session up once."""
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(configure(spark), sf_dir)
     return f
 
 

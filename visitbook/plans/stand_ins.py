@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 
 from visitbook.columns import compute_once
 from visitbook.schemas import INVOICE_META, NURSES, PHYSICIANS, RECEPTIONISTS
-from visitbook.session import configure
 from visitbook.sources.invoices import parse_invoices
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
