@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import sys
+
 import duckdb
 import pytest
 from conftest import SF, plan
@@ -22,6 +24,12 @@ def test_every_query_has_sql():
     assert QUERIES.keys() <= contract.oracle_sql().keys()
 
 
+@pytest.mark.parametrize("missing", ["visitbook.llm.queries", "corpus_pipeline"])
+def test_corpus_queries_are_optional(monkeypatch, missing):
+    monkeypatch.setitem(sys.modules, missing, None)
+    assert contract.queries().keys() == QUERIES.keys()
+
+
 def test_entry(spark):
     assert contract.entry(spark).columns == ["day", "n", "revenue"]
 
