@@ -70,7 +70,7 @@ def test_filter_gives_quantised_counts_back():
     one, two = (keys >> lm.GRAM_SHIFT, counts), (keys[:100] >> lm.GRAM_SHIFT, counts[:100])
     bits = 64 * (1 + int(lm.levels_of(counts, 1).sum()) * 3 * lm.ENTRY_BITS // 64)
     field, cut_1, cut_2 = lm.segment(one, two, bits)
-    model = lm.Model(1, bits, np.frombuffer(field, np.uint8)[None, :], np.array([[cut_1, cut_2]]), 1, 1, keys[:0], counts[:0], np.zeros(lm.LEVELS))
+    model = lm.Model(1, bits, np.frombuffer(field, np.uint8)[None, :], np.array([[cut_1, cut_2]]), 1, 1, keys[:0], counts[:0])
     read = model.levels(keys, lm.UNIGRAM, np.full(len(keys), lm.LEVELS - 1))
     true = lm.levels_of(counts, cut_1)
     assert cut_1 == 1 and (read >= true).all()  # a filter has false hits only

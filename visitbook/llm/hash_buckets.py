@@ -13,7 +13,7 @@ import numpy as np
 from visitbook.llm import text_arrays as ta
 
 # Keys that a task gathers before it hands them on.
-HELD_KEYS = 1 << 22
+HELD_KEYS = 1 << 21
 PROBES = 4
 
 

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,7 +192,6 @@ class Model:
     distinct: int  # V
     keys: np.ndarray  # frequent tokens, ascending
     counts: np.ndarray
-    weights: np.ndarray  # of the bigram estimate by the level of its context
 
     def levels(self, keys: np.ndarray, kind: int, at_most: np.ndarray) -> np.ndarray:
         """Quantised counts of grams by repeated probes, up to a level known from their parts."""
@@ -235,10 +235,12 @@ class Model:
         p2 = np.maximum(pair - leave_out, 0) / np.maximum(before - leave_out, 1)
         return np.minimum(p1, 1.0), np.minimum(p2, 1.0), before_level
 
-    def log10(self, tokens: np.ndarray) -> np.ndarray:
-        """Per token the log10 of the interpolated probability."""
+    def log10(self, tokens: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Per token the log10 of the interpolated probability; the bigram's weight depends on
+        the level of its context.
+        """
         p1, p2, level = self.parts(tokens)
-        weight = self.weights[np.minimum(level, LEVELS - 1)]
+        weight = weights[np.minimum(level, LEVELS - 1)]
         return np.log10(weight * p2 + (1 - weight) * p1)
 
 
@@ -259,27 +261,30 @@ def train(
     rows = stored.where(F.col("kind") == STATS).collect()  # the filter: at most max_filter_bits
     field = np.zeros((buckets if rows else 0, bits // 8), np.uint8)
     cutoffs = np.ones((buckets, 2), np.int64)
+    tokens = distinct = 0
     for r in rows:
         field[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
         cutoffs[r["bucket"]] = r["cut_1"], r["cut_2"]
+        tokens, distinct = tokens + r["n"], distinct + r["key"]
+    del rows
     frequent = stored.where(F.col("kind") == FREQUENT).select("key", "n").toPandas()  # at most frequent_tokens
     keys = frequent["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     model = Model(
-        buckets, bits, field, cutoffs, sum(r["n"] for r in rows), sum(r["key"] for r in rows),
-        keys[order], frequent["n"].to_numpy(np.int64)[order], np.zeros(LEVELS),
+        buckets, bits, field, cutoffs, tokens, distinct,
+        keys[order], frequent["n"].to_numpy(np.int64)[order],
     )
     return model, stored.where(F.col("kind") == RARE).select("key", "n")
 
 
-def fit_weights(model: Model, texts: DataFrame) -> None:
+def fit_weights(shared: Broadcast[Model], texts: DataFrame) -> np.ndarray:
     """For each level of the context the weight that makes the given texts, which were counted,
     most likely when each occurrence is left out of its own counts. The texts are a bounded
     sample; only sums per level and weight reach the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, sums = ta.PowerTables(ta.BYTE_BASE), np.zeros((LEVELS, len(WEIGHTS)))
+        model, tables, sums = shared.value, ta.PowerTables(ta.BYTE_BASE), np.zeros((LEVELS, len(WEIGHTS)))
         for whole in batches:
             for batch in ta.slices(whole, "text"):
                 p1, p2, level = model.parts(token_hashes(batch.column("text"), tables)[0], leave_out=1)
@@ -294,7 +299,7 @@ def fit_weights(model: Model, texts: DataFrame) -> None:
     total = np.zeros((LEVELS, len(WEIGHTS)))
     for r in rows.groupBy("level", "weight").agg(F.sum("gain").alias("gain")).collect():
         total[r["level"], r["weight"]] = r["gain"]
-    model.weights = WEIGHTS[np.argmax(total, axis=1)]
+    return WEIGHTS[np.argmax(total, axis=1)]
 
 
 SCANNED = (
@@ -303,15 +308,15 @@ SCANNED = (
 )
 
 
-def scan(texts: DataFrame, model: Model) -> DataFrame:
+def scan(texts: DataFrame, shared: Broadcast[Model], weights: np.ndarray) -> DataFrame:
     """Per row the model's score, the base score's sum over frequent tokens, and its other tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = ta.PowerTables(ta.BYTE_BASE)
+        model, tables = shared.value, ta.PowerTables(ta.BYTE_BASE)
         for whole in batches:
             for batch in ta.slices(whole, "text"):
                 tokens, bounds = token_hashes(batch.column("text"), tables)
-                score = np.add.reduceat(model.log10(tokens), bounds[:-1])
+                score = np.add.reduceat(model.log10(tokens, weights), bounds[:-1])
                 at = np.minimum(np.searchsorted(model.keys, tokens), max(0, len(model.keys) - 1))
                 frequent = model.keys[at] == tokens if len(model.keys) else np.zeros(len(tokens), bool)
                 count = np.where(frequent, model.counts[at] if len(model.keys) else 0, 0)
@@ -356,10 +361,12 @@ def score_documents(
     model, rare_counts = train(spark, learned.select("text"), max_filter_bits, frequent_tokens)
     seed = F.xxhash64("doc_id", F.lit("weights"))
     drawn = learned.where("doc_id IS NOT NULL").select("doc_id").orderBy(seed, "doc_id").limit(WEIGHT_TEXTS)
-    fit_weights(model, learned.join(F.broadcast(drawn.distinct()), "doc_id", "left_semi").limit(2 * WEIGHT_TEXTS))
+    shared = spark.sparkContext.broadcast(model)  # once: the filter is its largest part
+    weights = fit_weights(shared, learned.join(F.broadcast(drawn.distinct()), "doc_id", "left_semi").limit(2 * WEIGHT_TEXTS))
 
     numbered = narrow.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    scanned = settle(scan(numbered, model), spark, "scores")
+    scanned = settle(scan(numbered, shared, weights), spark, "scores")
+    shared.destroy()
     others = scanned.select("row", F.inline("rare")).withColumnRenamed("n", "times")
     looked_up = others.join(rare_counts, "key", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more"),

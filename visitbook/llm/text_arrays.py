@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 # Odd multipliers of polynomial hashes modulo 2**64, and the mixer's constants.
 BYTE_BASE = 0x9E3779B97F4A7C15
