@@ -61,6 +61,12 @@ def test_every_path_equals_brute_force(spark, texts, options):
     assert got(sd.remove_repeats(spark, documents(spark, texts), **options)) == want
 
 
+def test_small_blocks_and_packs(spark, texts, monkeypatch):
+    for name, value in (("BLOCK_SEGMENTS", 3), ("PACK_SEGMENTS", 5), ("BUCKET_SEGMENTS", 40), ("SLICE_BYTES", 500)):
+        monkeypatch.setattr(sd, name, value)
+    assert got(sd.remove_repeats(spark, documents(spark, texts))) == dict(enumerate(brute_force(texts)))
+
+
 def test_difference_cover():
     assert all(any((d + a) % sd.PERIOD in sd.COVER and (d + b) % sd.PERIOD in sd.COVER for d in range(sd.PERIOD))
                for a in range(sd.PERIOD) for b in range(sd.PERIOD))

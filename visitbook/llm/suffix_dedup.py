@@ -22,6 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +32,14 @@ from visitbook.llm.hash_buckets import HELD_KEYS, Tally, add_up, bucket_of, buck
 from visitbook.session import settle
 
 LENGTH = 100
-ANCHOR = 32  # bytes of an anchor
+ANCHOR = 50  # bytes of an anchor
 SAMPLE, PERIOD = 50, 32  # bytes named at a sample place; period of the cover
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+PLACE_BITS = np.uint64(28)  # of a place within a slice
 # Segments sorted together, and the most that one anchor may have without being hot.
 BLOCK_SEGMENTS, HOT_SEGMENTS = 1 << 14, 1 << 15
+# Segments that a task hands on together, and that a bucket is meant to hold.
+PACK_SEGMENTS, BUCKET_SEGMENTS = 1 << 16, 1 << 16
 # At most so many anchors are hot: the bound of a block grows before this list does.
 HOT_ANCHORS = 1 << 20
 # Largest filter of repeated anchors, in bits; beyond it they are joined instead.
@@ -83,15 +88,16 @@ def find_anchors(data: np.ndarray, bounds: np.ndarray, tables: ta.PowerTables) -
     if len(data) < LENGTH:
         return Anchors(np.zeros(0, np.uint64), none, none, none)
     at = np.arange(len(data) - ANCHOR + 1)
-    low = ta.range_hashes(data.astype(np.uint64), at, at + ANCHOR, tables)
-    hashes, place = low, at.astype(np.int32)
-    step, reach = 1, LENGTH - ANCHOR + 1  # an anchor is one of `reach` places; ties: the leftmost
+    hashes = ta.range_hashes(data.astype(np.uint64), at, at + ANCHOR, tables)
+    # The lowest hash of LENGTH - ANCHOR + 1 places; of equal ones the leftmost: the place is
+    # kept in the low bits.
+    low = hashes >> PLACE_BITS << PLACE_BITS | at.astype(np.uint64)
+    step, reach = 1, LENGTH - ANCHOR + 1
     while step < reach:
         shift = min(step, reach - step)
-        later = low[shift:] < low[:-shift]
-        place = np.where(later, place[shift:], place[:-shift])
-        low = np.where(later, low[shift:], low[:-shift])
+        low = np.minimum(low[shift:], low[:-shift])
         step += shift
+    place = (low & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
     valid = np.zeros(len(data), bool)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         valid[a : max(a, b - LENGTH + 1)] = True
@@ -100,7 +106,8 @@ def find_anchors(data: np.ndarray, bounds: np.ndarray, tables: ta.PowerTables) -
         return Anchors(np.zeros(0, np.uint64), none, none, none)
     of = place[starts]
     fresh = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    return Anchors(hashes[of[fresh]], of[fresh].astype(np.int64), starts[fresh], starts[np.append(fresh[1:], len(starts)) - 1])
+    # The hashes of anchors are the lowest of many; mixed again they spread over all buckets.
+    return Anchors(ta.mix(hashes[of[fresh]] + np.uint64(1)), of[fresh], starts[fresh], starts[np.append(fresh[1:], len(starts)) - 1])
 
 
 def count_anchors(docs: DataFrame, buckets: int) -> DataFrame:
@@ -204,45 +211,91 @@ SEGMENT_ROWS = pa.schema([
     ("hash", pa.int64()), ("doc_id", pa.int64()), ("name", pa.int64()), ("place", pa.int64()),
     ("before", pa.int32()), ("after", pa.int32()), ("bytes", pa.binary()),
 ])
+NO_SEGMENTS = pa.RecordBatch.from_pylist([], schema=SEGMENT_ROWS)
 
 
-def segments(docs: DataFrame, known: Filter | None, hot: bool) -> DataFrame:
-    """The text around each anchor to be sorted: its suffixes begin `before` .. `after` bytes
-    before `place`. `known` None takes the anchors at the places that a column `wanted` names.
-    With `hot` only the hot anchors are taken, without it only the others.
+def cut_segments(batches: Iterator[pa.RecordBatch], take) -> Iterator[pa.RecordBatch]:
+    """The text around the anchors for which `take(anchors, row, place, batch)` is true: its
+    suffixes begin `before` .. `after` bytes before `place`.
     """
+    tables = ta.PowerTables(ta.BYTE_BASE)
+    for whole in batches:
+        for batch in ta.slices(whole, "text", SLICE_BYTES):
+            data, bounds = ta.text_bytes(batch.column("text"))
+            found = find_anchors(data, bounds, tables)
+            row = np.searchsorted(bounds, found.place, side="right") - 1
+            chosen = np.flatnonzero(take(found, row, found.place - bounds[row], batch))
+            if not len(chosen):
+                continue
+            place, first, last, r = found.place[chosen], found.first[chosen], found.last[chosen], row[chosen]
+            text, at = data.tobytes(), pa.array(r)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(found.hash[chosen].view(np.int64)), batch.column("doc_id").take(at), batch.column("name").take(at),
+                    pa.array(place - bounds[r]), pa.array((place - first).astype(np.int32)), pa.array((place - last).astype(np.int32)),
+                    pa.array([text[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()),
+                ],
+                schema=SEGMENT_ROWS,
+            )
+
+
+def by_filter(known: Filter, hot: bool):
+    """Chooses the anchors that may repeat: only the hot ones, or only the others."""
+
+    def take(found: Anchors, row: np.ndarray, place: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        is_hot = np.isin(found.hash, known.hot)
+        return is_hot if hot else known.passes(found.hash) & ~is_hot
+
+    return take
+
+
+def by_place(found: Anchors, row: np.ndarray, place: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """Chooses the anchors at the places that the column `wanted` lists."""
+    wanted = {(r, p) for r, ps in enumerate(batch.column("wanted").to_pylist()) for p in ps or ()}
+    return np.array([k in wanted for k in zip(row.tolist(), place.tolist(), strict=True)], bool)
+
+
+def segment_rows(docs: DataFrame, take) -> DataFrame:
+    return docs.mapInArrow(lambda batches: cut_segments(batches, take), SEGMENT)
+
+
+def segment_packs(docs: DataFrame, take, buckets: int) -> DataFrame:
+    """bucket, pack: the segments of a bucket of anchors, many at a time and compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = ta.PowerTables(ta.BYTE_BASE)
-        for whole in batches:
-            for batch in ta.slices(whole, "text", SLICE_BYTES):
-                data, bounds = ta.text_bytes(batch.column("text"))
-                found = find_anchors(data, bounds, tables)
-                row = np.searchsorted(bounds, found.place, side="right") - 1
-                if known is None:
-                    wanted = batch.column("wanted").to_pylist()
-                    keys = {(r, p) for r, ps in enumerate(wanted) for p in ps or ()}
-                    local = (found.place - bounds[row]).tolist()
-                    take = np.array([k in keys for k in zip(row.tolist(), local, strict=True)], bool)
-                else:
-                    is_hot = np.isin(found.hash, known.hot)
-                    take = known.passes(found.hash) & (is_hot if hot else ~is_hot)
-                text = data.tobytes()
-                ids, names = batch.column("doc_id").to_pylist(), batch.column("name").to_pylist()
-                for part in np.array_split(np.flatnonzero(take), max(1, int(take.sum()) // 20_000)):
-                    place, first, last = found.place[part], found.first[part], found.last[part]
-                    r = row[part].tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(found.hash[part].view(np.int64)), pa.array([ids[i] for i in r], pa.int64()),
-                            pa.array([names[i] for i in r], pa.int64()), pa.array(place - bounds[r]),
-                            pa.array((place - first).astype(np.int32)), pa.array((place - last).astype(np.int32)),
-                            pa.array([text[a : b + LENGTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()),
-                        ],
-                        schema=SEGMENT_ROWS,
-                    )
-
-    return docs.mapInArrow(run, SEGMENT)
+        held, n = [], 0
+        for cut in cut_segments(batches, take):
+            held.append(cut)
+            n += cut.num_rows
+            if n >= PACK_SEGMENTS:
+                yield packs(held, buckets)
+                held, n = [], 0
+        yield packs(held or [NO_SEGMENTS], buckets)
+
+    return docs.mapInArrow(run, "bucket int, pack binary")
+
+
+def packs(held: list[pa.RecordBatch], buckets: int) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held).combine_chunks()
+    bucket = bucket_of(rows["hash"].to_numpy().view(np.uint64), buckets)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    compress = zstandard.ZstdCompressor(level=3).compress
+    out = [(b, compress(to_ipc(rows.take(pa.array(order[i:j]))))) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["bucket", "pack"]
+    )
+
+
+def to_ipc(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def from_ipc(pack: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(pack)).read_all()
 
 
 def suffix_names(hashes, before, after, blobs, tables) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -336,21 +389,34 @@ def sort_bucket(rows: pa.Table, tables: ta.PowerTables) -> Iterator[pa.RecordBat
 
 
 def sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task function over rows sorted by anchor and place: whole buckets, some at a time."""
-    tables, held, n = ta.PowerTables(ta.BYTE_BASE), [], 0
+    """Task function over packs sorted by bucket: buckets one after the other, and in each a
+    block of whole anchors at a time.
+    """
+    tables = ta.PowerTables(ta.BYTE_BASE)
+
+    def close(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        rows = pa.concat_tables(held)
+        order = [(c, "ascending") for c in ("hash", "doc_id", "name", "place")]
+        rows = rows.take(pc.sort_indices(rows.select([c for c, _ in order]), sort_keys=order, null_placement="at_start"))
+        hashes = rows["hash"].to_numpy()
+        ends = np.append(np.flatnonzero(hashes[1:] != hashes[:-1]) + 1, len(hashes))  # of the anchors' rows
+        at = 0
+        while at < len(hashes):
+            last = np.searchsorted(ends, at + BLOCK_SEGMENTS, side="right") - 1
+            to = int(max(ends[max(last, 0)], ends[np.searchsorted(ends, at, side="right")]))
+            yield from sort_bucket(rows.slice(at, to - at), tables)
+            at = to
+
+    now, held = None, []
     for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n > BLOCK_SEGMENTS:
-            rows = pa.Table.from_batches(held)
-            hashes = rows["hash"].to_numpy()
-            open_from = int(np.flatnonzero(hashes != hashes[-1])[-1]) + 1 if (hashes != hashes[-1]).any() else 0
-            if open_from:
-                yield from sort_bucket(rows.slice(0, open_from), tables)
-                held = rows.slice(open_from).to_batches()
-                n = len(rows) - open_from
-    if n:
-        yield from sort_bucket(pa.Table.from_batches(held), tables)
+        for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+            if bucket != now and held:
+                yield from close(held)
+                held = []
+            now = bucket
+            held.append(from_ipc(batch.column("pack")[i].as_py()))
+    if held:
+        yield from close(held)
 
 
 def hot_spans(hot_segments: DataFrame) -> DataFrame:
@@ -400,22 +466,20 @@ def repeated_spans(
     limit = max(hot_segments, occurrences // HOT_ANCHORS)
     # At most occurrences / limit anchors, so never more than HOT_ANCHORS unless a test asks for it.
     hot = np.array([r["hash"] for r in repeated.where(F.col("n") > limit).collect()], np.int64).view(np.uint64)
+    parts = max(LEAST_BUCKETS, -(-occurrences // BUCKET_SEGMENTS))
     if total * ENTRY_BITS <= filter_bits:
         known = build_filter(repeated, buckets, total, hot)
-        common, busy = segments(docs, known, False), segments(docs, known, True)
+        packed_segments = segment_packs(docs, by_filter(known, False), parts)
+        busy = segment_rows(docs, by_filter(known, True))
     else:
-        wanted = wanted_places(docs, repeated)
-        joined = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["w_id"]) & (docs["name"] == wanted["w_name"]))
-        around = segments(joined.select("doc_id", "name", "text", "wanted"), None, False)
-        very = repeated.where(F.col("n") > limit).select("hash")
-        common, busy = around.join(very, "hash", "left_anti"), around.join(very, "hash", "left_semi")
-    ordered = common.select(*SEGMENT_ROWS.names).repartition("hash").sortWithinPartitions("hash", "doc_id", "name", "place")
-    spans = ordered.mapInArrow(sort_buckets, SPAN)
-    return spans.unionByName(hot_spans(busy.select(*SEGMENT_ROWS.names))) if len(hot) else spans
+        packed_segments = segment_packs(wanted_places(docs, repeated.where(F.col("n") <= limit)), by_place, parts)
+        busy = segment_rows(wanted_places(docs, repeated.where(F.col("n") > limit)), by_place)
+    spans = packed_segments.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort_buckets, SPAN)
+    return spans.unionByName(hot_spans(busy)) if len(hot) else spans
 
 
 def wanted_places(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """w_id, w_name, wanted: the places of each text's repeated anchors, found by a join."""
+    """The texts with `wanted`: the places of their repeated anchors, found by a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = ta.PowerTables(ta.BYTE_BASE)
@@ -431,7 +495,10 @@ def wanted_places(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                 )
 
     anchors = docs.mapInArrow(run, "hash bigint, w_id bigint, w_name bigint, place bigint")
-    return anchors.join(repeated.select("hash"), "hash", "left_semi").groupBy("w_id", "w_name").agg(F.collect_set("place").alias("wanted"))
+    found = anchors.join(repeated.select("hash"), "hash", "left_semi").groupBy("w_id", "w_name")
+    wanted = found.agg(F.collect_set("place").alias("wanted"))
+    same = docs["doc_id"].eqNullSafe(wanted["w_id"]) & (docs["name"] == wanted["w_name"])
+    return docs.join(wanted, same).select("doc_id", "name", "text", "wanted")
 
 
 RESULT = "doc_id bigint, text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
