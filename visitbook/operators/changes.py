@@ -52,15 +52,18 @@ def check_changes(
     new_fields, new_errors = insert_columns(received_at, tz)
     set_fields, set_errors = update_columns()
     op = F.col("op")
+    ready = F.coalesce(F.col("fields")["temperature"], F.lit("-")) != ""
+    # One kind after the other: both in one step make code too long to be compiled.
+    inserts = F.when(op == "insert", F.struct(new_fields.alias("fields"), new_errors.alias("errors")))
+    updates = F.when(op == "update", F.struct(set_fields.alias("fields"), set_errors.alias("errors")))
+    checked = compute_once(compute_once(changes, {"_insert": inserts, "ready": ready}), {"_update": updates})
     errors = (
-        F.when(op == "insert", new_errors)
-        .when(op == "update", set_errors)
+        F.when(op.isin("insert", "update"), F.coalesce("_insert.errors", "_update.errors"))
         .when(op == "delete", F.array().cast("array<string>"))
         .otherwise(F.array(F.lit("unknown operation")))
     )
-    fields = F.when(op == "insert", new_fields).when(op == "update", set_fields)
-    ready = F.coalesce(F.col("fields")["temperature"], F.lit("-")) != ""
-    return compute_once(changes, {"fields": fields, "errors": errors, "ready": ready})
+    fields = F.coalesce("_insert.fields", "_update.fields")
+    return checked.withColumns({"fields": fields, "errors": errors}).drop("_insert", "_update")
 
 
 def in_stretches(changes: DataFrame) -> DataFrame:

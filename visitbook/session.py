@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # What passes between the JVM and Python at a time; long texts make large batches.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
