@@ -22,13 +22,13 @@ from visitbook.llm import text_arrays as ta
 
 ORDER = 5
 # Bound of the training sample: documents per language, chosen by a hash of their id.
-SAMPLE_DOCS = 300
+SAMPLE_DOCS, SAMPLE_PARTS = 300, 64
 # One sampled document in this many calibrates the rejection instead of training.
 CALIBRATION_SHARE = 5
 # Standard errors, and bits per symbol beyond them, that a text may lie above its language's mean.
 REJECT_ERRORS, REJECT_BITS = 8.0, 1.0
-# Distinct words whose scores a task remembers.
-CACHED_WORDS = 1 << 18
+# Distinct words whose scores a task remembers, and that it scores at a time.
+CACHED_WORDS, SCORED_WORDS = 1 << 18, 1 << 14
 BEGIN, END = 2, 3  # control characters: never letters
 UNKNOWN = "und"
 
@@ -171,8 +171,8 @@ def fit(words_by_language: dict[str, Counter], order: int = ORDER) -> Model:
     model = Model(languages, np.array([first for first, _ in parts]) / (len(symbols) + 2))
     for n in range(order):
         keys = np.unique(np.concatenate([p[n][0] for _, p in parts])) if parts else np.zeros(0, np.uint64)
-        direct = np.zeros((len(keys), len(languages)))
-        onward = np.ones((len(keys), len(languages)))
+        direct = np.zeros((len(keys), len(languages)), np.float32)
+        onward = np.ones((len(keys), len(languages)), np.float32)
         for k, (_, p) in enumerate(parts):
             at = np.searchsorted(keys, p[n][0])
             direct[at, k], onward[at, k] = p[n][1], p[n][2]
@@ -215,7 +215,8 @@ class TextScorer:
         known[new] = False
         out[known] = self.bits[at[known]]
         if len(new):
-            out[new] = self.model.word_bits(WordList.of(letters, starts[new], ends[new]))
+            for part in np.array_split(new, -(-len(new) // SCORED_WORDS)):
+                out[part] = self.model.word_bits(WordList.of(letters, starts[part], ends[part]))
             if len(self.keys) + len(new) > CACHED_WORDS:
                 self.keys, self.bits = keys[:0], out[:0]
             joined = np.concatenate([self.keys, keys[new]])
@@ -228,12 +229,18 @@ def sample(docs: DataFrame, per_language: int, seed_col: Column) -> DataFrame:
     """At most `per_language` documents of each language: lang, text. Documents without a
     language or without an id are not drawn.
     """
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(seed_col, "doc_id"))
     usable = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    chosen = usable.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= per_language)
+    order = [seed_col, F.col("doc_id")]
+
+    def first(rows: DataFrame, *by: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= per_language)
+
+    # A language may hold most rows: its parts are cut to the wanted number before they meet.
+    parts = first(usable.select("doc_id", "lang", F.pmod(seed_col, F.lit(SAMPLE_PARTS)).alias("part")), "lang", "part")
+    chosen = first(parts.select("doc_id", "lang"), "lang")
     picked = usable.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
-    again = F.row_number().over(Window.partitionBy("lang").orderBy(seed_col, "doc_id"))  # an id may repeat
-    return picked.withColumn("rank", again).where(F.col("rank") <= per_language)
+    return first(picked, "lang")  # an id may repeat
 
 
 def train(docs: DataFrame, order: int = ORDER, per_language: int = SAMPLE_DOCS) -> Model:
@@ -276,7 +283,10 @@ def calibrate(model: Model, drawn: DataFrame) -> None:
     if not n:
         return
 
+    shared = drawn.sparkSession.sparkContext.broadcast(model)
+
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         scorer = TextScorer(model)
         for batch in batches:
             langs = batch.column("lang").to_pylist()
@@ -298,6 +308,7 @@ def calibrate(model: Model, drawn: DataFrame) -> None:
         model.mean[k] = r["bits"] / r["n"]
         # n * (bits / n - mean)**2 averages to the variance of one symbol's bits
         model.spread[k] = max(0.0, r["squares"] - r["bits"] ** 2 / r["n"]) ** 0.5 / max(1, r["docs"] - 1) ** 0.5
+    shared.destroy()
     unseen = model.mean == 0  # too few documents to calibrate: nothing is rejected
     model.mean[unseen], model.spread[unseen] = np.inf, 0
 
@@ -315,7 +326,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     kept = docs.drop(*results)
     schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema] + [RESULT])
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         scorer = TextScorer(model)
         for whole in batches:
             for batch in ta.slices(whole, "text"):
