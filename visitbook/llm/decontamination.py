@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitbook.llm import text_arrays as ta
@@ -144,6 +144,14 @@ def merged(spans: list[dict]) -> list[dict]:
     return out
 
 
+def blank_hits() -> dict[str, Column]:
+    return {
+        "n_words": F.lit(0).cast("bigint"),
+        "spans": F.array().cast("array<struct<start: int, end: int>>"),
+        "items": F.array().cast("array<string>"),
+    }
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "item_id",
     slice_windows: int = SLICE_WINDOWS,
@@ -155,12 +163,7 @@ def contamination(
     hits; an empty benchmark hits nothing; equal rows are judged one by one. Columns of `docs`
     that are named like a result are replaced. No shuffle of the texts takes place.
     """
-    blank = {
-        "n_words": F.lit(0).cast("bigint"),
-        "spans": F.array().cast("array<struct<start: int, end: int>>"),
-        "items": F.array().cast("array<string>"),
-    }
-    out = docs.withColumns(blank)
+    out = docs.withColumns(blank_hits())
     schema = out.schema
     for known in window_slices(benchmark, window, slice_windows, id_col):
         out = out.mapInArrow(scan(known), schema)
@@ -177,10 +180,13 @@ def decontaminate(
     has lost all its words goes; texts without a hit, null and empty ones included, stay as
     they are. `n_chars`, if there, is counted again for changed texts.
     """
-    found = contamination(docs, benchmark, window, id_col, slice_windows)
+    *others, last = window_slices(benchmark, window, slice_windows, id_col)
+    found = docs.withColumns(blank_hits())
     schema = found.schema
+    for known in others:
+        found = found.mapInArrow(scan(known), schema)
 
-    def run(batches):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in ta.slices(whole, "text"):
                 hit = [i for i, n in enumerate(batch.column("spans").value_lengths().to_pylist()) if n]
@@ -195,7 +201,7 @@ def decontaminate(
                     pa.array(keep)
                 )
 
-    out = found.mapInArrow(run, schema)
+    out = found.mapInArrow(lambda batches: cut(scan(last)(batches)), schema)
     if "n_chars" in docs.columns:
         changed = F.size("spans") > 0
         count = F.when(changed, F.length("text")).otherwise(F.col("n_chars"))

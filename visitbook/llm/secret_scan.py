@@ -152,8 +152,17 @@ def scan_secrets(docs: DataFrame, dictionary: bytes | None = None) -> DataFrame:
     Without a dictionary one is gathered from `docs` first.
     """
     primed = identifier_dictionary(docs) if dictionary is None else dictionary
-    kept = docs.drop("secrets")
-    blank = kept.withColumn("secrets", F.array().cast("array<struct<kind: string, start: int, end: int>>"))
+    blank = with_blank(docs)
+    return blank.mapInArrow(scan(primed), blank.schema)
+
+
+def with_blank(docs: DataFrame) -> DataFrame:
+    none = F.array().cast("array<struct<kind: string, start: int, end: int>>")
+    return docs.drop("secrets").withColumn("secrets", none)
+
+
+def scan(primed: bytes):
+    """Task function: fills each row's `secrets`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty(primed)
@@ -165,7 +174,7 @@ def scan_secrets(docs: DataFrame, dictionary: bytes | None = None) -> DataFrame:
             at = batch.schema.get_field_index("secrets")
             yield batch.set_column(at, "secrets", pa.array(spans, SPANS))
 
-    return blank.mapInArrow(run, blank.schema)
+    return run
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -177,9 +186,12 @@ def redact(docs: DataFrame, mark: str = "[secret]", dictionary: bytes | None = N
     Texts without secrets, null and empty ones included, stay as they are. `n_chars`, if
     there, is counted again for changed texts.
     """
-    found = scan_secrets(docs, dictionary)
+    primed = identifier_dictionary(docs) if dictionary is None else dictionary
+    # Of a clashing column only the name is set aside.
+    own = docs.withColumnRenamed("secrets", "own secrets")
+    found = with_blank(own)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in ta.slices(whole, "text"):
                 sizes = np.asarray(batch.column("secrets").value_lengths().fill_null(0))
@@ -192,11 +204,11 @@ def redact(docs: DataFrame, mark: str = "[secret]", dictionary: bytes | None = N
                 at = batch.schema.get_field_index("text")
                 yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.column("text").type))
 
-    out = found.mapInArrow(run, found.schema)
+    out = found.mapInArrow(lambda batches: replace(scan(primed)(batches)), found.schema)
     if "n_chars" in docs.columns:
         count = F.when(F.size("secrets") > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", count.cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(own.columns).withColumnRenamed("own secrets", "secrets")
 
 
 def marked(text: str, spans: list[dict], mark: str) -> str:
