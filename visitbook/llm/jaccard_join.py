@@ -27,6 +27,8 @@ SIMILARITY = 0.8
 # Probability with which a pair at the similarity bound is met, were all its nodes split fully.
 RECALL = 0.999
 DEPTH = 3
+# Chance with which a linked pair may fail the screen by sampled shingles.
+SCREEN_LOSS = 1e-6
 # Sets in a node that are compared at once; larger nodes are split, or compared block by block.
 BRUTE_FORCE = 512
 VOCABULARY_BLOCK = 4096
@@ -37,6 +39,20 @@ def runs_for(recall: float, similarity: float, depth: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth)))
 
 
+def least_agreement(functions: int, similarity: float, loss: float = SCREEN_LOSS) -> int:
+    """Sampled shingles that two linked sets share but for a chance of `loss`.
+
+    Under each hash function the sets sample the same shingle with the chance of their
+    similarity.
+    """
+    chance = 0.0
+    for n in range(functions + 1):
+        chance += math.comb(functions, n) * similarity**n * (1 - similarity) ** (functions - n)
+        if chance > loss:
+            return n
+    return functions
+
+
 def shingles(batch: pa.RecordBatch, size: int, tables: tuple[ta.PowerTables, ta.PowerTables]) -> list[np.ndarray]:
     """Per row the sorted distinct hashes of its word shingles.
 
@@ -209,20 +225,64 @@ def local_roots(near: np.ndarray) -> np.ndarray:
         label = lower
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows sorted by bucket and part, as lists of those that meet."""
+    rows = ({c: b.column(c)[i].as_py() for c in b.schema.names} for b in batches for i in range(b.num_rows))
+    for _, group in groupby(rows, key=lambda r: (r["bucket"], r["a"], r["b"])):
+        members = list(group)
+        if len(members) > 1:
+            yield members
+
+
+def only_across(near: np.ndarray, members: list[dict]) -> np.ndarray:
+    """Of two blocks only the pairs across count; those inside meet in parts of their own."""
+    if members[0]["a"] == members[0]["b"]:
+        return near
+    side = np.array([m["side"] for m in members])
+    return near & (side[:, None] != side[None, :])
+
+
+def screen(agreement: int):
+    """Task function over rows sorted by bucket and part: the sets of which another one there
+    shares enough sampled shingles for a link.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for members in together(batches):
+            values = np.array([m["values"] for m in members], np.int64)
+            same = np.zeros((len(members), len(members)), np.int16)
+            for column in values.T:
+                same += column[:, None] == column[None, :]
+            np.fill_diagonal(same, 0)
+            kept = only_across(same >= agreement, members).any(axis=1)
+            out += [tuple(m[c] for c in MET) for m, k in zip(members, kept, strict=True) if k]
+            if len(out) > 5000:
+                yield met_rows(out)
+                out = []
+        yield met_rows(out)
+
+    return run
+
+
+# Rows of sets that meet in a part of a bucket.
+MET = ("bucket", "a", "b", "run", "side", "name", "before", "copies")
+MET_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64())
+MET_SCHEMA = "bucket bigint, a int, b int, run int, side int, name binary, before array<bigint>, copies bigint"
+
+
+def met_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(MET)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, MET_KINDS, strict=True)], names=list(MET))
+
+
 def compare(similarity: float):
     """Task function over rows sorted by bucket and part: what each set is linked to there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ({c: b.column(c)[i].as_py() for c in b.schema.names} for b in batches for i in range(b.num_rows))
         out: list[tuple] = []
-        for _, group in groupby(rows, key=lambda r: (r["bucket"], r["a"], r["b"])):
-            members = list(group)
-            if len(members) < 2:
-                continue
-            near = linked([np.frombuffer(m["grams"], np.uint64) for m in members], similarity)
-            if members[0]["a"] != members[0]["b"]:  # two blocks: only pairs across
-                side = np.array([m["side"] for m in members])
-                near &= side[:, None] != side[None, :]
+        for members in together(batches):
+            near = only_across(linked([np.frombuffer(m["grams"], np.uint64) for m in members], similarity), members)
             if not near.any():
                 continue
             root, fresh = local_roots(near), near.copy()
@@ -275,19 +335,22 @@ def near_duplicates(
     buckets = chosen_paths(spark, classes, runs, depth, brute_force)
     rows = settle(unmet(settle(buckets, spark, "buckets"), runs), spark, "unmet")
 
+    def gathered(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
+
+    dealt = blocks(rows.join(classes.select("name", "copies", "values"), "name"), brute_force)
+    dealt = dealt.select("bucket", "part.a", "part.b", "run", "side", "name", "before", "copies", "values")
+    agreement = least_agreement(runs * depth, similarity)
+    met = settle(gathered(dealt).mapInArrow(screen(agreement), MET_SCHEMA), spark, "met")
+
     # Whole sets of the classes that have anything to compare, taken from their first document.
-    wanted = rows.select("name").distinct().join(classes.select("name", "first_id", "copies"), "name")
+    wanted = met.select("name").distinct().join(classes.select("name", "first_id"), "name")
     ids = wanted.select(F.col("first_id").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").alias("d").join(
         ids.alias("i"), F.expr("d.doc_id <=> i.doc_id"), "left_semi"
     )
     sets = shingle_sets(texts, shingle).dropDuplicates(["name"])
-    compared = (
-        blocks(rows.join(wanted.select("name", "copies").join(sets, "name"), "name"), brute_force)
-        .select("bucket", "part.a", "part.b", "run", "side", "name", "before", "copies", "grams")
-        .repartition("bucket", "a", "b")
-        .sortWithinPartitions("bucket", "a", "b")
-    )
+    compared = gathered(met.join(sets, "name"))
     links = settle(compared.mapInArrow(compare(similarity), "name binary, root binary, links bigint"), spark, "links")
     roots = components(spark, links.select(F.col("name").alias("u"), F.col("root").alias("v")))
 
