@@ -23,10 +23,12 @@ from visitbook.session import settle
 NEIGHBOURS = 10
 PROJECTIONS = 64
 # Width of a window in radii, and growth of the radius from one rehashing to the next.
-WIDTH, GROWTH = 2.72, 1.25
+WIDTH, GROWTH = 2.72, 2**0.5
 # Standard deviations below the mean number of collisions of a vector at the radius.
 CAUTION = 3.5
 BLOCK_VECTORS = 8192
+# Vectors of a block by which the first radius is chosen.
+PART_VECTORS = 256
 BLOCK_QUERIES = 512
 SEED = 20
 
@@ -53,16 +55,15 @@ class SortedProjections:
         self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
         self.threshold = collision_threshold(projections)
+        self.part = np.random.default_rng(seed + 1).permutation(len(vectors))[:PART_VECTORS]
 
-    def first_radius(self, centre: np.ndarray, neighbours: int) -> float:
-        """The radius at which the windows hold as many vectors, at the median, as are wanted."""
-        n = self.sorted.shape[1]
-        reach = np.empty(len(centre))
-        for j, row in enumerate(self.sorted):
-            at = int(np.searchsorted(row, centre[j]))
-            near = np.abs(row[max(0, at - neighbours) : min(n, at + neighbours)] - centre[j])
-            reach[j] = np.partition(near, min(neighbours, len(near)) - 1)[min(neighbours, len(near)) - 1]
-        return 2 * float(np.median(reach)) / WIDTH
+    def first_radius(self, query: np.ndarray, skip: int | None, wanted: int) -> float:
+        """Half the distance within which a random part of the block holds as many vectors as
+        are wanted; the whole block holds them within less than twice that.
+        """
+        part = self.part[self.part != skip] if skip is not None else self.part
+        distances = np.sqrt(((self.vectors[part] - query) ** 2).sum(axis=1))
+        return float(np.partition(distances, min(wanted, len(part)) - 1)[min(wanted, len(part)) - 1]) / 2
 
     def search(self, query: np.ndarray, skip: int | None, neighbours: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and distances of the verified vectors that may be among the nearest.
@@ -75,22 +76,24 @@ class SortedProjections:
         if wanted <= 0:
             return np.zeros(0, np.int64), np.zeros(0)
         centre = query @ self.directions
-        collisions = np.zeros(n, np.int16)
+        collisions = np.zeros(n, np.int64)
         verified = np.zeros(n, bool)
         if skip is not None:
             verified[skip] = True
         numbers, distances = np.zeros(0, np.int64), np.zeros(0)
         left = np.array([np.searchsorted(row, c) for row, c in zip(self.sorted, centre, strict=True)])
-        right, radius = left.copy(), self.first_radius(centre, wanted)
+        right, radius = left.copy(), self.first_radius(query, skip, wanted)
         everything = False
         while True:
             half = radius * WIDTH / 2
-            for j, row in enumerate(self.sorted):  # the windows grow; only what is new is counted
-                a, b = np.searchsorted(row, centre[j] - half, "left"), np.searchsorted(row, centre[j] + half, "right")
-                a, b = min(a, left[j]), max(b, right[j])
-                collisions[self.order[j, a : left[j]]] += 1
-                collisions[self.order[j, right[j] : b]] += 1
-                left[j], right[j] = a, b
+            # The windows grow; only what is new is counted.
+            low = np.array([np.searchsorted(row, c, "left") for row, c in zip(self.sorted, centre - half, strict=True)])
+            high = np.array([np.searchsorted(row, c, "right") for row, c in zip(self.sorted, centre + half, strict=True)])
+            low, high = np.minimum(low, left), np.maximum(high, right)
+            new = [o[a:b] for o, a, b in zip(self.order, low, left, strict=True)]
+            new += [o[a:b] for o, a, b in zip(self.order, right, high, strict=True)]
+            collisions += np.bincount(np.concatenate(new), minlength=n)
+            left, right = low, high
             fresh = np.flatnonzero((collisions >= self.threshold) & ~verified)
             if everything:
                 fresh = np.flatnonzero(~verified)
