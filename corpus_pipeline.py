@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from visitbook.llm import decontamination, jaccard_join, language_id, packing, secret_scan
 from visitbook.llm.queries import table, tokenizer_path
-from visitbook.session import settle
+from visitbook.session import configure, settle
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     texts far above their language's calibrated cross-entropy go. Where no document is
     labelled there is nothing to reject by but the text itself: those with letters stay.
     """
+    configure(spark)
     model = language_id.train(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
@@ -28,7 +29,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id."""
-    return jaccard_join.deduplicate(spark, docs)
+    return jaccard_join.deduplicate(configure(spark), docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +39,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mark; the documents stay."""
+    configure(spark)
     return secret_scan.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All remaining texts as token pieces packed into sequences."""
-    return packing.pack_documents(spark, docs, tokenizer_path())
+    return packing.pack_documents(configure(spark), docs, tokenizer_path())
 
 
 STAGES = [
