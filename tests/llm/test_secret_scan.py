@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from cases import awkward, documents, empty
@@ -71,6 +73,22 @@ def test_novelty_prefers_random_strings(spark):
     assert novelty.bytes_added(random, a, a + 20) > novelty.bytes_added(placeholder, a, a + 24)
 
 
+def test_copies_of_a_secret_are_all_found():
+    rng = random.Random(5)
+    novelty = ss.Novelty(b"")
+    for n in (20, 32, 40):
+        for gap in (1, 20, 200, 240, 255, 256, 3000):
+            secret = "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+            header = f"Authorization: Bearer {secret}"
+            text = f"{header}\n{'so ' * (gap // 3)}\n{header}"
+            assert [text[s.start : s.end] for s in ss.find_secrets(text, novelty)] == [secret, secret]
+            # A copy behind a name, in a path, and far from any sensitive word.
+            text = f"export BEARER={secret}\ncurl -H 'authorization {secret}' x/{secret}\n{'la ' * 99}{secret}."
+            spans = ss.find_secrets(text, novelty)
+            assert len(spans) == 4 and all(secret in text[s.start : s.end] for s in spans)
+            assert secret not in ss.marked(text, [vars(s) for s in spans], "[secret]")
+
+
 def test_dictionary_holds_what_recurs(spark):
     texts = [f"bearer credential config_loader Xy{i}AbZ" for i in range(6)] + ["nothing here"] * 9
     assert ss.identifier_dictionary(documents(spark, texts)).split()[-1] in (b"bearer", b"config_loader", b"credential")

@@ -8,8 +8,10 @@ that recur in such places all over the corpus. Ordinary names and placeholders a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ REACH = 80  # characters from the end of a sensitive word to the start of a cand
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
 IDENTIFIER = re.compile(r"[A-Za-z_]{4,32}")
 SURROUNDING = 256  # characters of text on either side
+KEY = 16  # least length of the part by which a token is known again
 
 # Identifiers in the dictionary (at most 32 characters each), and in how many texts they occur.
 DICTIONARY_WORDS = 2000
@@ -95,15 +98,26 @@ def candidates(text: str, low: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def pieces(token: str) -> list[str]:
+    """The parts of a token by which its other places are told, the value behind a name last."""
+    parts = [p.strip("+/_~.-") for p in token.split("=")]
+    return [p for p in parts if len(p) >= KEY] or [token]
+
+
 class Novelty:
-    """Marginal compressed bytes of a candidate."""
+    """Marginal compressed bytes of a candidate, beside surroundings without further copies of it."""
 
     def __init__(self, dictionary: bytes):
         primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
         self.compressor = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False)
 
     def bytes_added(self, text: str, start: int, end: int) -> int:
-        before, after = text[max(0, start - SURROUNDING) : start], text[end : end + SURROUNDING]
+        copies = pieces(text[start:end])
+        more = SURROUNDING + max(map(len, copies))  # a copy may be cut by the end of the surroundings
+        before, after = text[max(0, start - more) : start], text[end : end + more]
+        for c in copies:
+            before, after = before.replace(c, " " * len(c)), after.replace(c, " " * len(c))
+        before, after = before[-SURROUNDING:], after[:SURROUNDING]
         without = len(self.compressor.compress((before + after).encode()))
         return len(self.compressor.compress((before + text[start:end] + after).encode())) - without
 
@@ -112,15 +126,49 @@ class Novelty:
 
 
 def find_secrets(text: str, novelty: Novelty) -> list[Span]:
-    """All spans of a text, by start and kind. Novel strings inside a base span are not repeated."""
+    """All spans of a text, by start and kind. A string that is novel in one place is reported in
+    all its places. Novel strings inside another span are not repeated.
+    """
     low = text.lower()
     found = base_spans(text, low)
-    for start, end in candidates(text, low):
-        if not any(s.start <= start and end <= s.end for s in found) and novelty.novel(text, start, end):
-            found.append(Span("novel", start, end))
+    keys: set[str] = set()
+    known = [(start, end, pieces(text[start:end])[-1]) for start, end in candidates(text, low)]
+    for start, end, key in known:
+        if key not in keys and novelty.novel(text, start, end):
+            keys.add(key)
+    if keys:
+        found += uncovered([(start, end) for start, end, key in known if key in keys], found)
+        found += uncovered(occurrences(text, keys), found)
     return sorted(found, key=Span.order)
 
 
+def uncovered(places: Iterable[tuple[int, int]], found: list[Span]) -> list[Span]:
+    """Novel spans of the places that lie inside none of the spans found."""
+    order = sorted(found, key=Span.order)
+    starts, reach = [s.start for s in order], list(accumulate((s.end for s in order), max))
+
+    def covered(start: int, end: int) -> bool:
+        i = bisect_right(starts, start) - 1
+        return i >= 0 and reach[i] >= end
+
+    return [Span("novel", start, end) for start, end in places if not covered(start, end)]
+
+
+def occurrences(text: str, keys: set[str]) -> Iterator[tuple[int, int]]:
+    """Places of the keys in the long tokens of a text, the longest key first."""
+    heads: dict[str, dict[int, set[str]]] = {}
+    for key in keys:
+        heads.setdefault(key[:KEY], {}).setdefault(len(key), set()).add(key)
+    for run in CANDIDATE.finditer(text):
+        at = run.start()
+        while at <= run.end() - KEY:
+            lengths = heads.get(text[at : at + KEY], {})
+            n = max((n for n, same in lengths.items() if text[at : at + n] in same), default=0)
+            if n:
+                yield at, at + n
+            at += max(1, n)
+
+
 def identifier_dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS, texts: int = DICTIONARY_TEXTS) -> bytes:
     """Identifiers around sensitive words in at least `texts` texts, the most frequent last.
 
