@@ -95,6 +95,19 @@ def test_dictionary_holds_what_recurs(spark):
     assert b"nothing" not in ss.identifier_dictionary(documents(spark, texts))
 
 
+def test_dictionary_leaves_out_copies_and_secrets(spark):
+    rng = random.Random(6)
+    secrets = ["".join(rng.choices(letters, k=32)) for letters in (string.ascii_letters, string.ascii_letters + string.digits) for _ in range(9)]
+    copied = [f"credential only_in_copies bearer {s}" for s in secrets for _ in range(7)]
+    shared = [f"the Authorization of number{i} is {s} in several_texts" for s in secrets for i in range(7)]
+    found = ss.scan_secrets(documents(spark, copied + shared)).collect()
+    for r in found:
+        assert [r.text[s.start : s.end] in secrets for s in r.secrets] == [True]
+    dictionary = ss.identifier_dictionary(documents(spark, copied[:7] + shared)).decode().split()
+    assert "several_texts" in dictionary and "only_in_copies" not in dictionary
+    assert not any(w in s for w in dictionary for s in secrets)
+
+
 def test_redaction(spark):
     texts = ["x password=abcdefg1 y", "clean", None, "", "token=" + "0a" * 15]
     rows = {r.doc_id: r for r in ss.redact(documents(spark, texts)).collect()}

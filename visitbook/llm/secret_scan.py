@@ -7,6 +7,7 @@ that recur in such places all over the corpus. Ordinary names and placeholders a
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
@@ -83,6 +84,10 @@ def sensitive_places(text: str, low: str) -> list[int]:
     return [m.end() for m in SENSITIVE.finditer(low)]
 
 
+def mixed(token: str) -> bool:
+    return any(c.isdigit() for c in token) or token.lower() != token and token.upper() != token
+
+
 def candidates(text: str, low: str) -> list[tuple[int, int]]:
     """Long tokens that start within reach of a sensitive word; they must hold a digit or
     letters of both cases.
@@ -91,8 +96,7 @@ def candidates(text: str, low: str) -> list[tuple[int, int]]:
     for place in sensitive_places(text, low):
         m = CANDIDATE.search(text, place)
         while m and m.start() - place <= REACH:
-            token = m.group()
-            if any(c.isdigit() for c in token) or token.lower() != token and token.upper() != token:
+            if mixed(m.group()):
                 found.add(m.span())
             m = CANDIDATE.search(text, m.end())
     return sorted(found)
@@ -169,25 +173,46 @@ def occurrences(text: str, keys: set[str]) -> Iterator[tuple[int, int]]:
             at += max(1, n)
 
 
+def sensitive_stretches(text: str) -> list[tuple[int, int]]:
+    """The surroundings of all sensitive words, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for place in sensitive_places(text, text.lower()):
+        a, b = max(0, place - SURROUNDING), min(len(text), place + SURROUNDING)
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], b
+        else:
+            out.append((a, b))
+    return out
+
+
 def identifier_dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS, texts: int = DICTIONARY_TEXTS) -> bytes:
     """Identifiers around sensitive words in at least `texts` texts, the most frequent last.
 
-    Every text is counted; the dictionary has at most `words` entries of 32 characters, the
-    last of which a compressor reaches at the lowest cost.
+    Every text is counted, texts whose sensitive surroundings are the same as one. Nothing is
+    counted that lies inside a token which could be a candidate: the dictionary must not hold
+    the secrets. It has at most `words` entries of 32 characters, the last of which a compressor
+    reaches at the lowest cost.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[str] = []
+            hashes: list[bytes] = []
+            found: list[list[str]] = []
             for text in batch.column("text"):
                 text = text.as_py() or ""
-                seen: set[str] = set()
-                for place in sensitive_places(text, text.lower()):
-                    seen.update(IDENTIFIER.findall(text, max(0, place - SURROUNDING), place + SURROUNDING))
-                out += seen
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["word"])
-
-    counts = docs.select("text").mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("n"))
+                stretches = sensitive_stretches(text)
+                if not stretches:
+                    continue
+                hashes.append(hashlib.blake2b("\0".join(text[a:b] for a, b in stretches).encode(), digest_size=16).digest())
+                plain = CANDIDATE.sub(lambda m: " " * len(m[0]) if mixed(m[0]) else m[0], text)
+                found.append(sorted({w for a, b in stretches for w in IDENTIFIER.findall(plain, a, b)}))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes, pa.binary()), pa.array(found, pa.list_(pa.string()))], names=["surroundings", "words"]
+            )
+
+    around = docs.select("text").mapInArrow(run, "surroundings binary, words array<string>")
+    distinct = around.dropDuplicates(["surroundings"])
+    counts = distinct.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     top = counts.where(F.col("n") >= texts).orderBy(F.desc("n"), "word").limit(words).collect()
     return "\n".join(r["word"] for r in reversed(top)).encode()
 
