@@ -36,10 +36,16 @@ KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE_WORDS = (
     "password passwd passphrase passwort contraseña secret token api_key apikey api-key access_key access-key "
     "accesskey private_key private-key privatekey credential bearer authorization signature connectionstring"
-).split()
+).split() + ["api key", "access key", "private key", "connection string"]
 SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE_WORDS)))
 REACH = 80  # characters from the end of a sensitive word to the start of a candidate
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
+# The next line of a key that is written over several: a whole line is one token. Line breaks may
+# be escaped, as in JSON, and lines quoted, indented or commented.
+NEXT_LINE = re.compile(
+    r"""(?:[\x20\t"',;]{0,8}(?:\r\n?|\n|(?:\\r)?\\n)){1,2}[\x20\t"'>\#|*]{0,80}([A-Za-z0-9+/_=~.-]++)(?=[\x20\t"',;]{0,8}(?:[\r\n\\]|\Z))"""
+)
+KEY_END = re.compile(r"[\s\\rn\"'>\#|*]{0,80}-----END")
 IDENTIFIER = re.compile(r"[A-Za-z_]{4,32}")
 SURROUNDING = 256  # characters of text on either side
 KEY = 16  # least length of the part by which a token is known again
@@ -88,18 +94,41 @@ def mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) or token.lower() != token and token.upper() != token
 
 
-def candidates(text: str, low: str) -> list[tuple[int, int]]:
-    """Long tokens that start within reach of a sensitive word; they must hold a digit or
-    letters of both cases.
+def candidates(text: str, low: str) -> list[list[tuple[int, int]]]:
+    """Long tokens that start within reach of a sensitive word, each with the lines that directly
+    follow it; they must hold a digit or letters of both cases. No token is in two lists.
     """
-    found = set()
+    first = set()
     for place in sensitive_places(text, low):
         m = CANDIDATE.search(text, place)
         while m and m.start() - place <= REACH:
             if mixed(m.group()):
-                found.add(m.span())
+                first.add(m.span())
             m = CANDIDATE.search(text, m.end())
-    return sorted(found)
+    found, following = [], set()
+    for span in sorted(first):
+        if span not in following:
+            found.append([span, *next_lines(text, span, following)])
+    return found
+
+
+def next_lines(text: str, span: tuple[int, int], following: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The lines that carry a token on, up to one that is in `following`, to which they are added.
+    A shorter last line belongs to a key if the two before are as long as one another, or if the
+    key's end is marked.
+    """
+    before = 0
+    while (m := NEXT_LINE.match(text, span[1])) and m.span(1) not in following:
+        length = len(m[1])
+        if length < KEY:
+            if span[1] - span[0] == before >= length or KEY_END.match(text, m.end(1)):
+                yield m.span(1)
+            return
+        if not mixed(m[1]):
+            return
+        before, span = span[1] - span[0], m.span(1)
+        following.add(span)
+        yield span
 
 
 def pieces(token: str) -> list[str]:
@@ -115,8 +144,8 @@ class Novelty:
         primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
         self.compressor = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False)
 
-    def bytes_added(self, text: str, start: int, end: int) -> int:
-        copies = pieces(text[start:end])
+    def bytes_added(self, text: str, start: int, end: int, lines: list[tuple[int, int]] | None = None) -> int:
+        copies = {p for a, b in lines or [(start, end)] for p in pieces(text[a:b])}
         more = SURROUNDING + max(map(len, copies))  # a copy may be cut by the end of the surroundings
         before, after = text[max(0, start - more) : start], text[end : end + more]
         for c in copies:
@@ -125,21 +154,33 @@ class Novelty:
         without = len(self.compressor.compress((before + after).encode()))
         return len(self.compressor.compress((before + text[start:end] + after).encode())) - without
 
+    def novel_lines(self, text: str, lines: list[tuple[int, int]]) -> bool:
+        """Whether the lines are novel as a whole."""
+        added = self.bytes_added(text, lines[0][0], lines[-1][1], lines)
+        return added >= max(NOVEL_BYTES, NOVEL_SHARE * sum(end - start for start, end in lines))
+
     def novel(self, text: str, start: int, end: int) -> bool:
         return self.bytes_added(text, start, end) >= max(NOVEL_BYTES, NOVEL_SHARE * (end - start))
 
 
 def find_secrets(text: str, novelty: Novelty) -> list[Span]:
-    """All spans of a text, by start and kind. A string that is novel in one place is reported in
+    """All spans of a text, by start and kind. Lines of one key are judged each and as a whole. A string that is novel in one place is reported in
     all its places. Novel strings inside another span are not repeated.
     """
     low = text.lower()
     found = base_spans(text, low)
     keys: set[str] = set()
-    known = [(start, end, pieces(text[start:end])[-1]) for start, end in candidates(text, low)]
-    for start, end, key in known:
-        if key not in keys and novelty.novel(text, start, end):
-            keys.add(key)
+    known = []
+    for lines in candidates(text, low):
+        whole = len(lines) > 1 and novelty.novel_lines(text, lines)
+        for start, end in lines:
+            key = pieces(text[start:end])[-1]
+            if whole or key not in keys and end - start >= KEY and novelty.novel(text, start, end):
+                if len(key) >= KEY:
+                    keys.add(key)
+                else:
+                    found += uncovered([(start, end)], found)
+            known.append((start, end, key))
     if keys:
         found += uncovered([(start, end) for start, end, key in known if key in keys], found)
         found += uncovered(occurrences(text, keys), found)
