@@ -86,6 +86,36 @@ def test_small_filter_leaves_out_the_rarest(spark):
     assert 1 < cut_1 <= 50
 
 
+def test_filter_grows_with_the_grams(spark):
+    # More grams than text bytes allow for, and small chunks and buckets: none is left out.
+    rng = np.random.default_rng(4)
+    texts = [" ".join(chr(97 + c) for c in rng.integers(0, 26, 2000)) for _ in range(40)] + [
+        " ".join(format(c, "x") for c in rng.integers(0, 1 << 16, 2000)) for _ in range(40)
+    ]
+    docs = documents(spark, texts).repartition(3)
+    model, segments, _ = lm.train(spark, docs.select("text"))
+    assert (model.cutoffs == 1).all()
+    numbered = docs.select(F.col("doc_id").alias("row"), "doc_id", F.lit(1).cast("bigint").alias("copies"), "text")
+    chunks = lm.settle(lm.chunked(numbered), spark, "chunks")
+    read = lm.with_levels(chunks, lm.answers(lm.requests(chunks, model.buckets), segments)).toArrow()
+    one, two = Counter(t for x in texts for t in tokens(x)), Counter()
+    for x in texts:
+        two.update(zip([None, *tokens(x)], tokens(x), strict=False))
+    rows = 0
+    for chunk in lm.read_chunks(read.to_batches()):
+        bounds = chunk.bounds()
+        for r, doc in enumerate(chunk.rows.field("doc_id").to_pylist()):
+            a, b = bounds[r], bounds[r + 1]
+            mine = tokens(texts[doc])
+            for found, counts in (
+                (chunk.one[chunk.index[a:b]], [one[t] for t in mine]), (chunk.pair[a:b], [two[p] for p in zip([None, *mine], mine, strict=False)]),
+            ):
+                true = lm.levels_of(np.array(counts), 1)
+                assert (found >= true).all() and (found == true).mean() > 0.9
+            rows += 1
+    assert rows == len(texts)
+
+
 def test_keys_pack_and_unpack():
     rng = np.random.default_rng(3)
     for high in (1 << 20, 1 << 62):

@@ -2,15 +2,15 @@
 
 All unigrams and bigrams of the training texts are counted. A gram of quantised count q, the
 logarithm of its count, is entered in a Bloom filter as (gram, 1) .. (gram, q); a reader probes
-(gram, 1), (gram, 2), ... until one is missing and so learns q. The filter travels to the
-workers, where bigram and unigram estimates are interpolated.
+(gram, 1), (gram, 2), ... until one is missing and so learns q. Bigram and unigram estimates
+are interpolated.
 
 Counts are gathered in buckets of the gram's hash. Each bucket owns one segment of the filter
-and fills it where the counts are, so the counts never meet in one place. The filter has a
-fixed largest size; where a bucket has more grams than its segment holds at the intended error
-rate, its rarest grams stay out (a count cutoff), and scoring backs off for them. Unigram
-counts for the base score are exact and complete: the frequent ones travel, the others are
-joined.
+and fills it where the counts are, so the counts never meet in one place. A segment is as large
+as its grams need at the intended error rate, so the filter grows with the corpus and holds
+every gram. It never meets in one place either: texts are written as chunks of tokens, the
+distinct grams of a chunk travel to the segments, and their levels travel back. Unigram counts
+for the base score are exact and complete: the frequent ones travel, the others are joined.
 """
 
 from __future__ import annotations
@@ -28,12 +28,13 @@ from visitbook.llm import text_arrays as ta
 from visitbook.llm.hash_buckets import HELD_KEYS, Tally, add_up, bucket_of, bucket_starts, enter, packed, places, present, unpacked
 from visitbook.session import settle
 
-# Largest filter, in bits (32 MB), and bits of text gathered into one bucket.
-MAX_FILTER_BITS = 1 << 28
+# Bytes of text gathered into one bucket.
 BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 16
 # Bits of the filter for each entry: about 2 % false hits.
 ENTRY_BITS = 8
+# Tokens of a chunk, or one text.
+CHUNK_TOKENS = 1 << 20
 # Tokens whose exact counts travel with the task.
 FREQUENT_TOKENS = 1 << 18
 # Training texts, chosen by hash, on which the interpolation weights are fitted.
@@ -125,6 +126,12 @@ def smallest_cutoff(counts: np.ndarray, room: int) -> int:
     return cutoff
 
 
+def needed_bits(unigrams: np.ndarray, bigram_counts: np.ndarray) -> int:
+    """The least segment in which all grams of these counts fit."""
+    one, two = int(levels_of(unigrams, 1).sum()), int(levels_of(bigram_counts, 1).sum())
+    return max(64, -(-ENTRY_BITS * max(2 * one, one + two) // 64) * 64)
+
+
 def segment(unigrams: tuple, bigram_counts: tuple, bits: int) -> tuple[bytes, int, int]:
     """One bucket's part of the filter, and the cutoffs of unigrams and bigrams."""
     room = bits // ENTRY_BITS
@@ -148,12 +155,13 @@ BUCKET_ROWS = pa.schema([
 BUCKET_SCHEMA = "kind int, bucket int, key bigint, n bigint, bits binary, cut_1 bigint, cut_2 bigint"
 
 
-def merge_buckets(bits: int, frequent: int):
+def merge_buckets(most_bits: int | None, frequent: int):
     """Task function over rows sorted by bucket: its totals, filter segment and token counts."""
 
     def close(bucket: int, tallies: dict[int, Tally]) -> Iterator[pa.RecordBatch]:
         (keys, counts), two = tallies[UNIGRAM].total(), tallies[BIGRAM].total()
-        field, cut_1, cut_2 = segment((keys >> GRAM_SHIFT, counts), two, bits)
+        bits = needed_bits(counts, two[1])
+        field, cut_1, cut_2 = segment((keys >> GRAM_SHIFT, counts), two, bits if most_bits is None else min(bits, most_bits))
         yield pa.RecordBatch.from_arrays(
             [pa.array([v], f.type) for v, f in zip((STATS, bucket, len(keys), int(counts.sum()), field, cut_1, cut_2), BUCKET_ROWS, strict=True)],
             schema=BUCKET_ROWS,
@@ -182,7 +190,7 @@ def merge_buckets(bits: int, frequent: int):
 
 @dataclass
 class Model:
-    """The filter and what else a worker needs; at most MAX_FILTER_BITS and FREQUENT_TOKENS."""
+    """What a worker needs: one segment of the filter, or none; at most FREQUENT_TOKENS."""
 
     buckets: int
     bits: int  # of each segment
@@ -211,91 +219,243 @@ class Model:
 
     def estimates(self, keys: np.ndarray, kind: int, levels: np.ndarray) -> np.ndarray:
         """Expected counts of the levels: the middle of what a level stands for, 0 for level 0."""
-        cutoff = self.cutoffs[bucket_of(keys, self.buckets), kind - 1] if len(self.field) else np.ones(len(keys))
+        cutoff = self.cutoffs[bucket_of(keys, self.buckets), kind - 1] if len(self.cutoffs) else np.ones(len(keys))
         low = cutoff * 2.0 ** (levels - 1)
         return np.where(levels > 0, (low + np.maximum(2 * low - 1, low)) / 2, 0.0)
 
-    def parts(self, tokens: np.ndarray, leave_out: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def parts(self, read: Chunk, leave_out: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token the unigram and bigram estimates and the level of its context.
 
-        With `leave_out` 1 each occurrence is taken out of the counts it has contributed to.
+        With `leave_out` so many occurrences are taken out of the counts they have contributed to.
         """
-        keys, inverse = np.unique(tokens, return_inverse=True)
-        one = self.levels(keys, UNIGRAM, np.full(len(keys), LEVELS - 1))
-        count = self.estimates(keys, UNIGRAM, one)[inverse]
-        level = one[inverse]
-        end = int(np.searchsorted(keys, END))
-        first = (one[end], self.estimates(keys[end : end + 1], UNIGRAM, one[end : end + 1])[0]) if len(keys) else (0, 0.0)
+        count = self.estimates(read.keys, UNIGRAM, read.one)[read.index]
+        level = read.one[read.index]
+        end = int(np.searchsorted(read.keys, END))
+        first = read.one[end], self.estimates(read.keys[end : end + 1], UNIGRAM, read.one[end : end + 1])[0]
         before_level, before = np.concatenate([[first[0]], level[:-1]]), np.concatenate([[first[1]], count[:-1]])
-        pairs = bigrams(tokens)
         # A pair is not more frequent than its tokens; one level is left for the middles of levels.
-        pair_level = self.levels(pairs, BIGRAM, np.minimum(np.minimum(before_level, level) + 1, LEVELS - 1) * (before_level > 0))
-        pair = np.minimum(self.estimates(pairs, BIGRAM, pair_level), before)
+        most = np.minimum(np.minimum(before_level, level) + 1, LEVELS - 1) * (before_level > 0)
+        pair = np.minimum(self.estimates(bigrams(read.keys[read.index]), BIGRAM, np.minimum(read.pair, most)), before)
         p1 = (np.maximum(count - leave_out, 0) + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
         p2 = np.maximum(pair - leave_out, 0) / np.maximum(before - leave_out, 1)
         return np.minimum(p1, 1.0), np.minimum(p2, 1.0), before_level
 
-    def log10(self, tokens: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    def log10(self, read: Chunk, weights: np.ndarray) -> np.ndarray:
         """Per token the log10 of the interpolated probability; the bigram's weight depends on
         the level of its context.
         """
-        p1, p2, level = self.parts(tokens)
+        p1, p2, level = self.parts(read)
         weight = weights[np.minimum(level, LEVELS - 1)]
         return np.log10(weight * p2 + (1 - weight) * p1)
 
 
+@dataclass
+class Chunk:
+    """Tokens of some texts, and what the filter holds of them."""
+
+    rows: pa.StructArray  # row, doc_id, copies, n_tokens of each text
+    keys: np.ndarray  # distinct tokens, ascending
+    index: np.ndarray  # of each token, in the keys
+    one: np.ndarray  # level of each key
+    pair: np.ndarray  # level of each token with its predecessor
+
+    def bounds(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(np.asarray(self.rows.field("n_tokens")))])
+
+
+ROW = pa.struct([("row", pa.int64()), ("doc_id", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64())])
+TEXT_ROWS = "rows array<struct<row: bigint, doc_id: bigint, copies: bigint, n_tokens: bigint>>"
+
+
+def chunked(texts: DataFrame) -> DataFrame:
+    """chunk, rows, keys, tokens: the texts (row, doc_id, copies, text) in chunks of tokens."""
+
+    def chunk(held: list[tuple]) -> pa.RecordBatch:
+        keys, index = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        rows = pa.concat_arrays([h[1] for h in held])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([rows[0]["row"].as_py()], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
+                pa.array([keys.tobytes()], pa.binary()), pa.array([index.astype(np.uint32).tobytes()], pa.binary()),
+            ],
+            names=["chunk", "rows", "keys", "tokens"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, held, size = ta.PowerTables(ta.BYTE_BASE), [], 0
+        for whole in batches:
+            for batch in ta.slices(whole, "text"):
+                tokens, bounds = token_hashes(batch.column("text"), tables)
+                columns = [*(batch.column(f.name) for f in list(ROW)[:-1]), pa.array(np.diff(bounds), pa.int64())]
+                held.append((tokens, pa.StructArray.from_arrays(columns, fields=list(ROW))))
+                size += len(tokens)
+                if size >= CHUNK_TOKENS:
+                    yield chunk(held)
+                    held, size = [], 0
+        if held:
+            yield chunk(held)
+
+    return texts.mapInArrow(run, f"chunk bigint, {TEXT_ROWS}, keys binary, tokens binary")
+
+
+def requests(chunks: DataFrame, buckets: int) -> DataFrame:
+    """bucket, chunk, kind, keys: the distinct grams of every chunk, packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = np.frombuffer(batch.column("keys")[i].as_py(), np.uint64)
+                pairs = np.unique(bigrams(keys[np.frombuffer(batch.column("tokens")[i].as_py(), np.uint32)]))
+                out: list[tuple] = []
+                for kind, grams in ((UNIGRAM, keys), (BIGRAM, pairs)):
+                    cuts = [*np.searchsorted(grams, bucket_starts(buckets)).tolist(), len(grams)]
+                    for b, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        if start < end:
+                            part = grams[start:end] >> GRAM_SHIFT
+                            out.append((b, kind, packed(part, np.zeros(len(part), np.int64))[0]))
+                bucket, kinds, held = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(bucket, pa.int32()), pa.array([batch.column("chunk")[i].as_py()] * len(out), pa.int64()),
+                        pa.array(kinds, pa.int32()), pa.array(held, pa.binary()),
+                    ],
+                    names=["bucket", "chunk", "kind", "keys"],
+                )
+
+    return chunks.select("chunk", "keys", "tokens").mapInArrow(run, "bucket int, chunk bigint, kind int, keys binary")
+
+
+def answers(asked: DataFrame, segments: DataFrame) -> DataFrame:
+    """chunk, bucket, kind, levels: what the segments hold of the grams asked for, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, model = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                held = batch.column("keys")[i].as_py()
+                if batch.column("chunk")[i].as_py() is None:  # a segment comes before what is asked of it
+                    field = np.frombuffer(held, np.uint8)[None, :]
+                    now, model = bucket, Model(1, field.shape[1] * 8, field, np.ones((1, 2)), 0, 0, np.zeros(0), np.zeros(0))
+                    continue
+                n, kind = int.from_bytes(held[:8], "little"), batch.column("kind")[i].as_py()
+                levels = np.zeros(n, np.uint8)
+                if bucket == now:
+                    keys = unpacked(held, bytes(n))[0] << GRAM_SHIFT
+                    levels = model.levels(keys, kind, np.full(n, LEVELS - 1)).astype(np.uint8)
+                out.append((batch.column("chunk")[i].as_py(), bucket, kind, levels.tobytes()))
+            if out:
+                kinds = pa.int64(), pa.int32(), pa.int32(), pa.binary()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
+                    names=["chunk", "bucket", "kind", "levels"],
+                )
+
+    none = F.lit(None)
+    own = segments.select("bucket", none.cast("bigint").alias("chunk"), none.cast("int").alias("kind"), F.col("bits").alias("keys"))
+    met = own.union(asked).repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    return met.mapInArrow(run, "chunk bigint, bucket int, kind int, levels binary")
+
+
+READ = f"{TEXT_ROWS}, keys binary, tokens binary, one binary, pair binary"
+
+
+def with_levels(chunks: DataFrame, answered: DataFrame) -> DataFrame:
+    """rows, keys, tokens, one, pair: the chunks, and the levels of their grams."""
+
+    def close(held: dict, levels: dict[int, list[bytes]]) -> pa.RecordBatch:
+        keys, index = np.frombuffer(held["keys"][0].as_py(), np.uint64), np.frombuffer(held["tokens"][0].as_py(), np.uint32)
+        _, inverse = np.unique(bigrams(keys[index]), return_inverse=True)
+        pair = np.frombuffer(b"".join(levels[BIGRAM]), np.uint8)[inverse]
+        return pa.RecordBatch.from_arrays(
+            [*held.values(), pa.array([b"".join(levels[UNIGRAM])], pa.binary()), pa.array([pair.tobytes()], pa.binary())],
+            names=["rows", "keys", "tokens", "one", "pair"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        levels: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for i, kind in enumerate(batch.column("kind").to_pylist()):
+                if kind is None:  # a chunk comes before its levels, and these by bucket
+                    if held:
+                        yield close(held, levels)
+                    held, levels = {c: batch.column(c).slice(i, 1) for c in ("rows", "keys", "tokens")}, {UNIGRAM: [], BIGRAM: []}
+                    held = {c: pa.concat_arrays([a]) for c, a in held.items()}
+                else:
+                    levels[kind].append(batch.column("levels")[i].as_py())
+        if held:
+            yield close(held, levels)
+
+    asked = chunks.withColumns({
+        "bucket": F.lit(-1), "kind": F.lit(None).cast("int"), "levels": F.lit(None).cast("binary"),
+    })
+    met = asked.unionByName(answered, allowMissingColumns=True).repartition("chunk")
+    return met.sortWithinPartitions("chunk", "bucket", "kind").mapInArrow(run, READ)
+
+
+def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            of = lambda c, kind: np.frombuffer(batch.column(c)[i].as_py(), kind)  # noqa: B023, E731
+            yield Chunk(
+                batch.column("rows")[i].values, of("keys", np.uint64), of("tokens", np.uint32).astype(np.int64),
+                of("one", np.uint8).astype(np.int64), of("pair", np.uint8).astype(np.int64),
+            )
+
+
 def train(
-    spark: SparkSession, texts: DataFrame, max_filter_bits: int = MAX_FILTER_BITS, frequent_tokens: int = FREQUENT_TOKENS
-) -> tuple[Model, DataFrame]:
-    """The model of the texts, and key, n of every token that is not among the frequent ones.
+    spark: SparkSession, texts: DataFrame, max_filter_bits: int | None = None, frequent_tokens: int = FREQUENT_TOKENS
+) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of the texts without its filter; the filter's segments (bucket, bits); and key, n
+    of every token that is not among the frequent ones.
 
-    Every text is counted. Null texts are empty; an empty text teaches its END.
+    Every text is counted. Null texts are empty; an empty text teaches its END. Unless the caller
+    bounds the filter, every gram is in it.
     """
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-volume // BUCKET_BYTES))
-    filter_bits = min(max_filter_bits, max(1 << 16, 4 * volume))
-    bits = max(64, filter_bits // buckets // 64 * 64)
+    most_bits = None if max_filter_bits is None else max(64, max_filter_bits // buckets // 64 * 64)
     counted = gram_counts(texts, buckets).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    per_bucket = counted.mapInArrow(merge_buckets(bits, max(1, frequent_tokens // buckets)), BUCKET_SCHEMA)
+    per_bucket = counted.mapInArrow(merge_buckets(most_bits, max(1, frequent_tokens // buckets)), BUCKET_SCHEMA)
     stored = settle(per_bucket, spark, "grams")
-    rows = stored.where(F.col("kind") == STATS).collect()  # the filter: at most max_filter_bits
-    field = np.zeros((buckets if rows else 0, bits // 8), np.uint8)
     cutoffs = np.ones((buckets, 2), np.int64)
     tokens = distinct = 0
-    for r in rows:
-        field[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    for r in stored.where(F.col("kind") == STATS).drop("bits").collect():  # a row a bucket
         cutoffs[r["bucket"]] = r["cut_1"], r["cut_2"]
         tokens, distinct = tokens + r["n"], distinct + r["key"]
-    del rows
     frequent = stored.where(F.col("kind") == FREQUENT).select("key", "n").toPandas()  # at most frequent_tokens
     keys = frequent["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     model = Model(
-        buckets, bits, field, cutoffs, tokens, distinct,
+        buckets, 0, np.zeros((0, 0), np.uint8), cutoffs, tokens, distinct,
         keys[order], frequent["n"].to_numpy(np.int64)[order],
     )
-    return model, stored.where(F.col("kind") == RARE).select("key", "n")
+    segments = stored.where(F.col("kind") == STATS).select("bucket", "bits")
+    return model, segments, stored.where(F.col("kind") == RARE).select("key", "n")
 
 
-def fit_weights(shared: Broadcast[Model], texts: DataFrame) -> np.ndarray:
-    """For each level of the context the weight that makes the given texts, which were counted,
-    most likely when each occurrence is left out of its own counts. The texts are a bounded
-    sample; only sums per level and weight reach the driver.
+def fit_weights(shared: Broadcast[Model], read: DataFrame) -> np.ndarray:
+    """For each level of the context the weight that makes the texts with copies, which were
+    counted, most likely when each occurrence is left out of its own counts. A text of n copies
+    counts as one nth, without the counts of all n. Only sums per level and weight reach the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, tables, sums = shared.value, ta.PowerTables(ta.BYTE_BASE), np.zeros((LEVELS, len(WEIGHTS)))
-        for whole in batches:
-            for batch in ta.slices(whole, "text"):
-                p1, p2, level = model.parts(token_hashes(batch.column("text"), tables)[0], leave_out=1)
+        model, sums = shared.value, np.zeros((LEVELS, len(WEIGHTS)))
+        for chunk in read_chunks(batches):
+            copies = np.repeat(np.asarray(chunk.rows.field("copies")), np.asarray(chunk.rows.field("n_tokens")))
+            fitted = np.flatnonzero(copies)
+            if len(fitted):
+                p1, p2, level = (x[fitted] for x in model.parts(chunk, leave_out=copies))
                 for k, w in enumerate(WEIGHTS):
-                    sums[:, k] += np.bincount(level, np.log(w * p2 + (1 - w) * p1), LEVELS)[:LEVELS]
+                    sums[:, k] += np.bincount(level, np.log(w * p2 + (1 - w) * p1) / copies[fitted], LEVELS)[:LEVELS]
         at = np.indices(sums.shape).reshape(2, -1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(at[0]), pa.array(at[1]), pa.array(sums.ravel())], names=["level", "weight", "gain"]
         )
 
-    rows = texts.select("text").mapInArrow(run, "level bigint, weight bigint, gain double")
+    rows = read.mapInArrow(run, "level bigint, weight bigint, gain double")
     total = np.zeros((LEVELS, len(WEIGHTS)))
     for r in rows.groupBy("level", "weight").agg(F.sum("gain").alias("gain")).collect():
         total[r["level"], r["weight"]] = r["gain"]
@@ -308,43 +468,42 @@ SCANNED = (
 )
 
 
-def scan(texts: DataFrame, shared: Broadcast[Model], weights: np.ndarray) -> DataFrame:
+def scan(read: DataFrame, shared: Broadcast[Model], weights: np.ndarray) -> DataFrame:
     """Per row the model's score, the base score's sum over frequent tokens, and its other tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, tables = shared.value, ta.PowerTables(ta.BYTE_BASE)
-        for whole in batches:
-            for batch in ta.slices(whole, "text"):
-                tokens, bounds = token_hashes(batch.column("text"), tables)
-                score = np.add.reduceat(model.log10(tokens, weights), bounds[:-1])
-                at = np.minimum(np.searchsorted(model.keys, tokens), max(0, len(model.keys) - 1))
-                frequent = model.keys[at] == tokens if len(model.keys) else np.zeros(len(tokens), bool)
-                count = np.where(frequent, model.counts[at] if len(model.keys) else 0, 0)
-                base = np.add.reduceat(np.where(frequent, np.log10(count + 0.5), 0.0), bounds[:-1])
-                row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))[~frequent]
-                keys = tokens[~frequent]
-                order = np.lexsort((keys, row))
-                row, keys = row[order], keys[order]
-                fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])]) if len(row) else np.zeros(0, bool)
-                first = np.flatnonzero(fresh)
-                pairs = pa.StructArray.from_arrays(
-                    [pa.array(keys[first].view(np.int64)), pa.array(np.diff(np.append(first, len(row))).astype(np.int64))], names=["key", "n"]
-                )
-                offsets = np.searchsorted(row[first], np.arange(batch.num_rows + 1)).astype(np.int32)
-                known = np.add.reduceat(frequent.astype(np.int64), bounds[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("row"), batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(known),
-                        pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), pairs),
-                    ],
-                    names=["row", "doc_id", "n_tokens", "known", "base", "score", "rare"],
-                )
-
-    return texts.mapInArrow(run, SCANNED)
+        model = shared.value
+        for chunk in read_chunks(batches):
+            tokens, bounds, n_rows = chunk.keys[chunk.index], chunk.bounds(), len(chunk.rows)
+            score = np.add.reduceat(model.log10(chunk, weights), bounds[:-1])
+            at = np.minimum(np.searchsorted(model.keys, tokens), max(0, len(model.keys) - 1))
+            frequent = model.keys[at] == tokens if len(model.keys) else np.zeros(len(tokens), bool)
+            count = np.where(frequent, model.counts[at] if len(model.keys) else 0, 0)
+            base = np.add.reduceat(np.where(frequent, np.log10(count + 0.5), 0.0), bounds[:-1])
+            row = np.repeat(np.arange(n_rows), np.diff(bounds))[~frequent]
+            keys = tokens[~frequent]
+            order = np.lexsort((keys, row))
+            row, keys = row[order], keys[order]
+            fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])]) if len(row) else np.zeros(0, bool)
+            first = np.flatnonzero(fresh)
+            pairs = pa.StructArray.from_arrays(
+                [pa.array(keys[first].view(np.int64)), pa.array(np.diff(np.append(first, len(row))).astype(np.int64))], names=["key", "n"]
+            )
+            offsets = np.searchsorted(row[first], np.arange(n_rows + 1)).astype(np.int32)
+            known = np.add.reduceat(frequent.astype(np.int64), bounds[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    chunk.rows.field("row"), chunk.rows.field("doc_id"), pa.array(np.diff(bounds)), pa.array(known),
+                    pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), pairs),
+                ],
+                names=["row", "doc_id", "n_tokens", "known", "base", "score", "rare"],
+            )
+
+    return read.mapInArrow(run, SCANNED)
 
 
 def score_documents(
-    spark: SparkSession, docs: DataFrame, held_out: Column, max_filter_bits: int = MAX_FILTER_BITS,
+    spark: SparkSession, docs: DataFrame, held_out: Column, max_filter_bits: int | None = None,
     frequent_tokens: int = FREQUENT_TOKENS,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of docs.
@@ -358,14 +517,20 @@ def score_documents(
         F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out")
     )
     learned = narrow.where("NOT held_out")
-    model, rare_counts = train(spark, learned.select("text"), max_filter_bits, frequent_tokens)
+    model, segments, rare_counts = train(spark, learned.select("text"), max_filter_bits, frequent_tokens)
     seed = F.xxhash64("doc_id", F.lit("weights"))
     drawn = learned.where("doc_id IS NOT NULL").select("doc_id").orderBy(seed, "doc_id").limit(WEIGHT_TEXTS)
-    shared = spark.sparkContext.broadcast(model)  # once: the filter is its largest part
-    weights = fit_weights(shared, learned.join(F.broadcast(drawn.distinct()), "doc_id", "left_semi").limit(2 * WEIGHT_TEXTS))
-
-    numbered = narrow.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    scanned = settle(scan(numbered, shared, weights), spark, "scores")
+    fitted = learned.join(F.broadcast(drawn.distinct()), "doc_id", "left_semi").select("doc_id").distinct()
+    fitted = fitted.withColumn("copies", F.lit(1).cast("bigint"))
+    copies = F.when(F.col("held_out"), 0).otherwise(F.coalesce("copies", F.lit(0))).cast("bigint").alias("copies")
+    numbered = narrow.join(F.broadcast(fitted), "doc_id", "left").select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", copies, "text"
+    )
+    chunks = settle(chunked(numbered), spark, "chunks")
+    read = settle(with_levels(chunks, answers(requests(chunks, model.buckets), segments)), spark, "levels")
+    shared = spark.sparkContext.broadcast(model)
+    weights = fit_weights(shared, read)
+    scanned = settle(scan(read, shared, weights), spark, "scores")
     shared.destroy()
     others = scanned.select("row", F.inline("rare")).withColumnRenamed("n", "times")
     looked_up = others.join(rare_counts, "key", "left").groupBy("row").agg(
