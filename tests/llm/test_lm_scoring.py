@@ -116,6 +116,25 @@ def test_filter_grows_with_the_grams(spark):
     assert rows == len(texts)
 
 
+def test_weights_come_from_all_texts_and_copies_count_once(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    loose = [" ".join(format(c, "x") for c in rng.integers(0, 60, 40)) for _ in range(400)]
+    group = [" ".join(f"only{c}" for c in range(40))] * 64
+    seen = []
+
+    def fit(shared, read, own=lm.fit_weights):
+        rows = read.select(F.inline("rows")).collect()
+        seen.append(({r.doc_id: r.copies for r in rows}, own(shared, read)))
+        return seen[0][1]
+
+    monkeypatch.setattr(lm, "fit_weights", fit)
+    lm.score_documents(spark, documents(spark, [*loose, *group, "held out"]), F.col("doc_id") == 464)
+    copies, weights = seen[0]
+    assert copies == {i: 1 if i < 400 else 64 if i < 464 else 0 for i in range(465)}
+    # Contexts seen 64 times occur in the copies only: without these there is nothing to trust.
+    assert weights[int(lm.levels_of(np.array([64]), 1)[0])] == 0
+
+
 def test_keys_pack_and_unpack():
     rng = np.random.default_rng(3)
     for high in (1 << 20, 1 << 62):

@@ -37,8 +37,6 @@ ENTRY_BITS = 8
 CHUNK_TOKENS = 1 << 20
 # Tokens whose exact counts travel with the task.
 FREQUENT_TOKENS = 1 << 18
-# Training texts, chosen by hash, on which the interpolation weights are fitted.
-WEIGHT_TEXTS = 300
 WEIGHTS = np.concatenate([[0.0], np.geomspace(0.001, 0.9, 19)])
 LEVELS = 48
 
@@ -188,6 +186,12 @@ def merge_buckets(most_bits: int | None, frequent: int):
     return run
 
 
+def remaining(estimates: np.ndarray, left_out: np.ndarray | int) -> np.ndarray:
+    """Estimates without so many occurrences; nothing if these alone explain the level."""
+    least = (estimates + 0.5) / 1.5  # of the level, whose middle the estimate is
+    return np.where(left_out >= least - 1e-9, 0.0, np.maximum(estimates - left_out, 0))
+
+
 @dataclass
 class Model:
     """What a worker needs: one segment of the filter, or none; at most FREQUENT_TOKENS."""
@@ -226,7 +230,7 @@ class Model:
     def parts(self, read: Chunk, leave_out: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token the unigram and bigram estimates and the level of its context.
 
-        With `leave_out` so many occurrences are taken out of the counts they have contributed to.
+        With `leave_out`, each token's text has so many copies, which are taken out of the counts.
         """
         count = self.estimates(read.keys, UNIGRAM, read.one)[read.index]
         level = read.one[read.index]
@@ -236,8 +240,8 @@ class Model:
         # A pair is not more frequent than its tokens; one level is left for the middles of levels.
         most = np.minimum(np.minimum(before_level, level) + 1, LEVELS - 1) * (before_level > 0)
         pair = np.minimum(self.estimates(bigrams(read.keys[read.index]), BIGRAM, np.minimum(read.pair, most)), before)
-        p1 = (np.maximum(count - leave_out, 0) + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
-        p2 = np.maximum(pair - leave_out, 0) / np.maximum(before - leave_out, 1)
+        p1 = (remaining(count, leave_out) + 0.5) / (self.tokens + 0.5 * (self.distinct + 1))
+        p2 = remaining(pair, leave_out) / np.maximum(remaining(before, leave_out), 1)
         return np.minimum(p1, 1.0), np.minimum(p2, 1.0), before_level
 
     def log10(self, read: Chunk, weights: np.ndarray) -> np.ndarray:
@@ -508,7 +512,8 @@ def score_documents(
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of docs.
 
-    The rows for which `held_out` is not true are learned from. `base_score` uses exact counts
+    The rows for which `held_out` is not true are learned from, and the interpolation weights are
+    fitted on all of them, equal texts counted once. `base_score` uses exact counts
     (tokens are told apart by 64-bit hashes); `score` is the interpolated model's log10
     probability of the text. A null or empty text has the closing token only; equal rows count
     and are scored one by one. Without training rows every token is unknown.
@@ -518,12 +523,13 @@ def score_documents(
     )
     learned = narrow.where("NOT held_out")
     model, segments, rare_counts = train(spark, learned.select("text"), max_filter_bits, frequent_tokens)
-    seed = F.xxhash64("doc_id", F.lit("weights"))
-    drawn = learned.where("doc_id IS NOT NULL").select("doc_id").orderBy(seed, "doc_id").limit(WEIGHT_TEXTS)
-    fitted = learned.join(F.broadcast(drawn.distinct()), "doc_id", "left_semi").select("doc_id").distinct()
-    fitted = fitted.withColumn("copies", F.lit(1).cast("bigint"))
-    copies = F.when(F.col("held_out"), 0).otherwise(F.coalesce("copies", F.lit(0))).cast("bigint").alias("copies")
-    numbered = narrow.join(F.broadcast(fitted), "doc_id", "left").select(
+    # Equal texts by 128 bits. Only those that repeat are settled, so a small list is broadcast.
+    text = F.coalesce("text", F.lit(""))
+    same = [F.xxhash64(text).alias("same_1"), F.xxhash64(F.lit("again"), text).alias("same_2")]
+    repeated = learned.select(*same).groupBy("same_1", "same_2").agg(F.count("*").alias("copies")).where("copies > 1")
+    repeated = settle(repeated, spark, "copies")
+    copies = F.when(F.col("held_out"), 0).otherwise(F.coalesce("copies", F.lit(1))).cast("bigint").alias("copies")
+    numbered = narrow.select("*", *same).join(repeated, ["same_1", "same_2"], "left").select(
         F.monotonically_increasing_id().alias("row"), "doc_id", copies, "text"
     )
     chunks = settle(chunked(numbered), spark, "chunks")
