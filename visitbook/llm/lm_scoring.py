@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ LEAST_BUCKETS = 16
 # Bits of the filter for each entry: about 2 % false hits.
 ENTRY_BITS = 8
 # Tokens of a chunk, or one text.
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 21
 # Tokens whose exact counts travel with the task.
 FREQUENT_TOKENS = 1 << 18
 WEIGHTS = np.concatenate([[0.0], np.geomspace(0.001, 0.9, 19)])
@@ -271,16 +272,38 @@ ROW = pa.struct([("row", pa.int64()), ("doc_id", pa.int64()), ("copies", pa.int6
 TEXT_ROWS = "rows array<struct<row: bigint, doc_id: bigint, copies: bigint, n_tokens: bigint>>"
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """The values' lowest bytes, then the next ones, compressed."""
+    return zstandard.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes(), 3)
+
+
+def restored(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def chunk_tokens(keys: pa.BinaryScalar, tokens: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of a chunk in order, and the index of each token in them."""
+    held = np.frombuffer(keys.as_py(), np.uint64)
+    order = np.argsort(held)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return held[order], place[restored(tokens.as_py(), np.uint32)]
+
+
 def chunked(texts: DataFrame) -> DataFrame:
     """chunk, rows, keys, tokens: the texts (row, doc_id, copies, text) in chunks of tokens."""
 
     def chunk(held: list[tuple]) -> pa.RecordBatch:
-        keys, index = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        keys, index, counts = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")  # small numbers for frequent tokens take less room
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
         rows = pa.concat_arrays([h[1] for h in held])
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([rows[0]["row"].as_py()], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-                pa.array([keys.tobytes()], pa.binary()), pa.array([index.astype(np.uint32).tobytes()], pa.binary()),
+                pa.array([keys[order].tobytes()], pa.binary()), pa.array([squeezed(rank[index])], pa.binary()),
             ],
             names=["chunk", "rows", "keys", "tokens"],
         )
@@ -308,8 +331,8 @@ def requests(chunks: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                keys = np.frombuffer(batch.column("keys")[i].as_py(), np.uint64)
-                pairs = np.unique(bigrams(keys[np.frombuffer(batch.column("tokens")[i].as_py(), np.uint32)]))
+                keys, index = chunk_tokens(batch.column("keys")[i], batch.column("tokens")[i])
+                pairs = np.unique(bigrams(keys[index]))
                 out: list[tuple] = []
                 for kind, grams in ((UNIGRAM, keys), (BIGRAM, pairs)):
                     cuts = [*np.searchsorted(grams, bucket_starts(buckets)).tolist(), len(grams)]
@@ -368,11 +391,11 @@ def with_levels(chunks: DataFrame, answered: DataFrame) -> DataFrame:
     """rows, keys, tokens, one, pair: the chunks, and the levels of their grams."""
 
     def close(held: dict, levels: dict[int, list[bytes]]) -> pa.RecordBatch:
-        keys, index = np.frombuffer(held["keys"][0].as_py(), np.uint64), np.frombuffer(held["tokens"][0].as_py(), np.uint32)
+        keys, index = chunk_tokens(held["keys"][0], held["tokens"][0])
         _, inverse = np.unique(bigrams(keys[index]), return_inverse=True)
         pair = np.frombuffer(b"".join(levels[BIGRAM]), np.uint8)[inverse]
         return pa.RecordBatch.from_arrays(
-            [*held.values(), pa.array([b"".join(levels[UNIGRAM])], pa.binary()), pa.array([pair.tobytes()], pa.binary())],
+            [*held.values(), pa.array([b"".join(levels[UNIGRAM])], pa.binary()), pa.array([squeezed(pair)], pa.binary())],
             names=["rows", "keys", "tokens", "one", "pair"],
         )
 
@@ -401,11 +424,10 @@ def with_levels(chunks: DataFrame, answered: DataFrame) -> DataFrame:
 def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     for batch in batches:
         for i in range(batch.num_rows):
-            of = lambda c, kind: np.frombuffer(batch.column(c)[i].as_py(), kind)  # noqa: B023, E731
-            yield Chunk(
-                batch.column("rows")[i].values, of("keys", np.uint64), of("tokens", np.uint32).astype(np.int64),
-                of("one", np.uint8).astype(np.int64), of("pair", np.uint8).astype(np.int64),
-            )
+            keys, index = chunk_tokens(batch.column("keys")[i], batch.column("tokens")[i])
+            one = np.frombuffer(batch.column("one")[i].as_py(), np.uint8).astype(np.int64)
+            pair = restored(batch.column("pair")[i].as_py(), np.uint8).astype(np.int64)
+            yield Chunk(batch.column("rows")[i].values, keys, index, one, pair)
 
 
 def train(
