@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from visitbook.llm import text_arrays as ta
 from visitbook.llm.hash_buckets import HELD_KEYS, Tally, add_up, bucket_of, bucket_starts, enter, packed, places, present, unpacked
-from visitbook.session import settle
+from visitbook.session import remove_folder, settle
 
 # Bytes of text gathered into one bucket.
 BUCKET_BYTES = 16 << 20
@@ -35,7 +35,7 @@ LEAST_BUCKETS = 16
 # Bits of the filter for each entry: about 2 % false hits.
 ENTRY_BITS = 8
 # Tokens of a chunk, or one text.
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 # Tokens whose exact counts travel with the task.
 FREQUENT_TOKENS = 1 << 18
 WEIGHTS = np.concatenate([[0.0], np.geomspace(0.001, 0.9, 19)])
@@ -556,6 +556,8 @@ def score_documents(
     )
     chunks = settle(chunked(numbered), spark, "chunks")
     read = settle(with_levels(chunks, answers(requests(chunks, model.buckets), segments)), spark, "levels")
+    for folder in {f.rsplit("/", 1)[0] for f in chunks.inputFiles()}:  # all they hold is in `read`
+        remove_folder(spark, folder)
     shared = spark.sparkContext.broadcast(model)
     weights = fit_weights(shared, read)
     scanned = settle(scan(read, shared, weights), spark, "scores")
