@@ -14,6 +14,7 @@ from visitbook.llm import (
     language_id,
     license_scan,
     lm_scoring,
+    merkle_manifest,
     neighbours,
     packing,
     secret_scan,
@@ -119,3 +120,20 @@ def op8_lm_scoring(spark, sf_dir):
 @query
 def op3_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents")).drop("text")
+
+
+@query
+def op12_merkle_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = ["doc_id", "source", "lang", "n_chars"]
+    leaf = lambda text: merkle_manifest.leaf_digest(*map(F.col, fields), text)
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, leaf(lowered))
+    manifest = merkle_manifest.build_manifest(
+        spark, docs, F.col("source"), F.col("doc_id"), leaf(F.col("text")), {"doc_id": F.col("doc_id"), "tampered": tampered}
+    )
+    folded = merkle_manifest.folded_root(F.coalesce("tampered", "digest"), F.col("path"))
+    return merkle_manifest.proofs(manifest).select(
+        "doc_id", F.col("digest").alias("leaf"), F.col("tree_root").alias("subroot"), "root",
+        merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
