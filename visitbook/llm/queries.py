@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitbook.llm import (
+    conversation_repair,
     decontamination,
     jaccard_join,
     language_id,
@@ -21,6 +22,7 @@ from visitbook.llm import (
     suffix_dedup,
     url_filter,
 )
+from visitbook.llm.ordered_rows import group_key
 from visitbook.llm.sql import ORACLE  # noqa: F401 - registered with the queries
 from visitbook.session import configure
 
@@ -137,3 +139,31 @@ def op12_merkle_manifest(spark, sf_dir):
         "doc_id", F.col("digest").alias("leaf"), F.col("tree_root").alias("subroot"), "root",
         merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows, some of them dropped, emptied, cut, repeated or relabelled by a hash of their place."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
+    text, k = shown("text"), F.col("kind")
+    changed = conversations.select("conv_id", "turn", shown("role").alias("role"), text.alias("text"), kind.alias("kind")).where(k != 0)
+    return changed.select(
+        "conv_id", "turn", F.when(k == 4, F.lit("user")).otherwise(F.col("role")).alias("role"),
+        F.when(k == 1, "").when(k == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(k == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+@query
+def op13_conversation_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns, judged = conversation_repair.repair_conversations(spark, damaged(rows))
+    found = judged.join(conversation_repair.repaired_digests(turns, judged), "conv", "left")
+    every = rows.select(group_key(F.col("conv_id")).alias("conv")).distinct().join(found, "conv", "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.select(
+        conversation_repair.conversation_of(F.col("conv"), rows).alias("conv_id"),
+        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", hex_sha256(F.lit(""))).alias("repaired_sha256"),
+    )
