@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from visitbook.llm import (
     conversation_repair,
     decontamination,
+    html_extraction,
     jaccard_join,
     language_id,
     license_scan,
@@ -167,3 +168,10 @@ def op13_conversation_repair(spark, sf_dir):
         F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("sha256", hex_sha256(F.lit(""))).alias("repaired_sha256"),
     )
+
+
+@query
+def op11_html_extraction(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_extraction.extract(spark, pages, "page_id", "url")
+    return found.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
