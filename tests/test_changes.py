@@ -237,6 +237,7 @@ def test_audit_events(spark):
     out = changes.apply_changes(table, batch(spark, delete(1, 1)), F.col("received_at"))
     event = changes.deletion_log(out.deleted, at, F.lit("infirmiers")).first()
     assert event.action == "Suppression d'un patient" and '"name":"Ana"' in event.details
+    assert event.details.startswith("Le patient avec l'identifiant 1 a été supprimé. Voici les infos du patient supprimé {")
     assert '"poids":50.0' in event.details
     written = changes.change_log(batch(spark, insert(1, 1), update(2, 7, name="B"), delete(3, 1)), at).collect()
     assert [(r.action, r.details) for r in written] == [

@@ -29,6 +29,7 @@ ACTIONS = {
 EVENT_TEXTS = {
     "insert": "Le patient '%s' a été ajouté",
     "update": "Patient avec ID %s a été modifié",
+    "delete": "Le patient avec l'identifiant %s a été supprimé. Voici les infos du patient supprimé %s",
     "invoice": "Facture généré pour le patient %s %s",
     "details": "Les détails du patient avec l'identifiant %s ont été consulté.",
     "select": "Patient avec ID %s selectionné.",
@@ -51,30 +52,58 @@ def check_changes(
     """
     new_fields, new_errors = insert_columns(received_at, tz)
     set_fields, set_errors = update_columns()
+    new = F.struct(new_fields.alias("fields"), new_errors.alias("errors"))
+    changed = F.struct(set_fields.alias("fields"), set_errors.alias("errors"))
+    checked = _by_kind(changes, new, changed)
+    fields = F.coalesce("_insert.fields", "_update.fields")
+    return checked.withColumns({"fields": fields, "errors": _errors("_insert.errors", "_update.errors")}).drop("_insert", "_update")
+
+
+def judge_changes(changes: DataFrame) -> DataFrame:
+    """`errors` and `ready` as `check_changes` gives them, beside the fields as submitted.
+
+    For who only needs to know which changes are accepted: no cleaned fields are built.
+    """
+    judged = _by_kind(changes, insert_columns()[1], update_columns()[1])
+    return judged.withColumn("errors", _errors("_insert", "_update")).drop("_insert", "_update")
+
+
+def _by_kind(changes: DataFrame, of_insert: Column, of_update: Column) -> DataFrame:
+    """Adds `_insert` and `_update`, each for its kind, and `ready`, evaluated once per change."""
     op = F.col("op")
     ready = F.coalesce(F.col("fields")["temperature"], F.lit("-")) != ""
     # One kind after the other: both in one step make code too long to be compiled.
-    inserts = F.when(op == "insert", F.struct(new_fields.alias("fields"), new_errors.alias("errors")))
-    updates = F.when(op == "update", F.struct(set_fields.alias("fields"), set_errors.alias("errors")))
-    checked = compute_once(compute_once(changes, {"_insert": inserts, "ready": ready}), {"_update": updates})
-    errors = (
-        F.when(op.isin("insert", "update"), F.coalesce("_insert.errors", "_update.errors"))
+    first = compute_once(changes, {"_insert": F.when(op == "insert", of_insert), "ready": ready})
+    return compute_once(first, {"_update": F.when(op == "update", of_update)})
+
+
+def _errors(of_insert: str, of_update: str) -> Column:
+    op = F.col("op")
+    return (
+        F.when(op.isin("insert", "update"), F.coalesce(of_insert, of_update))
         .when(op == "delete", F.array().cast("array<string>"))
         .otherwise(F.array(F.lit("unknown operation")))
     )
-    fields = F.coalesce("_insert.fields", "_update.fields")
-    return checked.withColumns({"fields": fields, "errors": errors}).drop("_insert", "_update")
 
 
 def in_stretches(changes: DataFrame) -> DataFrame:
-    """The changes with `stretch`, written to the shared folder.
+    """The changes with `stretch`, to be written out before they are used several times.
 
     Stretches are the partitions of a range partitioning by id and seq, so they follow each
     other in the order of the changes of an id, whatever values seq has, and an id with very
-    many changes spans many of them. The numbers are read from the files from then on.
+    many changes spans many of them.
+    """
+    return changes.repartitionByRange("id", "seq").withColumn("stretch", F.spark_partition_id())
+
+
+def prepare_changes(
+    changes: DataFrame, received_at: Column | None = None, tz: str = CLINIC_TIME_ZONE
+) -> DataFrame:
+    """The changes in stretches, cleaned and checked, written to the shared folder.
+
+    The ranges are found from the changes as submitted, so each is checked once.
     """
-    ordered = changes.repartitionByRange("id", "seq")
-    return settle(ordered.withColumn("stretch", F.spark_partition_id()), changes.sparkSession, "checked")
+    return settle(check_changes(in_stretches(changes), received_at, tz), changes.sparkSession, "checked")
 
 
 def number_lives(changes: DataFrame) -> DataFrame:
@@ -164,8 +193,12 @@ def apply_changes(
     without shuffling it when the batch is small. Columns that changes cannot write are
     kept for stored rows and are null in new ones.
     """
+    return apply_checked(base, check_order(prepare_changes(changes, received_at, tz)))
+
+
+def apply_checked(base: DataFrame, checked: DataFrame) -> Applied:
+    """Apply changes that have been checked and put in stretches: `prepare_changes`, `check_order`."""
     spark = base.sparkSession
-    checked = check_order(in_stretches(check_changes(changes, received_at, tz)))
     folded = settle(fold_changes(accepted(checked)), spark, "folded")
     others = [c for c in base.columns if c != "id"]
 
@@ -207,10 +240,11 @@ def apply_changes(
 
 
 def deletion_log(deleted: DataFrame, at: Column, role: Column) -> DataFrame:
-    """Audit events that keep each deleted row as JSON: timestamp, user_type, action, details."""
+    """Audit events that name each deleted row and keep it as JSON: timestamp, user_type, action, details."""
     image = F.to_json(F.struct(*[c for c in deleted.columns if c != "seq"]))
+    details = F.format_string(EVENT_TEXTS["delete"], F.col("id").cast("string"), image)
     return deleted.select(
-        at.alias("timestamp"), role.alias("user_type"), F.lit(ACTIONS["delete"]).alias("action"), image.alias("details")
+        at.alias("timestamp"), role.alias("user_type"), F.lit(ACTIONS["delete"]).alias("action"), details.alias("details")
     )
 
 
@@ -241,7 +275,7 @@ def event_log(rows: DataFrame, kind: str, at: Column, role: Column, *subjects: C
 def notifications(checked: DataFrame) -> DataFrame:
     """Who must be told of accepted changes: (seq, recipient_group, patient_name, reason).
 
-    Takes the result of `check_changes`; refused changes are announced to nobody. A new visit
+    Takes the result of `judge_changes` or `check_changes`; refused changes are announced to nobody. A new visit
     goes to the nurses. An update goes to the physicians unless it leaves the temperature
     blank; not mentioning the temperature counts as filled in. Row by row, so it also runs
     on a stream; that an id is taken or a seq repeated only shows when a batch is applied.

@@ -15,7 +15,7 @@ from visitbook.plans import stand_ins
 from visitbook.plans.stand_ins import table
 from visitbook.schemas import NURSES, PHYSICIANS, RECEPTIONISTS
 from visitbook.session import configure, scratch_dir
-from visitbook.sources import logs
+from visitbook.sources import logs, table_store
 from visitbook.sources.visits import normalize_visits
 from visitbook.streaming import jobs
 
@@ -318,9 +318,50 @@ def rejected_changes(spark, sf_dir):
     return _applied(spark, sf_dir).rejected.select("seq", "op", "id", F.array_join("errors", "; ").alias("errors"))
 
 
+# Buckets of the stand-in's stored table.
+BUCKETS = 16
+
+
+def _stored(spark, sf_dir, label):
+    """The visits as a stored table of their own."""
+    table_ = table_store.StoredTable(scratch_dir(spark, label), BUCKETS)
+    base = normalize_visits(plans.conform(stand_ins.visits(spark, sf_dir)))
+    table_store.create_table(spark, table_, base)
+    return table_
+
+
+@query
+def stored_changes(spark, sf_dir):
+    """The batch applied to the stored table by rewriting the buckets it names."""
+    stored = _stored(spark, sf_dir, "stored")
+    applied = table_store.apply_batch(spark, stored, _requests(spark, sf_dir), 1, F.col("received_at"))
+    return applied.rows.select("id", *VISIT_COLUMNS)
+
+
+def _streamed(spark, sf_dir):
+    """The requests as a stream of three triggers, applied to the stored table."""
+    stored = _stored(spark, sf_dir, "streamed")
+    requests = stand_ins.requests(stand_ins.stream_in_parts(spark, sf_dir, "events", "event_id", 3))
+    checkpoint = scratch_dir(spark, "streamed-checkpoint")
+    jobs.stream_changes(requests, stored, checkpoint, F.col("received_at")).awaitTermination()
+    return stored
+
+
+@query
+def stream_changes(spark, sf_dir):
+    return table_store.read_table(spark, _streamed(spark, sf_dir)).select("id", *VISIT_COLUMNS)
+
+
+@query
+def stream_rejected(spark, sf_dir):
+    """What the triggers refused."""
+    refused = table_store.read_outcomes(spark, _streamed(spark, sf_dir), "rejected")
+    return refused.select("seq", "op", "id", F.array_join("errors", "; ").alias("errors"))
+
+
 @query
 def notifications(spark, sf_dir):
-    return changes.notifications(changes.check_changes(_requests(spark, sf_dir), F.col("received_at")))
+    return changes.notifications(changes.judge_changes(_requests(spark, sf_dir)))
 
 
 @query

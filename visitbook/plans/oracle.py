@@ -369,12 +369,15 @@ WHERE no_sections OR blank_percent OR endless_percent OR too_large""",
 WITH {REQUESTS} SELECT seq, {BORN} FROM req WHERE {INSERT_ERRORS} = ''""",
     "rejected_rows": f"""
 WITH {REQUESTS} SELECT seq, {INSERT_ERRORS} AS errors FROM req WHERE {INSERT_ERRORS} <> ''""",
-    "apply_changes": f"{LIVES} SELECT id, {LIFE_COLUMNS} FROM lives WHERE ended IS NULL",
+    "apply_changes": (APPLIED := f"{LIVES} SELECT id, {LIFE_COLUMNS} FROM lives WHERE ended IS NULL"),
+    "stored_changes": APPLIED,
+    "stream_changes": APPLIED,
     "deleted_rows": f"{LIVES} SELECT id, ended AS seq, {LIFE_COLUMNS} FROM lives WHERE ended IS NOT NULL",
-    "rejected_changes": f"""{LIVES}
+    "rejected_changes": (REFUSED := f"""{LIVES}
 SELECT seq, op, id, errors FROM checked WHERE errors <> ''
 UNION ALL
-SELECT seq, op, id, 'id exists' FROM marked WHERE op = 'insert' AND (from_stored OR seq <> start)""",
+SELECT seq, op, id, 'id exists' FROM marked WHERE op = 'insert' AND (from_stored OR seq <> start)"""),
+    "stream_rejected": REFUSED,
     "notifications": (NOTIFICATIONS := f"""
 WITH {REQUESTS}
 SELECT seq, CASE WHEN op = 'insert' THEN 'infirmiers' ELSE 'medecins' END AS recipient_group, name AS patient_name,
@@ -389,7 +392,8 @@ SELECT received_at AS "timestamp", role AS user_type,
     ELSE 'Patient avec ID ' || id || ' a été modifié' END AS details
 FROM req WHERE (op = 'insert' AND {INSERT_ERRORS} = '') OR (op = 'update' AND {UPDATE_ERRORS} = '')""",
     "deletion_log": f"""{LIVES}, images AS (
-  SELECT ended, '{{' || concat_ws(',', '"id":' || id, '"name":"' || name || '"',
+  SELECT ended, 'Le patient avec l''identifiant ' || id || ' a été supprimé. Voici les infos du patient supprimé {{'
+    || concat_ws(',', '"id":' || id, '"name":"' || name || '"',
     '"adresse":"' || replace(replace(adresse, chr(92), chr(92) || chr(92)), '"', chr(92) || '"') || '"',
     '"phone_number":"' || phone_number || '"') || '}}' AS details FROM lives WHERE ended IS NOT NULL)
 SELECT make_timestamp(ended * 1000000) AS "timestamp", 'infirmiers' AS user_type, 'Suppression d''un patient' AS action,

@@ -7,14 +7,15 @@ processes what is available and stops; pass `trigger` for a long-running job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from visitbook.operators.changes import check_changes, notifications
+from visitbook.operators.changes import judge_changes, notifications
 from visitbook.operators.series import daily_counts, gap_fill, with_revenue
 from visitbook.session import finished_batches, remove_folder
 from visitbook.sources.logs import write_log
+from visitbook.sources.table_store import StoredTable, apply_batch
 
 # Published versions of the daily series that stay readable.
 KEPT_VERSIONS = 10
@@ -84,10 +85,29 @@ def stream_notifications(
     The submitted changes are checked row by row first; refused ones are not announced.
     """
     writer = (
-        notifications(check_changes(changes))
+        notifications(judge_changes(changes))
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
     )
     return _triggered(writer, trigger).start()
+
+
+def stream_changes(
+    changes: DataFrame, table: StoredTable, checkpoint: str, received_at: Column | None = None,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Apply a stream of changes to a stored table, each trigger as one version, exactly once.
+
+    Between triggers the table keeps, next to its rows, the last change of every id, so a change
+    that comes too late or twice is refused. A trigger that is repeated finds its version
+    complete, or writes it anew. A table belongs to one checkpoint, whose triggers number its
+    versions.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        apply_batch(batch.sparkSession, table, batch, batch_id + 1, received_at)
+
+    writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return _triggered(writer, trigger).start()
