@@ -13,7 +13,8 @@ from visitbook.schemas import PAGE_SIZE
 
 def like_pattern(query: str) -> str:
     """Substring pattern; % and _ in the query stay wildcards, a backslash quotes the next character."""
-    return "%" + re.sub(r"\\([^%_\\])", r"\1", query) + "%"
+    quoted = re.sub(r"(?s)\\(.)", lambda m: m[0] if m[1] in "%_\\" else m[1], query)
+    return "%" + quoted + "%"
 
 
 def matches(query: str, columns: list[str]) -> Column:

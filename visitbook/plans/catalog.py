@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from visitbook.columns import compute_once
 from visitbook.functions import fields, labels, text
-from visitbook.operators import access, audit, changes, distribution, history, ingest, invoice, quality, search, series
+from visitbook.operators import access, audit, changes, distribution, history, ingest, invoice, quality, search, series, text_index
 from visitbook.plans import requests as plans
 from visitbook.plans import stand_ins
 from visitbook.plans.stand_ins import table
@@ -99,6 +99,26 @@ def search_many(spark, sf_dir):
     return search.search_many(stand_ins.parts(spark, sf_dir), ["ring", "ECO", "b%t", "zzz", ""])
 
 
+def _indexed(spark, sf_dir):
+    """The parts and an index of their texts."""
+    parts = stand_ins.parts(spark, sf_dir)
+    index = text_index.TextIndex(scratch_dir(spark, "index"))
+    text_index.write_index(parts, index)
+    return parts, index
+
+
+@query
+def indexed_search(spark, sf_dir):
+    return text_index.search_indexed(*_indexed(spark, sf_dir), "L_wid%ET")
+
+
+@query
+def search_table(spark, sf_dir):
+    """A query cut from every part's name, some of them with wildcards, all answered at once."""
+    parts, index = _indexed(spark, sf_dir)
+    return text_index.search_queries(parts, index, stand_ins.part_queries(parts)).select("id", "q")
+
+
 @query
 def visits_by_id(spark, sf_dir):
     viewed = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"))

@@ -261,6 +261,20 @@ WHERE p_name ILIKE '%r_d%g%' OR p_type ILIKE '%r_d%g%'""",
 SELECT p_partkey AS id, p_name AS name, p_type AS adresse, p_brand, q
 FROM part JOIN (VALUES ('ring'), ('ECO'), ('b%t'), ('zzz'), ('')) AS queries(q)
   ON p_name ILIKE '%' || q || '%' OR p_type ILIKE '%' || q || '%'""",
+    "indexed_search": """
+SELECT p_partkey AS id, p_name AS name, p_type AS adresse, p_brand FROM part
+WHERE p_name ILIKE '%L_wid%ET%' OR p_type ILIKE '%L_wid%ET%'""",
+    "search_table": """
+WITH pieces AS (
+  SELECT p_partkey % 4 AS kind, p_type, substr(p_name, p_partkey % 5 + 1, p_partkey % 9 + 1) AS piece FROM part),
+queries AS (
+  SELECT DISTINCT CASE kind WHEN 1 THEN upper(piece) WHEN 2 THEN replace(piece, 'e', '_')
+    WHEN 3 THEN piece || '%' || right(p_type, 2) ELSE piece END AS q FROM pieces),
+texts AS (SELECT DISTINCT p_name, p_type FROM part),
+met AS (
+  SELECT p_name, p_type, q FROM texts, queries
+  WHERE p_name ILIKE '%' || q || '%' OR p_type ILIKE '%' || q || '%')
+SELECT p_partkey AS id, q FROM part JOIN met USING (p_name, p_type)""",
     "visits_by_id": f"""
 WITH {VISITS} SELECT id, name, created_at FROM visits WHERE id IN (SELECT user_id FROM events)""",
     "visit_by_id": f"WITH {VISITS} SELECT id, name, created_at FROM visits WHERE id = 7",

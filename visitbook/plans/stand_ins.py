@@ -54,6 +54,17 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def part_queries(parts: DataFrame) -> DataFrame:
+    """Pieces of one to nine letters of the parts' names as search queries; some with wildcards."""
+    start, size = F.col("id") % 5 + 1, F.col("id") % 9 + 1
+    piece = F.substr("name", start.cast("int"), size.cast("int"))
+    kind = F.col("id") % 4
+    return parts.select(
+        F.when(kind == 1, F.upper(piece)).when(kind == 2, F.replace(piece, F.lit("e"), F.lit("_")))
+        .when(kind == 3, F.concat(piece, F.lit("%"), F.right("adresse", F.lit(2)))).otherwise(piece).alias("q")
+    )
+
+
 def log(events: DataFrame) -> DataFrame:
     """Events as audit log; some users and details are missing or empty."""
     kind = F.col("event_type")
