@@ -8,6 +8,7 @@ from pyspark.sql.types import NumericType
 
 from visitbook.functions.labels import bin_label
 from visitbook.functions.text import fold_name, title_case
+from visitbook.operators.search import UNACCENTED
 
 
 def top_k(counts: DataFrame, value: str, k: int, n: str = "n") -> DataFrame:
@@ -30,6 +31,18 @@ def top_names(df: DataFrame, name: str = "name", k: int = 8) -> DataFrame:
     return top_k(counts, name, k).select(title_case(F.col(name)).alias(name), "n")
 
 
+def unaccented_counts(df: DataFrame, value: str) -> DataFrame:
+    """(value, n): values counted without regard to case and accents, each shown by its least spelling.
+
+    Grouping is by the collation, whose differences from folding `search_unaccented` states.
+    """
+    same = F.collate(F.col(value), UNACCENTED)
+    counted = df.where(F.col(value).isNotNull()).groupBy(same.alias("_same")).agg(
+        F.min(F.collate(F.col(value), "UTF8_BINARY")).alias(value), F.count(F.lit(1)).alias("n")
+    )
+    return counted.drop("_same")
+
+
 def top_addresses(df: DataFrame, adresse: str = "adresse", k: int = 10) -> DataFrame:
     """Most frequent addresses as written; missing ones do not count."""
     counts = df.where(F.col(adresse).isNotNull()).groupBy(adresse).agg(F.count(F.lit(1)).alias("n"))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from visitbook.columns import present
 from visitbook.schemas import PAGE_SIZE
 
+# The collation that compares letters without case and accents.
+UNACCENTED = "UNICODE_CI_AI"
+
 
 def like_pattern(query: str) -> str:
     """Substring pattern; % and _ in the query stay wildcards, a backslash quotes the next character."""
@@ -41,6 +44,20 @@ def search_many(
     return df.withColumn("q", F.explode(hits))
 
 
+def search_unaccented(df: DataFrame, query: str, columns: tuple[str, ...] = ("name", "adresse")) -> DataFrame:
+    """Rows where any of the columns holds the query, ignoring case and accents.
+
+    The comparison is that of the collation: % and _ are ordinary characters, signs it ignores
+    (control characters, for instance) may be missing on either side, and letters count as equal
+    where the collation says so (ß and ss), which folding by decomposition does not.
+    """
+    found = F.lit(False)
+    for c in columns:
+        held = F.contains(F.collate(F.col(c), UNACCENTED), F.collate(F.lit(query), UNACCENTED))
+        found = found | F.coalesce(held, F.lit(False))
+    return df.where(found)
+
+
 def by_id(df: DataFrame, key: int, id: str = "id") -> DataFrame:
     return df.where(F.col(id) == key)
 

@@ -15,7 +15,7 @@ from visitbook.plans import stand_ins
 from visitbook.plans.stand_ins import table
 from visitbook.schemas import NURSES, PHYSICIANS, RECEPTIONISTS
 from visitbook.session import configure, scratch_dir
-from visitbook.sources import logs, table_store
+from visitbook.sources import logs, running_counts, table_store, visit_layout
 from visitbook.sources.visits import normalize_visits
 from visitbook.streaming import jobs
 
@@ -119,6 +119,20 @@ def search_table(spark, sf_dir):
     return text_index.search_queries(parts, index, stand_ins.part_queries(parts)).select("id", "q")
 
 
+@query
+def unaccented_search(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return search.search_unaccented(documents, "UNE DE", ("text",)).select("doc_id", "lang")
+
+
+@query
+def unaccented_names(spark, sf_dir):
+    """First words of the texts, counted by collation."""
+    words = table(spark, sf_dir, "documents").select(F.substring_index("text", " ", 1).alias("word")).where(r"word RLIKE '^\\p{L}+$'")
+    counted = distribution.unaccented_counts(words, "word")
+    return counted.select(text.fold_name(F.col("word")).alias("word"), "n")
+
+
 @query
 def visits_by_id(spark, sf_dir):
     viewed = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"))
@@ -154,6 +168,28 @@ def visit_history(spark, sf_dir):
     return history.visit_history(visits, viewed).select("name", "id", "created_at", "n_visits")
 
 
+def _laid_out(spark, sf_dir):
+    """The visits by month and bucket of names, as a table of the catalog."""
+    path = scratch_dir(spark, "visits")
+    name = "visits_" + path.rsplit("-", 1)[1]
+    visit_layout.store_visits(stand_ins.visits(spark, sf_dir), name, path, buckets=4)
+    return name
+
+
+@query
+def laid_out_history(spark, sf_dir):
+    viewed = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"))
+    found = visit_layout.history_in_buckets(spark, _laid_out(spark, sf_dir), viewed)
+    return found.select("name", "id", "created_at", "n_visits")
+
+
+@query
+def laid_out_revenue(spark, sf_dir):
+    """Daily revenue of a span of days, from the months it touches."""
+    visits = visit_layout.between(spark.table(_laid_out(spark, sf_dir)), "1995-03-20", "1995-05-10")
+    return series.with_revenue(series.daily_visits(visits))
+
+
 @query
 def history_of_one(spark, sf_dir):
     """The history page of one visit."""
@@ -338,8 +374,8 @@ def rejected_changes(spark, sf_dir):
     return _applied(spark, sf_dir).rejected.select("seq", "op", "id", F.array_join("errors", "; ").alias("errors"))
 
 
-# Buckets of the stand-in's stored table.
-BUCKETS = 16
+# Buckets of the stand-in's stored table, and triggers of streams that arrive in parts.
+BUCKETS, TRIGGERS = 16, 3
 
 
 def _stored(spark, sf_dir, label):
@@ -358,12 +394,14 @@ def stored_changes(spark, sf_dir):
     return applied.rows.select("id", *VISIT_COLUMNS)
 
 
-def _streamed(spark, sf_dir):
-    """The requests as a stream of three triggers, applied to the stored table."""
+def _streamed(spark, sf_dir, count=False):
+    """The requests as a stream of several triggers, applied to the stored table."""
     stored = _stored(spark, sf_dir, "streamed")
-    requests = stand_ins.requests(stand_ins.stream_in_parts(spark, sf_dir, "events", "event_id", 3))
+    if count:
+        running_counts.record_counts(spark, stored, 0)
+    requests = stand_ins.requests(stand_ins.stream_in_parts(spark, sf_dir, "events", "event_id", TRIGGERS))
     checkpoint = scratch_dir(spark, "streamed-checkpoint")
-    jobs.stream_changes(requests, stored, checkpoint, F.col("received_at")).awaitTermination()
+    jobs.stream_changes(requests, stored, checkpoint, F.col("received_at"), count=count).awaitTermination()
     return stored
 
 
@@ -379,6 +417,19 @@ def stream_rejected(spark, sf_dir):
     return refused.select("seq", "op", "id", F.array_join("errors", "; ").alias("errors"))
 
 
+@query
+def running_statistics(spark, sf_dir):
+    """Statistics after the stream of changes, from the counts kept beside the table."""
+    stored = _streamed(spark, sf_dir, count=True)
+    found = running_counts.running_statistics(running_counts.read_counts(spark, stored))
+    shown = lambda kind, key: found[kind].select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), "n")
+    return (
+        shown("daily_revenue", "day").unionByName(shown("monthly_revenue", "month")).unionByName(shown("top_names", "name"))
+        .unionByName(shown("top_addresses", "adresse"))
+        .unionByName(found["value_distribution"].select(F.concat(F.lit("value "), "column").alias("kind"), F.col("value").alias("key"), "n"))
+    )
+
+
 @query
 def notifications(spark, sf_dir):
     return changes.notifications(changes.judge_changes(_requests(spark, sf_dir)))
@@ -433,6 +484,17 @@ def required_fields(spark, sf_dir):
     return quality.required_field_report(orders, ["id", "action", "name"])
 
 
+@query
+def observed_fields(spark, sf_dir):
+    """Missing fields, counted while the table is written."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("action"),
+        F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("name"),
+    )
+    return quality.write_observed(orders, scratch_dir(spark, "observed"), ["id", "action", "name"])
+
+
 # --- scalar functions -------------------------------------------------------------
 
 
@@ -551,3 +613,21 @@ def stream_notifications(spark, sf_dir):
     requests = stand_ins.requests(stand_ins.stream(spark, sf_dir, "events"))
     jobs.stream_notifications(requests, f"{out}/table", f"{out}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{out}/table").select("seq", "recipient_group", "patient_name", "reason")
+
+
+@query
+def stream_closed_days(spark, sf_dir):
+    out = scratch_dir(spark, "closed")
+    events = stand_ins.stream_in_parts(spark, sf_dir, "events", "event_id", TRIGGERS)
+    for job in jobs.stream_closed_days(events, f"{out}/table", f"{out}/checkpoint", "ts"):
+        job.awaitTermination()
+    return jobs.read_closed_series(spark, f"{out}/table")
+
+
+@query
+def stream_digest(spark, sf_dir):
+    out = scratch_dir(spark, "digest")
+    events = stand_ins.log(stand_ins.stream_in_parts(spark, sf_dir, "events", "event_id", TRIGGERS))
+    jobs.stream_log(events, f"{out}/log", f"{out}/log-checkpoint").awaitTermination()
+    jobs.stream_digest(spark, f"{out}/log", f"{out}/digests", f"{out}/checkpoint").awaitTermination()
+    return jobs.read_digests(spark, f"{out}/digests")

@@ -293,10 +293,13 @@ FROM visits WHERE name ILIKE '%auto%' OR adresse ILIKE '%auto%' ORDER BY created
 WITH {VISITS} SELECT created_at AS "Date de création", name AS "Nom", CAST(NULL AS DOUBLE) AS "Poids",
   CAST(NULL AS DOUBLE) AS "Taille", CAST(NULL AS DOUBLE) AS "Tension", CAST(NULL AS DOUBLE) AS "Température"
 FROM visits""",
-    "visit_history": f"""
+    "visit_history": (HISTORY := f"""
 WITH {VISITS}, persons AS (SELECT DISTINCT name FROM visits WHERE id IN (SELECT user_id FROM events))
 SELECT name, id, created_at, count(*) OVER (PARTITION BY name) AS n_visits
-FROM visits WHERE name IN (SELECT name FROM persons)""",
+FROM visits WHERE name IN (SELECT name FROM persons)"""),
+    "laid_out_history": HISTORY,
+    "laid_out_revenue": f"""
+SELECT * FROM ({_series("day").replace("IS NOT NULL", "BETWEEN TIMESTAMP '1995-03-20' AND TIMESTAMP '1995-05-10 23:59:59.999999'")})""",
     "history_of_one": f"""
 WITH {VISITS} SELECT id, name, created_at FROM visits WHERE name = (SELECT name FROM visits WHERE id = 7)""",
     "history_counts": f"WITH {VISITS} SELECT name, count(*) AS n_visits FROM visits GROUP BY name",
@@ -392,6 +395,19 @@ SELECT seq, op, id, errors FROM checked WHERE errors <> ''
 UNION ALL
 SELECT seq, op, id, 'id exists' FROM marked WHERE op = 'insert' AND (from_stored OR seq <> start)"""),
     "stream_rejected": REFUSED,
+    "running_statistics": f"""{LIVES},
+final AS (SELECT name, adresse, created_at FROM lives WHERE ended IS NULL),
+days AS (SELECT created_at AS day, count(*) AS n FROM final WHERE created_at IS NOT NULL GROUP BY 1),
+months AS (SELECT CAST(date_trunc('month', day) AS DATE) AS month, sum(n) AS n FROM days GROUP BY 1),
+all_days AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 day)) AS DATE) AS day FROM days),
+all_months AS (SELECT CAST(unnest(generate_series(min(month), max(month), INTERVAL 1 month)) AS DATE) AS month FROM months),
+names AS (SELECT lower(strip_accents(trim(name))) AS name, count(*) AS n FROM final GROUP BY 1 ORDER BY n DESC, name LIMIT 8),
+places AS (SELECT adresse, count(*) AS n FROM final WHERE adresse IS NOT NULL GROUP BY 1 ORDER BY n DESC, adresse LIMIT 10)
+SELECT 'daily_revenue' AS kind, CAST(day AS VARCHAR) AS key, CAST(coalesce(n, 0) AS BIGINT) AS n FROM all_days LEFT JOIN days USING (day)
+UNION ALL SELECT 'monthly_revenue', CAST(month AS VARCHAR), CAST(coalesce(n, 0) AS BIGINT) FROM all_months LEFT JOIN months USING (month)
+UNION ALL SELECT 'top_names', {_title("name")}, n FROM names
+UNION ALL SELECT 'top_addresses', adresse, n FROM places
+UNION ALL SELECT 'value adresse', adresse, count(*) FROM final WHERE adresse <> '' GROUP BY adresse""",
     "notifications": (NOTIFICATIONS := f"""
 WITH {REQUESTS}
 SELECT seq, CASE WHEN op = 'insert' THEN 'infirmiers' ELSE 'medecins' END AS recipient_group, name AS patient_name,
@@ -424,10 +440,27 @@ FROM orders""",
 SELECT l_orderkey AS patient_id, l_partkey, l_linenumber FROM lineitem
 WHERE l_returnflag <> 'N' AND NOT EXISTS (
   SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')""",
-    "required_fields": """
+    "unaccented_search": """
+SELECT doc_id, lang FROM documents WHERE contains(lower(strip_accents(text)), 'une de')""",
+    "unaccented_names": r"""
+SELECT lower(strip_accents(w)) AS word, count(*) AS n
+FROM (SELECT split_part(text, ' ', 1) AS w FROM documents) WHERE regexp_full_match(w, '\p{L}+') GROUP BY 1""",
+    "stream_closed_days": f"""
+WITH last AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events),
+closed AS (SELECT * FROM ({_series("day").replace("orders", "events").replace("o_orderdate", "ts")}), last)
+SELECT day, n, revenue FROM closed WHERE day + INTERVAL 1 DAY <= mark""",
+    "stream_digest": f"""
+WITH {LOG}, days AS (
+  SELECT DISTINCT CAST("timestamp" AS DATE) AS log_date FROM log
+  WHERE CAST("timestamp" AS DATE) + INTERVAL 1 DAY <= (SELECT max("timestamp") - INTERVAL 1 DAY FROM log))
+SELECT log_date, {LOG_LINE} AS line FROM log JOIN days ON CAST("timestamp" AS DATE) = log_date
+UNION ALL
+SELECT log_date, 'Action Logs Report for ' || strftime(log_date, '%Y-%m-%d') FROM days""",
+    "observed_fields": (REQUIRED := """
 SELECT 'id' AS field, count(*) FILTER (WHERE o_orderkey IS NULL) AS n_missing FROM orders
 UNION ALL SELECT 'action', count(*) FILTER (WHERE o_orderstatus = 'P' OR o_orderstatus IS NULL) FROM orders
-UNION ALL SELECT 'name', count(*) FILTER (WHERE o_orderpriority = '5-LOW' OR o_orderpriority IS NULL) FROM orders""",
+UNION ALL SELECT 'name', count(*) FILTER (WHERE o_orderpriority = '5-LOW' OR o_orderpriority IS NULL) FROM orders"""),
+    "required_fields": REQUIRED,
     "accent_fold": r"""
 WITH folded AS (
   SELECT doc_id, strip_accents(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS folded FROM documents)

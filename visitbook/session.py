@@ -47,14 +47,19 @@ def _folder(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def finished_batches(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the folders batch_id=N below `path` whose write is complete, in order."""
+def finished_folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """What follows the prefix in the names of the folders below `path` whose write is complete."""
     system, place = _folder(spark, path)
     if not system.exists(place):
         return []
-    found = [f.getPath() for f in system.listStatus(place) if f.isDirectory() and f.getPath().getName().startswith("batch_id=")]
+    found = [f.getPath() for f in system.listStatus(place) if f.isDirectory() and f.getPath().getName().startswith(prefix)]
     done = [p for p in found if system.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().split("=")[1]) for p in done)
+    return [p.getName()[len(prefix) :] for p in done]
+
+
+def finished_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the folders batch_id=N below `path` whose write is complete, in order."""
+    return sorted(int(n) for n in finished_folders(spark, path, "batch_id="))
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
