@@ -5,10 +5,13 @@ from collections import defaultdict
 
 import pytest
 from cases import SF, awkward, documents, empty, words
+from pyspark.sql import functions as F
 
+from visitbook.llm import components as components_module
 from visitbook.llm import jaccard_join as jj
 from visitbook.llm.components import components
 from visitbook.llm.queries import QUERIES
+from visitbook.session import settle
 
 
 def shingles(text, k=5):
@@ -96,3 +99,50 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, None)]
     got = {r.node: r.root for r in components(spark, spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100)}
+
+
+@pytest.fixture
+def skewed_plans(spark, monkeypatch):
+    """Plans of what is written out, under settings that let small joins be split."""
+    options = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+    }
+    before = {k: spark.conf.get(k, None) for k in options}
+    plans = []
+
+    def recorded(df, session, label):
+        df.collect()
+        plans.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return settle(df, session, label)
+
+    for module in (jj, components_module):
+        monkeypatch.setattr(module, "settle", recorded)
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    yield plans
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_edges_of_a_hot_node_are_split(spark, skewed_plans):
+    node = F.when(F.col("id") % 10 < 8, 0).otherwise(F.col("id") % 97)
+    edges = spark.range(0, 60_000, 1, 8).select(node.alias("u"), (F.col("id") + 1000).alias("v"))
+    star = components_module._large_star(edges)
+    star.collect()
+    assert "skew=true" in star._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sets_of_a_hot_node_are_split(spark, skewed_plans):
+    """Most sets share all sampled shingles, so they go down one path and meet in one bucket."""
+    same = F.when(F.col("id") % 10 < 8, 7).otherwise(F.col("id"))
+    sets = spark.range(0, 8000, 1, 8).select(
+        F.sha2(F.col("id").cast("string"), 256).cast("binary").alias("name"),
+        F.array(*[(same * 31 + i).cast("bigint") for i in range(6)]).alias("values"),
+    )
+    buckets = jj.chosen_paths(spark, sets, 1, 3, 16)
+    assert [label for label, text in skewed_plans if label == "paths" and "skew=true" in text]
+    met = jj.unmet(settle(buckets, spark, "buckets"), 1)
+    met.collect()
+    assert "skew=true" in met._jdf.queryExecution().executedPlan().toString()

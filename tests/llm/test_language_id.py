@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from cases import SF, awkward, documents, empty
+from pyspark.sql import functions as F
 
 from visitbook.llm import language_id as li
 from visitbook.llm.queries import QUERIES
@@ -99,6 +101,18 @@ def test_rejection_is_calibrated(spark):
     assert judged <= 0.01 * docs.count()
 
 
+def test_a_language_without_calibration_rejects_junk_only(spark):
+    """One labelled document: texts of the language stay, letters at random go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    first = docs.where("lang = 'es'").agg(F.min("doc_id")).first()[0]
+    model = li.train(docs.withColumn("lang", F.when((F.col("lang") != "es") | (F.col("doc_id") == first), F.col("lang"))))
+    assert np.isfinite(model.mean).all() and "es" in model.languages
+    assert li.identify(docs.where("lang = 'es'"), model).where("rejected").count() == 0
+    rng = random.Random(2)
+    junk = [" ".join("".join(rng.choices("qwxzkjvbnmlpgfdsaeiouyrtch", k=7)) for _ in range(60)) for _ in range(20)]
+    assert li.identify(documents(spark, junk), model).where("NOT rejected").count() == 0
+
+
 def test_awkward_rows(spark):
     model = li.train(awkward(spark))
     rows = li.identify(awkward(spark).withColumnRenamed("source", "score"), model).collect()

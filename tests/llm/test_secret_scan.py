@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import pytest
+import zstandard
 from cases import awkward, documents, empty
 
 from visitbook.llm import secret_scan as ss
@@ -133,6 +135,61 @@ def test_dictionary_leaves_out_copies_and_secrets(spark):
     assert not any(w in s for w in dictionary for s in secrets)
 
 
+def plain_tokens(text):
+    """Candidates by looking at every sensitive word and every token of a text."""
+    low, runs = text.lower(), [m.span() for m in ss.CANDIDATE.finditer(text)]
+    ends = [m.end() for m in ss.SENSITIVE.finditer(low)]
+    out = set()
+    for a, b in runs:
+        if any(0 <= a - e <= ss.REACH for e in ends):
+            out.add((a, b))
+        inside = [e for e in ends if a < e <= b - ss.KEY]
+        out |= {(e, b) for e in inside[:1] + inside[-1:]}
+    return {(a, b) for a, b in out if ss.mixed(text[a:b])}
+
+
+def test_candidates_equal_a_plain_search(spark):
+    rng = random.Random(8)
+    letters = string.ascii_letters + string.digits + "+/_=-."
+    texts = [r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for _ in range(500):
+        parts = [rng.choice([*ss.SENSITIVE_WORDS, "the", "code", "x" * 20]) + rng.choice([" ", "", "=", "_", ":"])
+                 + "".join(rng.choices(letters, k=rng.choice([0, 0, 3, 15, 16, 17, 24]))) for _ in range(rng.randrange(1, 20))]
+        texts.append(" ".join(parts) if rng.random() < 0.5 else "".join(parts))
+    for text in texts:
+        found = ss.candidates(text, text.lower())
+        tokens = {t for lines in found for t in lines}
+        assert {lines[0] for lines in found} <= plain_tokens(text) <= tokens
+
+
+def test_novel_spans_equal_their_definition(spark):
+    """One token per sensitive word, far apart: novel if it adds enough bytes to its surroundings."""
+    rng = random.Random(9)
+    dictionary = b"access_token_value1\nconfig_loader_name\nplain_identifier"
+    primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda t: len(zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False).compress(t.encode()))
+    tokens = ["".join(rng.choices(string.ascii_letters + string.digits, k=rng.randrange(16, 40))) for _ in range(40)]
+    tokens += ["access_token_value1", "my_config_loader_name2", "Aaaaaaaaaaaaaaaaaaaaaaaa1", "abcAbcabcAbcabcAbcabcAbc"]
+    text, want = "", []
+    for token in tokens:
+        text += f"{'some plain words é ' * 30} Authorization of {token} and "
+    for m in ss.CANDIDATE.finditer(text):
+        before, after = text[max(0, m.start() - 256) : m.start()], text[m.end() : m.end() + 256]
+        added = size(before + m[0] + after) - size(before + after)
+        if added >= max(10, 0.55 * len(m[0])):
+            want.append(m.span())
+    found = ss.find_secrets(text, ss.Novelty(dictionary))
+    assert [(s.start, s.end) for s in found if s.kind == "novel"] == want and len(want) >= 38
+
+
+@pytest.mark.parametrize("part", ["the token is here ok. ", "token", "Secret1", "private key\n" + "aB" * 32 + "\nZq8\n-----END\n"])
+def test_very_long_texts_take_linear_time(part):
+    text = part * (5_000_000 // len(part))
+    started = time.perf_counter()
+    ss.find_secrets(text, ss.Novelty(b""))
+    assert time.perf_counter() - started < 20
+
+
 def test_redaction(spark):
     texts = ["x password=abcdefg1 y", "clean", None, "", "token=" + "0a" * 15]
     rows = {r.doc_id: r for r in ss.redact(documents(spark, texts)).collect()}

@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitbook.llm import text_arrays as ta
+from visitbook.session import settle
 
 WINDOW = 10
 # Windows held by one worker at a time (about 200 bytes each). A larger benchmark is split by
 # hash into slices of this expected size, and the texts pass one slice after the other.
-SLICE_WINDOWS = 1 << 20
+SLICE_WINDOWS = 1 << 18
 
 HITS = "n_words bigint, spans array<struct<start: int, end: int>>, items array<string>"
 
@@ -92,13 +93,28 @@ class WindowSet:
         return found
 
 
-def window_slices(benchmark: DataFrame, window: int, slice_windows: int, id_col: str) -> list[WindowSet]:
-    """The benchmark's windows in sets of bounded size."""
-    grams = benchmark_windows(benchmark, window, id_col)
+def window_slices(benchmark: DataFrame, window: int, slice_windows: int, id_col: str) -> Iterator[WindowSet]:
+    """The benchmark's windows in sets of bounded size, one after the other; written out first."""
+    grams = settle(benchmark_windows(benchmark, window, id_col), benchmark.sparkSession, "windows")
     total = grams.count()
     parts = max(1, -(-total // slice_windows))
     part = F.pmod(F.xxhash64("hash"), F.lit(parts))
-    return [WindowSet(grams.where(part == p).collect()) for p in range(parts)]
+    for p in range(parts):
+        yield WindowSet(grams.where(part == p).collect())
+
+
+def scanned_but_for_last(docs: DataFrame, slices: Iterator[WindowSet]) -> tuple[DataFrame, WindowSet]:
+    """`docs` with what all slices but the last have found, and the last one.
+
+    Each slice's pass is written out before the next slice is fetched, so neither the driver nor
+    a task holds more than one or two of them.
+    """
+    found = docs.withColumns(blank_hits())
+    known = next(slices)
+    for following in slices:
+        found = settle(found.mapInArrow(scan(known), found.schema), docs.sparkSession, "hits")
+        known = following
+    return found, known
 
 
 def scan(known: WindowSet):
@@ -163,11 +179,8 @@ def contamination(
     hits; an empty benchmark hits nothing; equal rows are judged one by one. Columns of `docs`
     that are named like a result are replaced. No shuffle of the texts takes place.
     """
-    out = docs.withColumns(blank_hits())
-    schema = out.schema
-    for known in window_slices(benchmark, window, slice_windows, id_col):
-        out = out.mapInArrow(scan(known), schema)
-    return out
+    found, last = scanned_but_for_last(docs, window_slices(benchmark, window, slice_windows, id_col))
+    return found.mapInArrow(scan(last), found.schema)
 
 
 def decontaminate(
@@ -180,11 +193,8 @@ def decontaminate(
     has lost all its words goes; texts without a hit, null and empty ones included, stay as
     they are. `n_chars`, if there, is counted again for changed texts.
     """
-    *others, last = window_slices(benchmark, window, slice_windows, id_col)
-    found = docs.withColumns(blank_hits())
+    found, last = scanned_but_for_last(docs, window_slices(benchmark, window, slice_windows, id_col))
     schema = found.schema
-    for known in others:
-        found = found.mapInArrow(scan(known), schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -146,7 +146,8 @@ def chosen_paths(spark: SparkSession, sets: DataFrame, runs: int, depth: int, br
     for level in range(1, depth + 1):
         walking = walking.withColumn("bucket", F.xxhash64("run", F.slice("path", 1, level)))
         sizes = walking.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        walking = settle(walking.drop("n").join(sizes, "bucket"), spark, "paths")
+        # Written out first, so that the sets of a large node may be split.
+        walking = settle(walking.drop("n").join(settle(sizes, spark, "nodes"), "bucket"), spark, "paths")
         small = F.lit(True) if level == depth else F.col("n") <= brute_force
         ended.append(walking.where(small).select("name", "run", "bucket", "n"))
         walking = walking.where(~small)
@@ -178,7 +179,8 @@ def unmet(buckets: DataFrame, runs: int) -> DataFrame:
     fresh = F.lit(True)
     for r in range(runs - 1):
         fresh = fresh & ~((F.col(f"c{r}") == F.col("n")) & (F.col(f"l{r}") == F.col(f"h{r}")))
-    return rows.join(sums.where(fresh).select("bucket", "n"), "bucket")
+    # Written out first, so that the sets of a large bucket may be split.
+    return rows.join(settle(sums.where(fresh).select("bucket", "n"), buckets.sparkSession, "fresh"), "bucket")
 
 
 def blocks(rows: DataFrame, brute_force: int) -> DataFrame:

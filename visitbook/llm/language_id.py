@@ -309,8 +309,10 @@ def calibrate(model: Model, drawn: DataFrame) -> None:
         # n * (bits / n - mean)**2 averages to the variance of one symbol's bits
         model.spread[k] = max(0.0, r["squares"] - r["bits"] ** 2 / r["n"]) ** 0.5 / max(1, r["docs"] - 1) ** 0.5
     shared.destroy()
-    unseen = model.mean == 0  # too few documents to calibrate: nothing is rejected
-    model.mean[unseen], model.spread[unseen] = np.inf, 0
+    # A language of too few documents to be calibrated takes the loosest bound of the others.
+    unseen = model.mean == 0
+    model.mean[unseen] = model.mean.max() if not unseen.all() else np.inf
+    model.spread[unseen] = model.spread.max()
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -46,6 +46,7 @@ NEXT_LINE = re.compile(
     r"""(?:[\x20\t"',;]{0,8}(?:\r\n?|\n|(?:\\r)?\\n)){1,2}[\x20\t"'>\#|*]{0,80}([A-Za-z0-9+/_=~.-]++)(?=[\x20\t"',;]{0,8}(?:[\r\n\\]|\Z))"""
 )
 KEY_END = re.compile(r"[\s\\rn\"'>\#|*]{0,80}-----END")
+DIGIT, UPPER, LOWER = re.compile("[0-9]"), re.compile("[A-Z]"), re.compile("[a-z]")
 IDENTIFIER = re.compile(r"[A-Za-z_]{4,32}")
 SURROUNDING = 256  # characters of text on either side
 KEY = 16  # least length of the part by which a token is known again
@@ -94,17 +95,47 @@ def mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) or token.lower() != token and token.upper() != token
 
 
+def mixed_from(text: str, run: tuple[int, int]) -> int:
+    """The last place of a run of token characters from which the rest of it is `mixed`, or -1."""
+    token = text[run[0] : run[1]][::-1]
+    first = [len(token) - 1 - m.start() if (m := r.search(token)) else -1 for r in (DIGIT, UPPER, LOWER)]
+    last = max(first[0], min(first[1:]))
+    return run[0] + last if last >= 0 else -1
+
+
 def candidates(text: str, low: str) -> list[list[tuple[int, int]]]:
     """Long tokens that start within reach of a sensitive word, each with the lines that directly
     follow it; they must hold a digit or letters of both cases. No token is in two lists.
+
+    Words may stand inside a token; then what follows the first and the last of them are tokens.
+    All places and all tokens are gathered once, so the time grows with the text.
     """
+    places = sensitive_places(text, low)
+    if not places:
+        return []
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    starts = [a for a, _ in runs]
+    latest = [-2] * len(runs)  # filled when a run is met
+    inside: dict[int, tuple[int, int]] = {}  # first and last word's end in a run
     first = set()
-    for place in sensitive_places(text, low):
-        m = CANDIDATE.search(text, place)
-        while m and m.start() - place <= REACH:
-            if mixed(m.group()):
-                first.add(m.span())
-            m = CANDIDATE.search(text, m.end())
+
+    def offer(i: int, start: int) -> None:
+        if latest[i] == -2:
+            latest[i] = mixed_from(text, runs[i])
+        if start <= latest[i]:
+            first.add((start, runs[i][1]))
+
+    for place in places:
+        i = bisect_right(starts, place) - 1
+        if i >= 0 and starts[i] < place and runs[i][1] - place >= KEY:
+            inside[i] = inside.get(i, (place, place))[0], place
+        i += i < 0 or starts[i] < place
+        while i < len(runs) and starts[i] - place <= REACH:
+            offer(i, starts[i])
+            i += 1
+    for i, ends in inside.items():
+        for place in ends:
+            offer(i, place)
     found, following = [], set()
     for span in sorted(first):
         if span not in following:
@@ -164,13 +195,14 @@ class Novelty:
 
 
 def find_secrets(text: str, novelty: Novelty) -> list[Span]:
-    """All spans of a text, by start and kind. Lines of one key are judged each and as a whole. A string that is novel in one place is reported in
-    all its places. Novel strings inside another span are not repeated.
+    """All spans of a text, by start and kind. Lines of one key are judged each and as a whole. A
+    string that is novel in one place is reported in all its places. Novel strings inside another
+    span are not repeated.
     """
     low = text.lower()
     found = base_spans(text, low)
     keys: set[str] = set()
-    known = []
+    known, short = [], []
     for lines in candidates(text, low):
         whole = len(lines) > 1 and novelty.novel_lines(text, lines)
         for start, end in lines:
@@ -179,8 +211,9 @@ def find_secrets(text: str, novelty: Novelty) -> list[Span]:
                 if len(key) >= KEY:
                     keys.add(key)
                 else:
-                    found += uncovered([(start, end)], found)
+                    short.append((start, end))
             known.append((start, end, key))
+    found += uncovered(short, found)
     if keys:
         found += uncovered([(start, end) for start, end, key in known if key in keys], found)
         found += uncovered(occurrences(text, keys), found)
