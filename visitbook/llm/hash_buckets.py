@@ -26,16 +26,17 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Tally:
-    """Counts of hashed keys, merged whenever many have come in."""
+    """Counts of hashed keys, merged whenever `held` have come in."""
 
-    def __init__(self):
+    def __init__(self, held: int = HELD_KEYS):
+        self.held = held
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.waiting = self.merged = 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         self.parts.append((keys, counts))
         self.waiting += len(keys)
-        if self.waiting > max(HELD_KEYS, 2 * self.merged):
+        if self.waiting > max(self.held, 2 * self.merged):
             self.total()
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
