@@ -34,12 +34,13 @@ from visitbook.session import settle
 LENGTH = 100
 ANCHOR = 50  # bytes of an anchor
 SAMPLE, PERIOD = 50, 32  # bytes named at a sample place; period of the cover
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+HELD = HELD_KEYS // 2  # anchors that a counting task gathers
 PLACE_BITS = np.uint64(28)  # of a place within a slice
 # Segments sorted together, and the most that one anchor may have without being hot.
 BLOCK_SEGMENTS, HOT_SEGMENTS = 1 << 14, 1 << 15
 # Segments that a task hands on together, and that a bucket is meant to hold.
-PACK_SEGMENTS, BUCKET_SEGMENTS = 1 << 16, 1 << 16
+PACK_SEGMENTS, BUCKET_SEGMENTS = 1 << 15, 1 << 16
 # At most so many anchors are hot: the bound of a block grows before this list does.
 HOT_ANCHORS = 1 << 20
 # Largest filter of repeated anchors, in bits; beyond it they are joined instead.
@@ -123,14 +124,14 @@ def count_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, tally = ta.PowerTables(ta.BYTE_BASE), Tally()
+        tables, tally = ta.PowerTables(ta.BYTE_BASE), Tally(HELD)
         for whole in batches:
             for batch in ta.slices(whole, "text", SLICE_BYTES):
                 keys = find_anchors(*ta.text_bytes(batch.column("text")), tables).hash
                 tally.add(keys, np.ones(len(keys), np.int64))
-                if tally.merged > HELD_KEYS:
+                if tally.merged > HELD:
                     yield flush(tally)
-                    tally = Tally()
+                    tally = Tally(HELD)
         yield flush(tally)
 
     return docs.select("text").mapInArrow(run, "bucket int, keys binary, counts binary")
@@ -146,7 +147,7 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tally = None, Tally()
+        now, tally = None, Tally(HELD)
 
         def close() -> pa.RecordBatch:
             keys, counts = tally.total()
@@ -160,7 +161,7 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 if bucket != now:
                     if now is not None:
                         yield close()
-                    now, tally = bucket, Tally()
+                    now, tally = bucket, Tally(HELD)
                 tally.add(*unpacked(batch.column("keys")[i].as_py(), batch.column("counts")[i].as_py()))
         if now is not None:
             yield close()
