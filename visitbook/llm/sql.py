@@ -131,15 +131,25 @@ def leaf(text: str) -> str:
     return "sha256(" + " || ".join(map(counted, ["doc_id", "source", "lang", "n_chars", text])) + ")"
 
 
-# Every level of every tree as a list; CRC-32 by its table of bytes.
-MERKLE_MANIFEST = f"""
-WITH RECURSIVE crc_table AS (
+# CRC-32 by its table of bytes.
+CRC_TABLE = """
+crc_table AS (
   SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
-  FROM range(256) AS bytes(b)),
+  FROM range(256) AS bytes(b))"""
+
+
+def crc32(text: str) -> str:
+    """Of a text of ASCII characters; `t` is the column of CRC_TABLE."""
+    return f"""xor(list_reduce([4294967295] || [CAST(ord(d) AS BIGINT) FOR d IN string_split({text}, '')],
+      lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1])), 4294967295)"""
+
+
+# Every level of every tree as a list.
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE {CRC_TABLE},
 leaves AS (
   SELECT doc_id, source, {leaf("text")} AS leaf, {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} AS lowered,
-    xor(list_reduce([4294967295] || [CAST(ord(d) AS BIGINT) FOR d IN string_split(CAST(doc_id AS VARCHAR), '')],
-      lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1])), 4294967295) AS crc
+    {crc32("CAST(doc_id AS VARCHAR)")} AS crc
   FROM documents, crc_table),
 placed AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
@@ -179,10 +189,94 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string([s.b || s.a FOR s IN
 FROM proofs
 """
 
+
+
+def edited(way: str, letter: str, cost: str = "0", allowed: str = "true") -> str:
+    """A way to a state of the roles' automaton with one more edit; dear if it is not allowed."""
+    return f"{{'c': CASE WHEN {allowed} THEN {way}.c + {cost} ELSE 1000000000 END, 'a': {way}.a || '{letter}'}}"
+
+
+def inserted(ways: str) -> str:
+    """The ways z (start), s, u, a of a struct, and what insertions reach from them."""
+    u = f"least({ways}.u, {edited(ways + '.z', 'I', '5')}, {edited(ways + '.s', 'I', '5')}, {edited(ways + '.a', 'I', '5')})"
+    return f"{{'z': {ways}.z, 's': {ways}.s, 'u': {u}, 'a': least({ways}.a, {edited('(' + u + ')', 'I', '5')})}}"
+
+
+def after_row(ways: str) -> str:
+    """The ways after one more row, of initial r and fault f."""
+    stays, cut = "f NOT IN ('blank', 'duplicate')", "CASE f WHEN 'truncated' THEN 5 ELSE 0 END"
+    reach = {"z": "", "s": "z", "u": "zsa", "a": "u"}  # from which state a role leads to each
+    new = {}
+    for state, sources in reach.items():
+        offers = [edited(f"{ways}.{state}", "D", "2")]
+        for source in sources:
+            offers.append(edited(f"{ways}.{source}", "K", cut, f"{stays} AND r = '{state}'"))
+            if state in "ua":
+                offers.append(edited(f"{ways}.{source}", "R", f"{cut} + 1", stays))
+        new[state] = f"least({', '.join(offers)})" if len(offers) > 1 else offers[0]
+    return "{" + ", ".join(f"'{s}': {w}" for s, w in new.items()) + "}"
+
+
+# The cheapest way to each state, row by row, and then the edits played back.
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE {CRC_TABLE},
+raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM raw, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) AS copies(i)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS solid
+  FROM damaged),
+marked AS (
+  SELECT *, left(role, 1) AS r, CASE WHEN solid = '' THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS f FROM placed),
+paired AS (SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM marked),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (f = 'blank') AS blank, count(*) FILTER (f = 'duplicate') AS duplicate,
+    count(*) FILTER (f = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND before || r NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM paired GROUP BY conv_id),
+ways AS (
+  SELECT conv_id, 0 AS i, n, {{'z': {{'c': 0, 'a': ''}}, 's': {{'c': 1000000000, 'a': ''}}, 'u': {{'c': 1000000000, 'a': ''}},
+    'a': {{'c': 1000000000, 'a': ''}}}} AS w FROM counts
+  UNION ALL
+  SELECT conv_id, i, n, {after_row("w")} FROM (
+    SELECT e.conv_id, m.i, e.n, m.r, m.f, {inserted("e.w")} AS w
+    FROM ways AS e JOIN marked AS m ON e.conv_id IS NOT DISTINCT FROM m.conv_id AND m.i = e.i + 1)),
+best AS (SELECT conv_id, least(w.z, w.a) AS b FROM (SELECT conv_id, {inserted("w")} AS w FROM ways WHERE i = n)),
+played AS (
+  SELECT conv_id, b.a AS audit, 0 AS at_edit, 0 AS at_row, '' AS last, CAST([] AS VARCHAR[]) AS said FROM best
+  UNION ALL
+  SELECT conv_id, audit, at_edit, at_row, CASE edit WHEN 'D' THEN last ELSE left(given, 1) END,
+    CASE edit WHEN 'D' THEN said ELSE list_append(said, given || ':' || text) END
+  FROM (
+    SELECT p.conv_id, audit, at_edit + 1 AS at_edit, at_row + CAST(edit <> 'I' AS INTEGER) AS at_row, last, said, edit,
+      CASE WHEN edit IN ('K', 'D') THEN m.role WHEN last = 'u' THEN 'assistant' ELSE 'user' END AS given,
+      CASE edit WHEN 'I' THEN '' ELSE m.text END AS text
+    FROM (SELECT *, audit[at_edit + 1] AS edit FROM played WHERE at_edit < length(audit)) AS p
+    LEFT JOIN marked AS m ON p.conv_id IS NOT DISTINCT FROM m.conv_id AND m.i = p.at_row + 1)),
+repaired AS (SELECT conv_id, sha256(array_to_string(said, chr(10))) AS digest FROM played WHERE at_edit = length(audit))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.b.c, 0) AS BIGINT) AS cost,
+  coalesce(b.b.a, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS o
+LEFT JOIN counts AS c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best AS b ON o.conv_id IS NOT DISTINCT FROM b.conv_id
+LEFT JOIN repaired AS r ON o.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
 ORACLE: dict[str, str] = {
     "op4_url_filter": URL_FILTER,
     "op5_decontamination": DECONTAMINATION,
     "op7_license_scan": LICENSE_SCAN,
     "op9_jaccard_join": JACCARD_JOIN,
     "op12_merkle_manifest": MERKLE_MANIFEST,
+    "op13_conversation_repair": CONVERSATION_REPAIR,
 }
