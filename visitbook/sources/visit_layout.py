@@ -22,11 +22,14 @@ def store_visits(
 ) -> None:
     """Write the visits as a table of the catalog at `path`, which all executors share.
 
-    Visits without a date are a partition of their own.
+    Visits without a date are a partition of their own. A month's bucket is written by one task, or
+    by several where adaptive execution splits a large one, so there are few files.
     """
     (
         visits.withColumn("month", to_month(F.col(created_at)))
-        .repartition("month", name)
+        .withColumn("_bucket", F.pmod(F.hash(name), F.lit(buckets)))
+        .hint("rebalance", "month", "_bucket")
+        .drop("_bucket")
         .write.partitionBy("month")
         .bucketBy(buckets, name)
         .sortBy(name)
