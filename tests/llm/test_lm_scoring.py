@@ -86,7 +86,8 @@ def test_small_filter_leaves_out_the_rarest(spark):
     assert 1 < cut_1 <= 50
 
 
-def test_filter_grows_with_the_grams(spark):
+@pytest.mark.parametrize("span_bytes", [1, 30_000, 1 << 24])
+def test_filter_grows_with_the_grams(spark, span_bytes):
     # More grams than text bytes allow for, and small chunks and buckets: none is left out.
     rng = np.random.default_rng(4)
     texts = [" ".join(chr(97 + c) for c in rng.integers(0, 26, 2000)) for _ in range(40)] + [
@@ -97,7 +98,7 @@ def test_filter_grows_with_the_grams(spark):
     assert (model.cutoffs == 1).all()
     numbered = docs.select(F.col("doc_id").alias("row"), "doc_id", F.lit(1).cast("bigint").alias("copies"), "text")
     chunks = lm.settle(lm.chunked(numbered), spark, "chunks")
-    read = lm.with_levels(chunks, lm.answers(lm.requests(chunks, model.buckets), segments)).toArrow()
+    read = lm.with_levels(chunks, lm.probe(spark, chunks, segments, model.buckets, span_bytes)).toArrow()
     one, two = Counter(t for x in texts for t in tokens(x)), Counter()
     for x in texts:
         two.update(zip([None, *tokens(x)], tokens(x), strict=False))
@@ -135,6 +136,58 @@ def test_weights_come_from_all_texts_and_copies_count_once(spark, monkeypatch):
     assert weights[int(lm.levels_of(np.array([64]), 1)[0])] == 0
 
 
+def levels(count):
+    return int(math.log2(count)) + 1 if count else 0
+
+
+def middle(level):
+    """What a level stands for on average."""
+    return (2 ** (level - 1) + max(2**level - 1, 2 ** (level - 1))) / 2 if level else 0.0
+
+
+def exact_scores(docs, held_out):
+    """The model's scores with exact levels instead of a filter: doc -> score."""
+    learned = [text for d, text in docs if not held_out(d)]
+    one, two, copies = Counter(), Counter(), Counter(text or "" for text in learned)
+    for text in learned:
+        one.update(tokens(text))
+        two.update(zip([None, *tokens(text)], tokens(text), strict=False))
+    total, distinct = sum(one.values()), len(one)
+
+    def less(estimate, left_out):
+        return 0.0 if left_out >= (estimate + 0.5) / 1.5 - 1e-9 else max(estimate - left_out, 0)
+
+    def parts(text, left_out):
+        for u, v in zip([None, *tokens(text)], tokens(text), strict=False):
+            before, count = middle(levels(one[u])), middle(levels(one[v]))
+            most = min(min(levels(one[u]), levels(one[v])) + 1, lm.LEVELS - 1) if one[u] else 0
+            pair = min(middle(min(levels(two[u, v]), most)), before)
+            p1 = min(1.0, (less(count, left_out) + 0.5) / (total + 0.5 * (distinct + 1)))
+            yield p1, min(1.0, less(pair, left_out) / max(less(before, left_out), 1)), levels(one[u])
+
+    gains = np.zeros((lm.LEVELS, len(lm.WEIGHTS)))
+    for text in learned:
+        for p1, p2, level in parts(text, copies[text or ""]):
+            gains[level] += np.log(lm.WEIGHTS * p2 + (1 - lm.WEIGHTS) * p1) / copies[text or ""]
+    weights = lm.WEIGHTS[np.argmax(gains, axis=1)]
+    return {d: sum(math.log10(weights[k] * p2 + (1 - weights[k]) * p1) for p1, p2, k in parts(text, 0)) for d, text in docs}
+
+
+def test_score_equals_exact_model(spark):
+    rng = np.random.default_rng(11)
+    zipf = lambda: rng.zipf(1.5, 60).clip(1, 400)
+    texts = [" ".join(f"w{c}" for c in zipf()) for _ in range(60)] + [None, "", "W1 w2\tW1"]
+    texts += [texts[0]] * 5 + ["new words w1 w1 only"]
+    docs, held = list(enumerate(texts)), lambda d: d % 7 == 3 or d == 68
+    column = (F.col("doc_id") % 7 == 3) | (F.col("doc_id") == 68)
+    # So many bits an entry that there are next to no false hits; the filter is broadcast in many spans.
+    rows = lm.score_documents(spark, documents(spark, texts), column, entry_bits=512, span_bytes=20_000).collect()
+    want = exact_scores(docs, held)
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.score == pytest.approx(want[r.doc_id], rel=1e-9)
+
+
 def test_keys_pack_and_unpack():
     rng = np.random.default_rng(3)
     for high in (1 << 20, 1 << 62):

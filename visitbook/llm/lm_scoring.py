@@ -8,9 +8,10 @@ are interpolated.
 Counts are gathered in buckets of the gram's hash. Each bucket owns one segment of the filter
 and fills it where the counts are, so the counts never meet in one place. A segment is as large
 as its grams need at the intended error rate, so the filter grows with the corpus and holds
-every gram. It never meets in one place either: texts are written as chunks of tokens, the
-distinct grams of a chunk travel to the segments, and their levels travel back. Unigram counts
-for the base score are exact and complete: the frequent ones travel, the others are joined.
+every gram. It is broadcast to the workers in spans, runs of segments of a bounded size, one
+after the other: texts are written as chunks of tokens, whose distinct grams are stored by span;
+a span's grams are probed while it is with the workers, then it is withdrawn. Unigram counts for
+the base score are exact and complete: the frequent ones travel, the others are joined.
 """
 
 from __future__ import annotations
@@ -26,16 +27,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitbook.llm import text_arrays as ta
-from visitbook.llm.hash_buckets import HELD_KEYS, Tally, add_up, bucket_of, bucket_starts, enter, packed, places, present, unpacked
-from visitbook.session import remove_folder, settle
+from visitbook.llm.hash_buckets import Tally, add_up, bucket_of, bucket_starts, enter, packed, places, present, unpacked
+from visitbook.session import remove_folder, scratch_dir, settle
 
 # Bytes of text gathered into one bucket.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 LEAST_BUCKETS = 16
 # Bits of the filter for each entry: about 2 % false hits.
 ENTRY_BITS = 8
+# Bytes of the filter that are broadcast at a time, or one segment. A cluster gives what its
+# workers can hold: the grams of a task are written to as many files as there are spans.
+SPAN_BYTES = 16 << 20
 # Tokens of a chunk, or one text.
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 19
+# Keys that a task gathers of each kind before it hands them on.
+HELD_GRAMS = 1 << 20
+# Size of a row group of chunks, whose values are large.
+GROUP_BYTES = 16 << 20
 # Tokens whose exact counts travel with the task.
 FREQUENT_TOKENS = 1 << 18
 WEIGHTS = np.concatenate([[0.0], np.geomspace(0.001, 0.9, 19)])
@@ -85,15 +93,15 @@ def gram_counts(texts: DataFrame, buckets: int) -> DataFrame:
                     yield (b, kind, *packed(mine, n[light]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, one, two = ta.PowerTables(ta.BYTE_BASE), Tally(), Tally()
+        tables, one, two = ta.PowerTables(ta.BYTE_BASE), Tally(HELD_GRAMS), Tally(HELD_GRAMS)
         for whole in batches:
             for batch in ta.slices(whole, "text"):
                 tokens, _ = token_hashes(batch.column("text"), tables)
                 for tally, keys in ((one, tokens), (two, bigrams(tokens))):
                     tally.add(*add_up(keys, np.ones(len(keys), np.int64)))
-                if two.merged > HELD_KEYS:
+                if two.merged > HELD_GRAMS:
                     yield packed_rows([*flush(UNIGRAM, one), *flush(BIGRAM, two)])
-                    one, two = Tally(), Tally()
+                    one, two = Tally(HELD_GRAMS), Tally(HELD_GRAMS)
         yield packed_rows([*flush(UNIGRAM, one), *flush(BIGRAM, two)])
 
     return texts.select("text").mapInArrow(run, "bucket int, kind int, keys binary, counts binary")
@@ -125,15 +133,15 @@ def smallest_cutoff(counts: np.ndarray, room: int) -> int:
     return cutoff
 
 
-def needed_bits(unigrams: np.ndarray, bigram_counts: np.ndarray) -> int:
+def needed_bits(unigrams: np.ndarray, bigram_counts: np.ndarray, entry_bits: int = ENTRY_BITS) -> int:
     """The least segment in which all grams of these counts fit."""
     one, two = int(levels_of(unigrams, 1).sum()), int(levels_of(bigram_counts, 1).sum())
-    return max(64, -(-ENTRY_BITS * max(2 * one, one + two) // 64) * 64)
+    return max(64, -(-entry_bits * max(2 * one, one + two) // 64) * 64)
 
 
-def segment(unigrams: tuple, bigram_counts: tuple, bits: int) -> tuple[bytes, int, int]:
+def segment(unigrams: tuple, bigram_counts: tuple, bits: int, entry_bits: int = ENTRY_BITS) -> tuple[bytes, int, int]:
     """One bucket's part of the filter, and the cutoffs of unigrams and bigrams."""
-    room = bits // ENTRY_BITS
+    room = bits // entry_bits
     field = np.zeros(bits // 8, np.uint8)
     cut_1 = smallest_cutoff(unigrams[1], room // 2)
     cut_2 = smallest_cutoff(bigram_counts[1], room - int(levels_of(unigrams[1], cut_1).sum()))
@@ -154,13 +162,14 @@ BUCKET_ROWS = pa.schema([
 BUCKET_SCHEMA = "kind int, bucket int, key bigint, n bigint, bits binary, cut_1 bigint, cut_2 bigint"
 
 
-def merge_buckets(most_bits: int | None, frequent: int):
+def merge_buckets(most_bits: int | None, frequent: int, entry_bits: int):
     """Task function over rows sorted by bucket: its totals, filter segment and token counts."""
 
     def close(bucket: int, tallies: dict[int, Tally]) -> Iterator[pa.RecordBatch]:
         (keys, counts), two = tallies[UNIGRAM].total(), tallies[BIGRAM].total()
-        bits = needed_bits(counts, two[1])
-        field, cut_1, cut_2 = segment((keys >> GRAM_SHIFT, counts), two, bits if most_bits is None else min(bits, most_bits))
+        bits = needed_bits(counts, two[1], entry_bits)
+        bits = bits if most_bits is None else min(bits, most_bits)
+        field, cut_1, cut_2 = segment((keys >> GRAM_SHIFT, counts), two, bits, entry_bits)
         yield pa.RecordBatch.from_arrays(
             [pa.array([v], f.type) for v, f in zip((STATS, bucket, len(keys), int(counts.sum()), field, cut_1, cut_2), BUCKET_ROWS, strict=True)],
             schema=BUCKET_ROWS,
@@ -178,7 +187,7 @@ def merge_buckets(most_bits: int | None, frequent: int):
                 if bucket != now:
                     if now is not None:
                         yield from close(now, tallies)
-                    now, tallies = bucket, {UNIGRAM: Tally(), BIGRAM: Tally()}
+                    now, tallies = bucket, {UNIGRAM: Tally(HELD_GRAMS), BIGRAM: Tally(HELD_GRAMS)}
                 part = unpacked(batch.column("keys")[i].as_py(), batch.column("counts")[i].as_py())
                 tallies[batch.column("kind")[i].as_py()].add(*part)
         if now is not None:
@@ -195,7 +204,7 @@ def remaining(estimates: np.ndarray, left_out: np.ndarray | int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What a worker needs: one segment of the filter, or none; at most FREQUENT_TOKENS."""
+    """What a worker needs: one segment of the filter, or none; at most FREQUENT_TOKENS counts."""
 
     buckets: int
     bits: int  # of each segment
@@ -325,63 +334,90 @@ def chunked(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, f"chunk bigint, {TEXT_ROWS}, keys binary, tokens binary")
 
 
-def requests(chunks: DataFrame, buckets: int) -> DataFrame:
-    """bucket, chunk, kind, keys: the distinct grams of every chunk, packed by bucket."""
+ASKED = "span int, chunk bigint, kind int, sizes binary, steps binary"
+
+
+def requests(chunks: DataFrame, buckets: int, per_span: int) -> DataFrame:
+    """The distinct grams of every chunk in order, by spans of `per_span` buckets: how many there
+    are in each bucket of the span, and the steps from one gram to the next.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = bucket_starts(buckets)
         for batch in batches:
             for i in range(batch.num_rows):
                 keys, index = chunk_tokens(batch.column("keys")[i], batch.column("tokens")[i])
-                pairs = np.unique(bigrams(keys[index]))
                 out: list[tuple] = []
-                for kind, grams in ((UNIGRAM, keys), (BIGRAM, pairs)):
-                    cuts = [*np.searchsorted(grams, bucket_starts(buckets)).tolist(), len(grams)]
-                    for b, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        if start < end:
-                            part = grams[start:end] >> GRAM_SHIFT
-                            out.append((b, kind, packed(part, np.zeros(len(part), np.int64))[0]))
-                bucket, kinds, held = zip(*out, strict=True)
+                for kind, grams in ((UNIGRAM, keys), (BIGRAM, np.unique(bigrams(keys[index])))):
+                    cuts = np.append(np.searchsorted(grams, starts), len(grams))
+                    for span, first in enumerate(range(0, buckets, per_span)):
+                        mine = cuts[first : first + per_span + 1]
+                        part = grams[mine[0] : mine[-1]] >> GRAM_SHIFT
+                        if len(part):
+                            sizes = np.diff(mine).astype(np.int64).tobytes()
+                            out.append((span, kind, sizes, squeezed(np.diff(part, prepend=np.uint64(0)))))
+                spans, kinds, sizes, steps = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(bucket, pa.int32()), pa.array([batch.column("chunk")[i].as_py()] * len(out), pa.int64()),
-                        pa.array(kinds, pa.int32()), pa.array(held, pa.binary()),
+                        pa.array(spans, pa.int32()), pa.array([batch.column("chunk")[i].as_py()] * len(out), pa.int64()),
+                        pa.array(kinds, pa.int32()), pa.array(sizes, pa.binary()), pa.array(steps, pa.binary()),
                     ],
-                    names=["bucket", "chunk", "kind", "keys"],
+                    names=["span", "chunk", "kind", "sizes", "steps"],
                 )
 
-    return chunks.select("chunk", "keys", "tokens").mapInArrow(run, "bucket int, chunk bigint, kind int, keys binary")
+    return chunks.select("chunk", "keys", "tokens").mapInArrow(run, ASKED)
 
 
-def answers(asked: DataFrame, segments: DataFrame) -> DataFrame:
-    """chunk, bucket, kind, levels: what the segments hold of the grams asked for, in their order."""
+ANSWERED = "chunk bigint, span int, kind int, levels binary"
+
+
+def answers(asked: DataFrame, shared: Broadcast[list[tuple[int, bytes]]], first: int) -> DataFrame:
+    """What the segments with the workers, those from bucket `first` on, hold of a span's grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, model = None, None
+        none = np.zeros(0)
+        models = {
+            bucket: Model(1, len(bits) * 8, np.frombuffer(bits, np.uint8)[None, :], np.ones((1, 2)), 0, 0, none, none)
+            for bucket, bits in shared.value
+        }
         for batch in batches:
-            out: list[tuple] = []
-            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
-                held = batch.column("keys")[i].as_py()
-                if batch.column("chunk")[i].as_py() is None:  # a segment comes before what is asked of it
-                    field = np.frombuffer(held, np.uint8)[None, :]
-                    now, model = bucket, Model(1, field.shape[1] * 8, field, np.ones((1, 2)), 0, 0, np.zeros(0), np.zeros(0))
-                    continue
-                n, kind = int.from_bytes(held[:8], "little"), batch.column("kind")[i].as_py()
-                levels = np.zeros(n, np.uint8)
-                if bucket == now:
-                    keys = unpacked(held, bytes(n))[0] << GRAM_SHIFT
-                    levels = model.levels(keys, kind, np.full(n, LEVELS - 1)).astype(np.uint8)
-                out.append((batch.column("chunk")[i].as_py(), bucket, kind, levels.tobytes()))
-            if out:
-                kinds = pa.int64(), pa.int32(), pa.int32(), pa.binary()
+            held = []
+            for i, kind in enumerate(batch.column("kind").to_pylist()):
+                keys = np.cumsum(restored(batch.column("steps")[i].as_py(), np.uint64), dtype=np.uint64) << GRAM_SHIFT
+                ends = np.cumsum(np.frombuffer(batch.column("sizes")[i].as_py(), np.int64))
+                levels = np.zeros(len(keys), np.uint8)
+                for bucket, start, end in zip(range(first, first + len(ends)), [0, *ends[:-1]], ends, strict=True):
+                    if bucket in models and start < end:
+                        most = np.full(end - start, LEVELS - 1)
+                        levels[start:end] = models[bucket].levels(keys[start:end], kind, most)
+                held.append(zstandard.compress(levels.tobytes(), 3))
+            if held:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
-                    names=["chunk", "bucket", "kind", "levels"],
+                    [*(batch.column(c) for c in ("chunk", "span", "kind")), pa.array(held, pa.binary())],
+                    names=["chunk", "span", "kind", "levels"],
                 )
 
-    none = F.lit(None)
-    own = segments.select("bucket", none.cast("bigint").alias("chunk"), none.cast("int").alias("kind"), F.col("bits").alias("keys"))
-    met = own.union(asked).repartition("bucket").sortWithinPartitions("bucket", "chunk")
-    return met.mapInArrow(run, "chunk bigint, bucket int, kind int, levels binary")
+    return asked.mapInArrow(run, ANSWERED)
+
+
+def probe(spark: SparkSession, chunks: DataFrame, segments: DataFrame, buckets: int, span_bytes: int = SPAN_BYTES) -> DataFrame:
+    """The answers to all grams of the chunks: each span of the filter is broadcast, probed and
+    withdrawn. Driver and workers hold one span at a time.
+    """
+    largest = segments.agg(F.max(F.octet_length("bits"))).first()[0] or 1
+    per_span = min(buckets, max(1, span_bytes // largest))
+    asked, found = scratch_dir(spark, "asked"), scratch_dir(spark, "answers")
+    requests(chunks, buckets, per_span).write.partitionBy("span").parquet(asked)
+    stored = spark.read.schema(ASKED).parquet(asked)
+    spans = range(-(-buckets // per_span))
+    for span in spans:
+        first = span * per_span
+        bits = segments.where(F.col("bucket").between(first, first + per_span - 1)).collect()
+        shared = spark.sparkContext.broadcast([(r["bucket"], bytes(r["bits"])) for r in bits])
+        answers(stored.where(F.col("span") == span), shared, first).write.parquet(f"{found}/{span}")
+        shared.destroy()
+    remove_folder(spark, asked)
+    return spark.read.schema(ANSWERED).parquet(*(f"{found}/{span}" for span in spans))
 
 
 READ = f"{TEXT_ROWS}, keys binary, tokens binary, one binary, pair binary"
@@ -390,12 +426,15 @@ READ = f"{TEXT_ROWS}, keys binary, tokens binary, one binary, pair binary"
 def with_levels(chunks: DataFrame, answered: DataFrame) -> DataFrame:
     """rows, keys, tokens, one, pair: the chunks, and the levels of their grams."""
 
+    def joined(parts: list[bytes]) -> bytes:
+        return b"".join(zstandard.decompress(p) for p in parts)
+
     def close(held: dict, levels: dict[int, list[bytes]]) -> pa.RecordBatch:
         keys, index = chunk_tokens(held["keys"][0], held["tokens"][0])
         _, inverse = np.unique(bigrams(keys[index]), return_inverse=True)
-        pair = np.frombuffer(b"".join(levels[BIGRAM]), np.uint8)[inverse]
+        pair = np.frombuffer(joined(levels[BIGRAM]), np.uint8)[inverse]
         return pa.RecordBatch.from_arrays(
-            [*held.values(), pa.array([b"".join(levels[UNIGRAM])], pa.binary()), pa.array([squeezed(pair)], pa.binary())],
+            [*held.values(), pa.array([joined(levels[UNIGRAM])], pa.binary()), pa.array([squeezed(pair)], pa.binary())],
             names=["rows", "keys", "tokens", "one", "pair"],
         )
 
@@ -404,7 +443,7 @@ def with_levels(chunks: DataFrame, answered: DataFrame) -> DataFrame:
         levels: dict[int, list[bytes]] = {}
         for batch in batches:
             for i, kind in enumerate(batch.column("kind").to_pylist()):
-                if kind is None:  # a chunk comes before its levels, and these by bucket
+                if kind is None:  # a chunk comes before its levels, and these by span
                     if held:
                         yield close(held, levels)
                     held, levels = {c: batch.column(c).slice(i, 1) for c in ("rows", "keys", "tokens")}, {UNIGRAM: [], BIGRAM: []}
@@ -415,10 +454,10 @@ def with_levels(chunks: DataFrame, answered: DataFrame) -> DataFrame:
             yield close(held, levels)
 
     asked = chunks.withColumns({
-        "bucket": F.lit(-1), "kind": F.lit(None).cast("int"), "levels": F.lit(None).cast("binary"),
+        "span": F.lit(-1), "kind": F.lit(None).cast("int"), "levels": F.lit(None).cast("binary"),
     })
     met = asked.unionByName(answered, allowMissingColumns=True).repartition("chunk")
-    return met.sortWithinPartitions("chunk", "bucket", "kind").mapInArrow(run, READ)
+    return met.sortWithinPartitions("chunk", "span", "kind").mapInArrow(run, READ)
 
 
 def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
@@ -431,7 +470,8 @@ def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
 
 
 def train(
-    spark: SparkSession, texts: DataFrame, max_filter_bits: int | None = None, frequent_tokens: int = FREQUENT_TOKENS
+    spark: SparkSession, texts: DataFrame, max_filter_bits: int | None = None, frequent_tokens: int = FREQUENT_TOKENS,
+    entry_bits: int = ENTRY_BITS,
 ) -> tuple[Model, DataFrame, DataFrame]:
     """The model of the texts without its filter; the filter's segments (bucket, bits); and key, n
     of every token that is not among the frequent ones.
@@ -443,7 +483,7 @@ def train(
     buckets = max(LEAST_BUCKETS, -(-volume // BUCKET_BYTES))
     most_bits = None if max_filter_bits is None else max(64, max_filter_bits // buckets // 64 * 64)
     counted = gram_counts(texts, buckets).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    per_bucket = counted.mapInArrow(merge_buckets(most_bits, max(1, frequent_tokens // buckets)), BUCKET_SCHEMA)
+    per_bucket = counted.mapInArrow(merge_buckets(most_bits, max(1, frequent_tokens // buckets), entry_bits), BUCKET_SCHEMA)
     stored = settle(per_bucket, spark, "grams")
     cutoffs = np.ones((buckets, 2), np.int64)
     tokens = distinct = 0
@@ -457,7 +497,7 @@ def train(
         buckets, 0, np.zeros((0, 0), np.uint8), cutoffs, tokens, distinct,
         keys[order], frequent["n"].to_numpy(np.int64)[order],
     )
-    segments = stored.where(F.col("kind") == STATS).select("bucket", "bits")
+    segments = settle(stored.where(F.col("kind") == STATS).select("bucket", "bits"), spark, "segments")
     return model, segments, stored.where(F.col("kind") == RARE).select("key", "n")
 
 
@@ -530,7 +570,7 @@ def scan(read: DataFrame, shared: Broadcast[Model], weights: np.ndarray) -> Data
 
 def score_documents(
     spark: SparkSession, docs: DataFrame, held_out: Column, max_filter_bits: int | None = None,
-    frequent_tokens: int = FREQUENT_TOKENS,
+    frequent_tokens: int = FREQUENT_TOKENS, entry_bits: int = ENTRY_BITS, span_bytes: int = SPAN_BYTES,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of docs.
 
@@ -538,13 +578,14 @@ def score_documents(
     fitted on all of them, equal texts counted once. `base_score` uses exact counts
     (tokens are told apart by 64-bit hashes); `score` is the interpolated model's log10
     probability of the text. A null or empty text has the closing token only; equal rows count
-    and are scored one by one. Without training rows every token is unknown.
+    and are scored one by one. Without training rows every token is unknown. Each entry has
+    `entry_bits` bits of the filter, of which `span_bytes` are broadcast at a time.
     """
     narrow = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out")
     )
     learned = narrow.where("NOT held_out")
-    model, segments, rare_counts = train(spark, learned.select("text"), max_filter_bits, frequent_tokens)
+    model, segments, rare_counts = train(spark, learned.select("text"), max_filter_bits, frequent_tokens, entry_bits)
     # Equal texts by 128 bits. Only those that repeat are settled, so a small list is broadcast.
     text = F.coalesce("text", F.lit(""))
     same = [F.xxhash64(text).alias("same_1"), F.xxhash64(F.lit("again"), text).alias("same_2")]
@@ -554,10 +595,15 @@ def score_documents(
     numbered = narrow.select("*", *same).join(repeated, ["same_1", "same_2"], "left").select(
         F.monotonically_increasing_id().alias("row"), "doc_id", copies, "text"
     )
-    chunks = settle(chunked(numbered), spark, "chunks")
-    read = settle(with_levels(chunks, answers(requests(chunks, model.buckets), segments)), spark, "levels")
-    for folder in {f.rsplit("/", 1)[0] for f in chunks.inputFiles()}:  # all they hold is in `read`
-        remove_folder(spark, folder)
+    folder = scratch_dir(spark, "chunks")
+    made = chunked(numbered)
+    made.write.option("parquet.block.size", GROUP_BYTES).parquet(folder)
+    chunks = spark.read.schema(made.schema).parquet(folder)
+    answered = probe(spark, chunks, segments, model.buckets, span_bytes)
+    levels, joined = scratch_dir(spark, "levels"), with_levels(chunks, answered)
+    joined.write.option("parquet.block.size", GROUP_BYTES).parquet(levels)
+    read = spark.read.schema(joined.schema).parquet(levels)
+    remove_folder(spark, folder)  # all it holds is in `read`
     shared = spark.sparkContext.broadcast(model)
     weights = fit_weights(shared, read)
     scanned = settle(scan(read, shared, weights), spark, "scores")
