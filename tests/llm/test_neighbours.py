@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 from cases import SF
 
 from visitbook.llm import neighbours as nn
@@ -60,6 +61,33 @@ def test_blocks_copies_and_ties(spark):
     assert recall(got, want) >= 0.97
 
 
+@pytest.mark.parametrize("kind", ["random", "clusters"])
+def test_windows_select(kind):
+    """Few vectors are verified, and the nearest are among them."""
+    rng = np.random.default_rng(9)
+    data = rng.standard_normal((nn.BLOCK_VECTORS, 64))
+    if kind == "clusters":
+        data = data[rng.integers(0, 100, len(data))] + 0.4 * data
+    index, hits, verified = nn.SortedProjections(data), 0, 0
+    queries = range(0, len(data), 400)
+    for q in queries:
+        numbers, distances, n = index.search(data[q], q)
+        exact = np.sqrt(((data - data[q]) ** 2).sum(axis=1))
+        exact[q] = np.inf
+        hits += len(set(numbers[np.argsort(distances, kind="stable")[:10]]) & set(np.argsort(exact, kind="stable")[:10]))
+        verified += n
+    assert hits >= 0.95 * 10 * len(queries)
+    assert verified < 0.15 * len(data) * len(queries)
+
+
+def test_vectors_travel_once(spark, monkeypatch):
+    packed = []
+    monkeypatch.setattr(nn, "settle", lambda df, s, label, own=nn.settle: packed.append(label) or own(df, s, label))
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(np.random.default_rng(6).standard_normal((300, 4)))]
+    got = found(nn.nearest(spark, spark.createDataFrame(rows, VECTORS), F.lit(True), block_vectors=50, block_queries=40))
+    assert packed == ["vectors", "blocks"] and len(got) == 300
+
+
 def test_awkward_rows(spark):
     rows = [
         (0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [None, 1.0], 1),
