@@ -33,7 +33,7 @@ WIDTH, GROWTH = 2.72, 1.06
 CAUTION = 2.5
 BLOCK_VECTORS = 8192
 # Vectors of a block by which the first radius is chosen.
-PART_VECTORS = 256
+PART_VECTORS = 512
 # Queries that are broadcast at a time.
 BLOCK_QUERIES = 4096
 # Files the blocks are written to, at most.
@@ -63,6 +63,9 @@ class SortedProjections:
         projected = (vectors @ self.directions).T
         order = np.argsort(projected, axis=1, kind="stable")
         self.order = order
+        # The place of each vector in each sorted array.
+        self.place = np.empty(order.shape, np.uint16 if len(vectors) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(len(vectors), dtype=self.place.dtype)[None, :], axis=1)
         # All arrays end to end, each moved beyond the one before, so that one search serves all.
         low, high = projected.min(axis=1), projected.max(axis=1)
         self.low, self.high = low, high
@@ -79,13 +82,24 @@ class SortedProjections:
         n = len(self.vectors)
         return np.where(at < self.low, 0, np.where(at > self.high, n, np.clip(found, 0, n)))
 
+    def counts_within(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """For each vector the number of windows [low, high) that hold it."""
+        kind = self.place.dtype
+        # A place before the window wraps round to a large number.
+        inside = (self.place - low.astype(kind)[:, None]) < (high - low).astype(kind)[:, None]
+        counts = np.zeros(len(self.vectors), np.int64)
+        for a in range(0, len(inside), 255):  # sums that fit a byte
+            counts += np.add.reduce(inside[a : a + 255].view(np.uint8), axis=0, dtype=np.uint8)
+        return counts
+
     def first_radius(self, query: np.ndarray, skip: int | None, wanted: int) -> float:
-        """Half the distance within which a random part of the block holds as many vectors as
-        are wanted; the whole block holds them within less than twice that.
+        """Somewhat less than the distance within which a random part of the block holds its share
+        of the wanted vectors, or one: few vectors of the block are nearer, however they lie.
         """
         part = self.part[self.part != skip] if skip is not None else self.part
         distances = np.sqrt(((self.vectors[part] - query) ** 2).sum(axis=1))
-        return float(np.partition(distances, min(wanted, len(part)) - 1)[min(wanted, len(part)) - 1]) / 2
+        rank = max(1, wanted * len(part) // len(self.vectors)) - 1
+        return 0.85 * float(np.partition(distances, rank)[rank])
 
     def search(self, query: np.ndarray, skip: int | None, neighbours: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, int]:
         """Numbers and distances of the verified vectors that may be among the nearest, and how
@@ -99,7 +113,7 @@ class SortedProjections:
         if wanted <= 0:
             return np.zeros(0, np.int64), np.zeros(0), 0
         centre = query @ self.directions
-        collisions = np.zeros(n, np.int64)
+        collisions = None
         verified = np.zeros(n, bool)
         if skip is not None:
             verified[skip] = True
@@ -109,12 +123,14 @@ class SortedProjections:
         everything = False
         while True:
             half = radius * WIDTH / 2
-            # The windows grow; only what is new is counted.
             low = np.minimum(self.reach(centre - half, "left"), left)
             high = np.maximum(self.reach(centre + half, "right"), right)
-            new = [o[a:b] for o, a, b in zip(self.order, low.tolist(), left.tolist(), strict=True)]
-            new += [o[a:b] for o, a, b in zip(self.order, right.tolist(), high.tolist(), strict=True)]
-            collisions += np.bincount(np.concatenate(new), minlength=n)
+            if collisions is None:
+                collisions = self.counts_within(low, high)
+            else:  # the windows grow; only what is new is counted
+                new = [o[a:b] for o, a, b in zip(self.order, low.tolist(), left.tolist(), strict=True)]
+                new += [o[a:b] for o, a, b in zip(self.order, right.tolist(), high.tolist(), strict=True)]
+                collisions += np.bincount(np.concatenate(new), minlength=n)
             left, right = low, high
             fresh = np.flatnonzero((collisions >= self.threshold) & ~verified)
             if everything:
