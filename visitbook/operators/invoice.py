@@ -55,10 +55,10 @@ def check_invoices(invoices: DataFrame, form: bool = False) -> DataFrame:
         dropped = F.isnan(quantity) | F.isnan(a["montant"])
         return F.when(F.coalesce(dropped, F.lit(False)), F.lit(0.0)).otherwise(net) if form else net
 
-    total = F.aggregate(
-        F.flatten(F.transform(F.filter("sections", lambda s: s["articles"].isNotNull()), lambda s: s["articles"])),
-        F.lit(0.0), lambda sum, a: sum + size(a),
-    )
+    def add_section(sum: Column, s: Column) -> Column:
+        return F.coalesce(F.aggregate(s["articles"], sum, lambda total, a: total + size(a)), sum)
+
+    total = F.aggregate("sections", F.lit(0.0), add_section)
     too_large = is_finite(F.col("patient_percent")) & ~(total < LARGEST_TOTAL)
     errors = present([
         F.when(F.col("meta").isNull(), F.lit("meta is required")),
