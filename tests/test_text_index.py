@@ -113,3 +113,24 @@ def test_empty_tables(spark, indexed, tmp_path):
     ti.write_index(rows.limit(0), empty)
     assert ti.search_queries(rows.limit(0), empty, spark.createDataFrame([("abc",), ("a",)], "q string")).isEmpty()
     assert ti.search_indexed(rows.limit(0), empty, "abcd").isEmpty()
+
+
+def test_most_queries_are_settled_by_plain_comparisons(spark, indexed):
+    asked = spark.createDataFrame([(q,) for q in QUERIES], "q string")
+    parsed = {r.q: r for r in ti.parsed_queries(asked).collect()}
+    settled = {q: (r.head, r.tail) for q, r in parsed.items() if r.enough}
+    assert settled["ANA"] == ("ana", "") and settled["a%o"] == ("a", "o") and settled["nul\x00"] == ("nul\x00", "")
+    assert settled["X\\_Y"] == ("x_y", "") and settled["50\\%"] == ("50%", "") and settled[""] == ("", "")
+    assert {"_", "__", "x_y", "ab_", "di%al%lo", "with \\"}.isdisjoint(settled)
+    assert (parsed["di%al%lo"].head, parsed["di%al%lo"].tail) == ("di", "lo")
+
+
+def test_pairs_with_queries_are_not_shuffled(spark, indexed):
+    """The rows of the postings are met before the queries; with small queries nothing follows."""
+    rows, index = indexed
+    found = ti.search_queries(rows, index, spark.createDataFrame([("ana",), ("di_llo",)], "q string"))
+    found.collect()
+    text = plan(found, "simple").split("Initial Plan")[1]
+    by_gram = text[: text.index("_run")]
+    queries = by_gram.index("Join [gram")
+    assert "Exchange hashpartitioning" not in by_gram[:queries] and "Join [id" in by_gram[queries:]

@@ -27,6 +27,8 @@ GRAM = 3
 PARTS = 64
 # Stands between the literal runs of a pattern.
 GAP = "\x00"
+# What a query is compared by.
+TESTED = ("pattern", "enough", "head", "tail")
 
 
 class TextIndex(NamedTuple):
@@ -67,9 +69,11 @@ def _part_of(gram: Column, parts: int) -> Column:
 def write_index(rows: DataFrame, index: TextIndex) -> None:
     """Index the rows' columns; `id` tells them apart. A trigram of very many rows spans files.
 
-    Files are sorted by trigram, so a lookup skips most of a folder.
+    Files are sorted by trigram, so a lookup skips most of a folder. Rows are dealt out first: a row
+    group of short texts is one task's, and holds very many.
     """
-    pairs = rows.select(index.id, F.explode(_row_grams(index.columns, GRAM)).alias("gram"))
+    dealt = rows.select(index.id, *index.columns).repartition(index.id)
+    pairs = dealt.select(index.id, F.explode(_row_grams(index.columns, GRAM)).alias("gram"))
     (
         pairs.withColumn("part", _part_of(F.col("gram"), index.parts))
         .hint("rebalance", "part")
@@ -131,44 +135,75 @@ def search_stored(spark: SparkSession, table: StoredTable, index: TextIndex, que
     return search_indexed(read_table(spark, table, buckets=sorted(r[0] for r in named)), index, query)
 
 
+# A pattern whose only wildcards are the outer two and at most one % between them.
+_ONE_GAP = r"(?s)^%((?:[^%_\\]++|\\.)*+)(?:%((?:[^%_\\]++|\\.)*+))?%$"
+
+
 def parsed_queries(queries: DataFrame, q: str = "q") -> DataFrame:
-    """Distinct queries with their pattern, their trigrams, and the run that a short one is known by."""
-    asked = queries.select(F.col(q).alias("q")).where("q IS NOT NULL").distinct().withColumn("pattern", pattern_of(F.col("q")))
-    named = compute_once(asked, {"literals": _literals(F.col("pattern"))})
+    """Distinct queries with their lower-cased pattern, their trigrams, and the run that a short one
+    is known by.
+
+    A text that holds a query holds `head` and, behind its first place, `tail`; where `enough`, the
+    converse is true as well. Both may be empty.
+    """
+    pattern = F.lower(pattern_of(F.col("q")))
+    asked = queries.select(F.col(q).alias("q")).where("q IS NOT NULL").distinct().withColumn("pattern", pattern)
+    runs = F.array_remove(F.split(F.col("literals"), GAP), "")
+    enough = F.col("pattern").rlike(_ONE_GAP)
+    named = compute_once(asked, {"literals": _literals(F.col("pattern"))}).withColumn("enough", enough).withColumn("_runs", runs)
     inside = f"[^{GAP}]"
     first = lambda n: F.get(_grams(F.col("literals"), n, inside), F.lit(0))
+    plain = lambda k: F.regexp_replace(F.regexp_extract("pattern", _ONE_GAP, k), r"(?s)\\(.)", "$1")
+    last = F.when(F.size("_runs") > 1, F.element_at("_runs", -1))
     return named.select(
         "q", "pattern", F.array_distinct(_grams(F.col("literals"), GRAM, inside)).alias("grams"),
-        F.coalesce(first(2), first(1), F.lit("")).alias("short"),
+        F.coalesce(first(2), first(1), F.lit("")).alias("short"), "enough",
+        F.when(F.col("enough"), plain(1)).otherwise(F.coalesce(F.get("_runs", F.lit(0)), F.lit(""))).alias("head"),
+        F.when(F.col("enough"), plain(2)).otherwise(F.coalesce(last, F.lit(""))).alias("tail"),
     )
 
 
+def _holds(low: Column) -> Column:
+    """Whether a lower-cased text holds the query beside it: ILIKE, which builds a matcher for every
+    row when patterns are columns, only where plain comparisons do not settle it.
+    """
+    head, tail = F.col("head"), F.col("tail")
+    behind = F.substr(low, F.position(head, low) + F.char_length(head))
+    near = F.contains(low, head) & ((tail == "") | F.contains(behind, tail))
+    return F.coalesce(near & (F.col("enough") | F.like(low, F.col("pattern"))), F.lit(False))
+
+
 def search_queries(rows: DataFrame, index: TextIndex, queries: DataFrame, q: str = "q") -> DataFrame:
     """Every row with every distinct query of a table that it holds, as column q.
 
     Queries are matched to rows by their rarest trigram and by equality, then compared. Null
     queries match nothing. Those under three letters in a row are joined with the rows' single
-    and double letters, taken in a scan; one without any letter meets every row.
+    and double letters, taken in a scan; one without any letter meets every row. The postings that
+    are asked for meet their rows first and the queries last, so what many queries share is
+    shuffled once, and pairs are compared where they come about.
     """
     spark = rows.sparkSession
     id_type = rows.schema[index.id].dataType.simpleString()
     asked = settle(parsed_queries(queries, q), spark, "queries")
     n = F.coalesce("n", F.lit(0).cast("bigint"))
     rarest = (
-        asked.select("q", "pattern", F.explode("grams").alias("gram"))
+        asked.select("q", *TESTED, F.explode("grams").alias("gram"))
         .join(read_counts(spark, index), "gram", "left")
-        .groupBy("q", "pattern").agg(F.min(F.struct(n.alias("n"), "gram"))["gram"].alias("gram"))
+        .groupBy("q", *TESTED).agg(F.min(F.struct(n.alias("n"), "gram"))["gram"].alias("gram"))
         .withColumn("part", _part_of(F.col("gram"), index.parts))
     )
-    listed = read_postings(spark, index, id_type).join(settle(rarest, spark, "rarest"), ["part", "gram"])
-    by_gram = rows.join(listed.select(index.id, "q", "pattern"), index.id)
+    rarest = settle(rarest, spark, "rarest")
+    wanted = rarest.select("part", "gram").distinct()
+    listed = read_postings(spark, index, id_type).join(wanted, ["part", "gram"], "left_semi").select(index.id, "gram")
+    lows = {f"_low_{c}": F.lower(F.col(c)) for c in index.columns}
+    by_gram = rows.join(listed, index.id).withColumns(lows).join(rarest.drop("part"), "gram")
 
-    short = asked.where(F.size("grams") == 0).select("q", "pattern", F.col("short").alias("_run"))
+    short = asked.where(F.size("grams") == 0).select("q", *TESTED, F.col("short").alias("_run"))
     runs = F.concat(F.array(F.lit("")), _row_grams(index.columns, 1, 2))
-    by_run = rows.withColumn("_run", F.explode(runs)).join(short, "_run").drop("_run")
+    dealt = rows.repartition(index.id).withColumns(lows)
+    by_run = dealt.withColumn("_run", F.explode(runs)).join(short, "_run")
 
-    met = by_gram.select(*rows.columns, "q", "pattern").unionByName(by_run)
-    found = F.lit(False)
-    for c in index.columns:
-        found = found | F.coalesce(F.ilike(F.col(c), F.col("pattern")), F.lit(False))
-    return met.where(found).drop("pattern")
+    shown, found = [*rows.columns, "q"], F.lit(False)
+    for c in lows:
+        found = found | _holds(F.col(c))
+    return by_gram.where(found).select(*shown).unionByName(by_run.where(found).select(*shown))
