@@ -108,6 +108,18 @@ def test_a_share_reads_the_named_buckets_only(spark, tmp_path):
     assert sorted((r.kind, r.key, r.n) for r in share) == [("name", "m", 1), ("name", "n", -1)]
 
 
+def test_a_share_counts_the_changed_rows_only(spark, tmp_path):
+    table = ts.StoredTable(str(tmp_path / "t"), 2)
+    ts.create_table(spark, table, conform(spark.range(100).select("id", F.lit("n").alias("name"))))
+    batches = [[update(1, 3, name="m"), delete(2, 5)], [insert(3, 5, name="k"), update(4, 500, name="x"), insert(5, 7)]]
+    changed = []
+    for v, rows in enumerate(batches, 1):
+        ts.apply_batch(spark, table, batch(spark, *rows), v, F.col("received_at"))
+        changed.append(sorted((r.id, r.name, r.weight) for r in rc.changed_rows(spark, table, v).collect()))
+    assert changed[0] == [(3, "m", 1), (3, "n", -1), (5, "n", -1)]
+    assert changed[1] == [(5, "k", 1), (7, "n", -1), (7, "n", 1)]  # the insert of 7 was refused
+
+
 def test_counts_of_an_empty_table(spark, tmp_path):
     table = ts.StoredTable(str(tmp_path / "t"), 2)
     assert rc.read_counts(spark, table).isEmpty()

@@ -3,9 +3,9 @@
     counts/batch_id=V        kind, key, n: what version V added to and took from the counts
     counts_until/batch_id=V  the sums of all versions up to V
 
-Counts of days, names and values add up, so a version's share is the count over the buckets it
-rewrote, after it less before it: rows it left alone cancel out, and nothing else is read. The
-statistics are made of the sums.
+Counts of days, names and values add up, so a version's share is the count over the rows of the
+ids it changed, after it less before it. Only the buckets it rewrote are read, and their other rows
+are not counted. The statistics are made of the sums.
 """
 
 from __future__ import annotations
@@ -17,39 +17,59 @@ from visitbook.functions.fields import to_day, to_month
 from visitbook.functions.text import fold_name, title_case
 from visitbook.operators.distribution import non_blank, top_k
 from visitbook.operators.series import gap_fill, with_revenue
-from visitbook.session import finished_batches
-from visitbook.sources.table_store import StoredTable, bucket_versions, read_table, versions
+from visitbook.session import finished_batches, settle
+from visitbook.sources.table_store import StoredTable, bucket_versions, read_heads, read_table, versions
 
 # Columns whose values are counted as they are.
 VALUES = ("adresse", "sexe", "groupe_sanguin")
 SCHEMA = "kind string, key string, n bigint"
 
 
-def count_rows(visits: DataFrame) -> DataFrame:
-    """(kind, key, n): visits per day, per folded name and per value of some columns, from one scan."""
+def count_rows(visits: DataFrame, weight: Column | None = None) -> DataFrame:
+    """(kind, key, n): visits per day, per folded name and per value of some columns.
 
-    def one(kind: str, key: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+    Each kind is an aggregation of its own, which reads its column only; keys become text when
+    they are counted. With a weight, the sum of the weights.
+    """
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+
+    def one(kind: str, key: Column) -> DataFrame:
+        counted = visits.withColumn("key", key).where("key IS NOT NULL").groupBy("key").agg(n.alias("n"))
+        return counted.select(F.lit(kind).alias("kind"), F.col("key").cast("string").alias("key"), "n")
 
-    counted = [one("day", to_day(F.col("created_at"))), one("name", fold_name(F.col("name"))), *[one(c, F.col(c)) for c in VALUES]]
-    pairs = visits.select(F.inline(F.array(*counted))).where("key IS NOT NULL")
-    return pairs.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    found = one("day", to_day(F.col("created_at"))).unionByName(one("name", fold_name(F.col("name"))))
+    for c in VALUES:
+        found = found.unionByName(one(c, F.col(c)))
+    return found
 
 
 def _summed(counts: DataFrame) -> DataFrame:
     return counts.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n != 0")
 
 
+def changed_rows(spark: SparkSession, table: StoredTable, version: int) -> DataFrame:
+    """The counted columns of the rows whose id a version changed: after it with weight 1, before
+    it with weight -1. Ids are told by their last change, which moved on; one that is null always is.
+    """
+    named = [b for b, v in enumerate(bucket_versions(spark, table, version)) if v == version]
+    earlier = max(v for v in versions(spark, table) if v < version)
+    heads = read_heads(spark, table, named, version)
+    moved = heads.join(read_heads(spark, table, named, earlier), ["id", "last_seq"], "left_anti").select("id")
+    moved = settle(moved, spark, "moved").alias("m")
+
+    def rows(at: int, weight: int) -> DataFrame:
+        held = read_table(spark, table, at, named).alias("r").join(moved, F.expr("r.id <=> m.id"), "left_semi")
+        return held.select("id", "created_at", "name", *VALUES, F.lit(weight).alias("weight"))
+
+    return rows(version, 1).unionByName(rows(earlier, -1))
+
+
 def record_counts(spark: SparkSession, table: StoredTable, version: int) -> None:
     """Store what a complete version changes; repeated, it writes the same again."""
     if version == 0:
         share = count_rows(read_table(spark, table, 0))
     else:
-        named = [b for b, v in enumerate(bucket_versions(spark, table, version)) if v == version]
-        earlier = max(v for v in versions(spark, table) if v < version)
-        after = count_rows(read_table(spark, table, version, named))
-        before = count_rows(read_table(spark, table, earlier, named))
-        share = _summed(after.unionByName(before.withColumn("n", -F.col("n"))))
+        share = count_rows(settle(changed_rows(spark, table, version), spark, "changed"), F.col("weight")).where("n != 0")
     share.write.mode("overwrite").parquet(f"{table.path}/counts/batch_id={version}")
 
 

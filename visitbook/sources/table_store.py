@@ -76,9 +76,11 @@ def read_table(
     return _part(spark, table, "rows", table.schema, version, buckets)
 
 
-def read_heads(spark: SparkSession, table: StoredTable, buckets: list[int] | None = None) -> DataFrame:
+def read_heads(
+    spark: SparkSession, table: StoredTable, buckets: list[int] | None = None, version: int | None = None
+) -> DataFrame:
     """id, last_seq: the last change applied to each id that was changed, whether it is stored or not."""
-    return _part(spark, table, "heads", HEADS, None, buckets)
+    return _part(spark, table, "heads", HEADS, version, buckets)
 
 
 def rows_by_id(spark: SparkSession, table: StoredTable, id: int) -> DataFrame:
