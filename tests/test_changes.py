@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import SF
+from conftest import SF, plan
 from pyspark.sql import functions as F
 
 from visitbook.operators import changes, ingest
@@ -269,3 +269,16 @@ def test_updates_of_a_stored_table_do_not_shuffle_it(spark):
 
 def test_all_writable_columns_have_a_reader():
     assert set(WRITABLE) == set(PATIENTS.names) - {"id"}
+
+
+def test_texts_are_read_before_the_stored_rows_are_met(spark):
+    out = changes.apply_changes(base(spark, (1, {"name": "a"})), batch(spark, update(1, 1, name="b", poids="7")))
+    met = [line for line in plan(out.rows, "simple").splitlines() if "Project [" in line and "first#" in line and "CASE" in line]
+    assert met and not any("RLIKE" in line for line in met)
+    assert [(r.name, r.poids) for r in out.rows.collect()] == [("b", 7.0)]
+
+
+def test_lives_are_numbered_once(spark):
+    out = changes.apply_changes(base(spark, (1, {"name": "a"})), batch(spark, insert(1, 1), insert(2, 2), insert(3, 2), delete(4, 2), insert(5, 2)))
+    assert "Window" not in plan(out.rejected) + plan(out.rows)
+    assert sorted((r.seq, list(r.errors)) for r in out.rejected.collect()) == [(1, ["id exists"]), (3, ["id exists"])]

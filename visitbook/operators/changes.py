@@ -161,6 +161,10 @@ def fold_changes(changes: DataFrame) -> DataFrame:
 
     Every output is a maximum or minimum, so a hot id is reduced before the shuffle.
     """
+    return _fold_lives(number_lives(changes))
+
+
+def _fold_lives(numbered: DataFrame) -> DataFrame:
     fields = F.col("fields")
     inserted = F.col("op") == "insert"
     latest = [
@@ -170,8 +174,7 @@ def fold_changes(changes: DataFrame) -> DataFrame:
         for c in WRITABLE
     ]
     return (
-        number_lives(changes)
-        .groupBy("id", "life")
+        numbered.groupBy("id", "life")
         .agg(
             F.min(F.when(inserted, F.col("seq"))).alias("start"),
             F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("ended"),
@@ -197,35 +200,42 @@ def apply_changes(
 
 
 def apply_checked(base: DataFrame, checked: DataFrame) -> Applied:
-    """Apply changes that have been checked and put in stretches: `prepare_changes`, `check_order`."""
+    """Apply changes that have been checked and put in stretches: `prepare_changes`, `check_order`.
+
+    Lives are numbered once and written out. Texts are read as the columns' types on the folded
+    batch, not beside the stored rows, most of which no change names.
+    """
     spark = base.sparkSession
-    folded = settle(fold_changes(accepted(checked)), spark, "folded")
+    numbered = settle(number_lives(accepted(checked)), spark, "numbered")
+    update = lambda c: F.col(f"set.{c}")
+    read = [F.when(update(c).isNotNull(), F.struct(typed(update(c)["value"], c).alias("value"))).alias(c) for c in WRITABLE]
+    lives_folded = _fold_lives(numbered).withColumn("first", F.when(F.col("life") == 0, F.struct(*read)))
+    folded = settle(lives_folded, spark, "folded")
     others = [c for c in base.columns if c != "id"]
 
-    def value(c: str, stored: Column | None) -> Column:
-        update = F.col(f"set.{c}")
-        if stored is not None:
-            return F.when(update.isNull(), stored).otherwise(typed(update["value"], c)).alias(c)
-        born = typed(F.col("born")[c], c)
-        return F.when(update["seq"] > F.col("start"), typed(update["value"], c)).otherwise(born).alias(c)
+    def changed(c: str) -> Column:
+        return F.when(F.col(f"first.{c}").isNull(), F.col(c)).otherwise(F.col(f"first.{c}.value")).alias(c)
+
+    def begins(c: str) -> Column:
+        submitted = F.when(update(c)["seq"] > F.col("start"), update(c)["value"]).otherwise(F.col("born")[c])
+        return typed(submitted, c).alias(c)
 
     # Stored rows with the changes of their first life.
-    first = folded.where(F.col("life") == 0).select("id", "ended", "set")
+    first = folded.where(F.col("life") == 0).select("id", "ended", "first")
     stored = base.join(first, "id", "left").select(
-        "id", F.col("ended"), *[value(c, F.col(c)) if c in WRITABLE else F.col(c) for c in others]
+        "id", F.col("ended"), *[changed(c) if c in WRITABLE else F.col(c) for c in others]
     )
     # Lives that begin with an insert; a first life cannot if the id is stored already.
     begun = folded.where(F.col("start").isNotNull())
     taken = base.select("id").join(begun.where(F.col("life") == 0).select("id"), "id", "left_semi")
     taken = taken.withColumn("life", F.lit(0).cast(folded.schema["life"].dataType))
     fresh = begun.join(taken, ["id", "life"], "left_anti").select(
-        "id", "ended", *[value(c, None) for c in others if c in WRITABLE]
+        "id", "ended", *[begins(c) for c in others if c in WRITABLE]
     )
     lives = stored.unionByName(fresh, allowMissingColumns=True)
 
-    # Inserts that met an existing row, sought only among the ids where that happened.
-    suspects = begun.where(F.col("n_inserts") > 1).select("id").unionByName(taken.select("id"))
-    inserts = number_lives(accepted(checked).join(suspects, "id", "left_semi")).where(F.col("op") == "insert")
+    # Inserts that met an existing row.
+    inserts = numbered.where(F.col("op") == "insert")
     clash = (
         inserts.join(begun.select("id", "life", "start"), ["id", "life"])
         .join(taken.withColumn("_stored", F.lit(True)), ["id", "life"], "left")
