@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import pathlib
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import SF, plan
 from pyspark.sql import functions as F
@@ -227,3 +228,14 @@ def test_scratch_dir_is_shared_and_fresh(spark):
     assert a != b
     shared = spark.conf.get("spark.checkpoint.dir", None)
     assert not shared or a.startswith(shared)
+
+
+def test_a_part_of_a_stream_is_one_file_of_many_row_groups(spark, tmp_path, monkeypatch):
+    rows = spark.range(300_000).select("id", F.rand(1).alias("x"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(stand_ins, "scratch_dir", lambda *_: str(tmp_path / "parts"))
+    stand_ins.stream_in_parts(spark, str(tmp_path), "events", "id", 3)
+    files = sorted((tmp_path / "parts").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    assert len(files) == 3 and all(pq.ParquetFile(f).num_row_groups > 1 for f in files)
+    spans = [(min(ids), max(ids), len(ids)) for ids in (pq.read_table(f)["id"].to_pylist() for f in files)]
+    assert spans == [(0, 99_999, 100_000), (100_000, 199_999, 100_000), (200_000, 299_999, 100_000)]

@@ -25,14 +25,22 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+# Bytes of a row group in the files of a stream in parts: what one task of a trigger reads.
+ROW_GROUP = 1 << 20
+
+
 def stream_in_parts(spark: SparkSession, sf_dir: str, name: str, key: str, parts: int) -> DataFrame:
-    """A table as a stream of several triggers, in order of a key: one file after the other."""
+    """A table as a stream of several triggers, in order of a key: one file after the other.
+
+    The table is read in parallel; a file has small row groups, so a trigger reads its one file in
+    parallel as well.
+    """
     rows, folder = table(spark, sf_dir, name), scratch_dir(spark, f"parts-{name}")
     low, high = rows.agg(F.min(key), F.max(key)).first()
     width = ((high or 0) - (low or 0)) // parts + 1
     for k in range(parts):
         part = rows.where(F.floor((F.col(key) - F.lit(low)) / width) == k)
-        part.coalesce(1).write.mode("append").parquet(folder)
+        part.repartition(1).write.mode("append").option("parquet.block.size", ROW_GROUP).parquet(folder)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
